@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +15,11 @@ from sensorspark.session import broadcast_if_small, materialize, with_scalars
 SKETCH_ACCURACY = 50_000
 
 
+def linear_position(n: Column, prob: Column) -> Column:
+    """Rank of the usual interpolating quantile: ``(n − 1) · prob``."""
+    return (n - 1) * prob
+
+
 def grouped_quantiles(
     df: DataFrame,
     by: list[str],
@@ -21,6 +27,7 @@ def grouped_quantiles(
     probs: list[float],
     few_groups: bool = False,
     accuracy: int = SKETCH_ACCURACY,
+    position: Callable[[Column, Column], Column] = linear_position,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: columns ``by``, ``prob``, ``quantile``.
 
@@ -33,6 +40,7 @@ def grouped_quantiles(
 
     ``few_groups`` states that the number of groups is fixed by the caller (a list of metric
     names, the hours of a day); otherwise the bracket table is counted before it is broadcast.
+    ``position(n, prob)`` is the 0-based, possibly fractional rank to read.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     margin = 4.0 / accuracy
@@ -89,13 +97,13 @@ def grouped_quantiles(
     counted = placed.groupBy(*by, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ordered = Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v"))
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    position = (F.col("_n") - 1) * F.col("prob")
+    place = position(F.col("_n"), F.col("prob"))
     ranked = (
         counted.withColumn("_to", F.sum("_c").over(ordered))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .withColumn("prob", prob)
-        .withColumn("_k", F.floor(position))
-        .withColumn("_frac", position - F.col("_k"))
+        .withColumn("_k", F.floor(place))
+        .withColumn("_frac", place - F.col("_k"))
         .withColumn("_k2", F.least(F.col("_k") + 1, F.col("_n") - 1))
     )
 

@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Recording the Python call site of every column expression costs several milliseconds each, which
+# dominates the planning of wide queries.
+DEBUGGING_KEY = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def get_session(app: str = "sensorspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +28,7 @@ def get_session(app: str = "sensorspark", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        DEBUGGING_KEY: "false",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
@@ -34,8 +39,9 @@ def get_session(app: str = "sensorspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All calendar features are defined in UTC, whatever the cluster's local zone is."""
+def prepare(spark: SparkSession) -> None:
+    """The runtime setting every query relies on: calendar features are defined in UTC, whatever
+    the cluster's local zone is."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
@@ -46,12 +52,16 @@ def scratch_root(spark: SparkSession) -> str:
     to see the same path, so a missing setting is an error there.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sensorspark-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="sensorspark-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
