@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from sensorspark.plans import anomalies, clusters, models, relational  # noqa: F401
+from sensorspark.plans import anomalies, clusters, densities, models, relational  # noqa: F401
 from sensorspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
