@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.clean import complete_cases
+from sensorspark.operators.density import distance
 from sensorspark.operators.stats import standardize
 from sensorspark.session import materialize, with_scalars
 
@@ -266,11 +267,6 @@ class PrincipalComponents:
 # --- distances and silhouettes ---------------------------------------------------------------
 
 
-def euclidean(x: Column, y: Column) -> Column:
-    terms = F.zip_with(x, y, lambda p, q: (p - q) * (p - q))
-    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
-
-
 def profile_distances(profile: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Distances between the rows of a calendar profile (24 hours, 7 weekdays), each pair once.
 
@@ -286,7 +282,7 @@ def profile_distances(profile: DataFrame, key: str, columns: list[str]) -> DataF
         with_scalars(rows, packed)
         .select("i", "_x", F.inline("_all"))
         .where(F.col("i") < F.col("j"))
-        .select("i", "j", euclidean(F.col("_x"), F.col("_y")).alias("distance"))
+        .select("i", "j", distance(F.col("_x"), F.col("_y"), len(columns)).alias("distance"))
     )
 
 
@@ -321,7 +317,10 @@ def silhouettes(
         F.collect_list("_x").alias("_members")
     )
     spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    partial = F.aggregate("_members", F.lit(0.0), lambda acc, y: acc + euclidean(F.col("_x"), y))
+    dims = len(columns)
+    partial = F.aggregate(
+        "_members", F.lit(0.0), lambda acc, y: acc + distance(F.col("_x"), y, dims)
+    )
     sums = (
         spread.join(packed, ["_by", "_block"])
         .groupBy("_by", "_id", "_own", "_cluster")

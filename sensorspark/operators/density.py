@@ -30,13 +30,14 @@ def _point(columns: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 
 
-def _node_id(x: Column, side: float, level: int) -> Column:
+def _node_id(x: Column, dims: int, side: float, level: int) -> Column:
     """Grid coordinates at ``level``; the parent's are the same shifted right by one bit."""
-    return F.transform(x, lambda v: F.floor(v / F.lit(side / 2.0**level)).cast("long"))
+    width = F.lit(side / 2.0**level)
+    return F.array(*[F.floor(x[i] / width).cast("long") for i in range(dims)])
 
 
-def _parent(node: Column) -> Column:
-    return F.transform(node, lambda i: F.shiftright(i, 1))
+def _parent(node: Column, dims: int) -> Column:
+    return F.array(*[F.shiftright(node[i], 1) for i in range(dims)])
 
 
 def _box(x: Column, dims: int) -> list[Column]:
@@ -46,28 +47,33 @@ def _box(x: Column, dims: int) -> list[Column]:
     ]
 
 
-def _norm(gaps: Column) -> Column:
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g))
+def _norm(gaps: list[Column]) -> Column:
+    total = gaps[0] * gaps[0]
+    for g in gaps[1:]:
+        total = total + g * g
+    return F.sqrt(total)
 
 
-def nearest(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+def distance(x: Column, y: Column, dims: int) -> Column:
+    """Euclidean distance of two array columns, unrolled so that it compiles to plain arithmetic."""
+    return _norm([x[i] - y[i] for i in range(dims)])
+
+
+def nearest(lo1: Column, hi1: Column, lo2: Column, hi2: Column, dims: int) -> Column:
     """Smallest distance between two boxes (a point is a box with equal corners)."""
-    below = F.zip_with(lo1, hi2, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    above = F.zip_with(lo2, hi1, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    return _norm(F.zip_with(below, above, lambda a, b: F.greatest(a, b)))
+    zero = F.lit(0.0)
+    return _norm([F.greatest(lo1[i] - hi2[i], lo2[i] - hi1[i], zero) for i in range(dims)])
 
 
-def farthest(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+def farthest(lo1: Column, hi1: Column, lo2: Column, hi2: Column, dims: int) -> Column:
     """Largest distance between two boxes."""
-    down = F.zip_with(hi1, lo2, lambda a, b: a - b)
-    up = F.zip_with(hi2, lo1, lambda a, b: a - b)
-    return _norm(F.zip_with(down, up, lambda a, b: F.greatest(a, b)))
+    return _norm([F.greatest(hi1[i] - lo2[i], hi2[i] - lo1[i]) for i in range(dims)])
 
 
 def _nodes(points: DataFrame, dims: int, side: float, level: int) -> DataFrame:
     """The occupied nodes of one level: ``node``, ``n``, ``lo``, ``hi``."""
     x = F.col("x")
-    return points.groupBy(_node_id(x, side, level).alias("node")).agg(
+    return points.groupBy(_node_id(x, dims, side, level).alias("node")).agg(
         F.count(F.lit(1)).alias("n"), *_box(x, dims)
     )
 
@@ -111,7 +117,7 @@ def knn_distance(
 
     def bounded(frontier: DataFrame) -> DataFrame:
         """Drop nodes that start beyond a radius which surely holds the wanted neighbours."""
-        far = farthest(x, x, F.col("lo"), F.col("hi"))
+        far = farthest(x, x, F.col("lo"), F.col("hi"), dims)
         reach = F.min(F.when(F.col("_held") >= wanted, F.col("_far"))).over(
             Window.partitionBy("x")
         )
@@ -121,13 +127,13 @@ def knn_distance(
             .withColumn("_reach", reach)
             .where(
                 F.col("_reach").isNull()
-                | (nearest(x, x, F.col("lo"), F.col("hi")) <= F.col("_reach"))
+                | (nearest(x, x, F.col("lo"), F.col("hi"), dims) <= F.col("_reach"))
             )
             .select("x", "node", "n")
         )
 
     def level_nodes(level: int) -> DataFrame:
-        return distinct.groupBy(_node_id(x, side, level).alias("node")).agg(
+        return distinct.groupBy(_node_id(x, dims, side, level).alias("node")).agg(
             F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), *_box(x, dims)
         )
 
@@ -143,23 +149,21 @@ def knn_distance(
         children = broadcast_if_small(materialize(level_nodes(level), "knn-nodes"))
         split = (
             frontier.select("x", F.col("node").alias("_up"))
-            .join(children.withColumn("_up", _parent(F.col("node"))), "_up")
+            .join(children.withColumn("_up", _parent(F.col("node"), dims)), "_up")
             .drop("_up")
         )
         frontier = materialize(bounded(split), "knn-frontier")
 
     located = distinct.select(
-        _node_id(x, side, level).alias("node"), F.col("x").alias("y"), "weight"
+        _node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"), "weight"
     )
-    gap = _norm(F.zip_with("x", "y", lambda a, b: a - b))
+    gap = distance(F.col("x"), F.col("y"), dims)
     pairs = frontier.select("x", "node").join(located, "node").select("x", gap.alias("_far"), "weight")
     held = pairs.groupBy("x", "_far").agg(F.sum("weight").alias("weight")).withColumn(
         "_held", F.sum("weight").over(by_far)
     )
-    distance = held.where(F.col("_held") >= wanted).groupBy("x").agg(
-        F.min("_far").alias("distance")
-    )
-    return rows.join(distance, "x", "left").select(F.col("id").alias(key), "distance")
+    kth = held.where(F.col("_held") >= wanted).groupBy("x").agg(F.min("_far").alias("distance"))
+    return rows.join(kth, "x", "left").select(F.col("id").alias(key), "distance")
 
 
 # --- connected components --------------------------------------------------------------------
@@ -168,9 +172,10 @@ def knn_distance(
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, component): the smallest vertex id reachable over undirected (src, dst) edges.
 
-    Each round takes the smallest label among a vertex and its neighbours (combined before the
-    shuffle, so a hub costs one row per task) and then jumps to the label of that label, which
-    halves the remaining path lengths.
+    Each round takes the smallest of a vertex's label, its neighbours' labels (combined before the
+    shuffle, so a hub costs one row per task) and the label of its label, which shortens remaining
+    paths by half.  Most vertices of a giant component carry the same label; that join has one row
+    per label on its other side, so adaptive execution broadcasts it or splits the hot label.
     """
     both = materialize(
         edges.select("src", "dst").unionByName(
@@ -185,27 +190,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .groupBy(F.col("dst").alias("v"))
             .agg(F.min("component").alias("_offer"))
         )
+        jump = labels.select(F.col("v").alias("component"), F.col("component").alias("_jump"))
         lowered = materialize(
-            labels.join(offered, "v", "left").select(
+            labels.join(offered, "v", "left")
+            .join(jump, "component", "left")
+            .select(
                 "v",
-                F.least("component", "_offer").alias("component"),
+                F.least("component", "_offer", "_jump").alias("component"),
                 F.col("component").alias("_before"),
             ),
             "labels",
         )
-        # Only vertices that are labels themselves can be jumped to.
-        targets = lowered.select(F.col("v").alias("component"), F.col("component").alias("_jump"))
-        used = targets.join(
-            lowered.select("component").distinct(), "component", "left_semi"
-        )
-        jumped = materialize(
-            lowered.join(broadcast_if_small(materialize(used, "targets")), "component", "left").select(
-                "v", F.coalesce("_jump", "component").alias("component"), "_before"
-            ),
-            "labels",
-        )
-        labels = jumped.select("v", "component")
-        if jumped.where(F.col("component") != F.col("_before")).isEmpty():
+        labels = lowered.select("v", "component")
+        if lowered.where(F.col("component") != F.col("_before")).isEmpty():
             return labels
 
 
@@ -233,7 +230,7 @@ def dbscan(
     points = materialize(
         complete_cases(df, columns)
         .select(F.col(key).alias("id"), _point(columns).alias("x"))
-        .withColumn("cell", _node_id(x, side, 0)),
+        .withColumn("cell", _node_id(x, dims, side, 0)),
         "points",
     )
     cells = materialize(
@@ -267,7 +264,7 @@ def dbscan(
     )
     loose_pairs = materialize(
         probes.join(neighbour, "near")
-        .where(_norm(F.zip_with("x", "y", lambda a, b: a - b)) <= eps)
+        .where(distance(F.col("x"), F.col("y"), dims) <= eps)
         .select("id", "other"),
         "loose-pairs",
     )
@@ -357,8 +354,8 @@ def _counts_within(
     level, found = 0, None
     frontier = touching
     while True:
-        near = nearest(x, x, F.col("lo"), F.col("hi"))
-        far = farthest(x, x, F.col("lo"), F.col("hi"))
+        near = nearest(x, x, F.col("lo"), F.col("hi"), dims)
+        far = farthest(x, x, F.col("lo"), F.col("hi"), dims)
         judged = materialize(
             frontier.where(near <= eps).withColumn("_all", far <= eps), "reach"
         )
@@ -374,8 +371,8 @@ def _counts_within(
         if left == 0:
             break
         if left <= pair_budget or level >= MAX_LEVEL:
-            located = crowded.select(_node_id(x, side, level).alias("node"), F.col("x").alias("y"))
-            close = _norm(F.zip_with("x", "y", lambda a, b: a - b)) <= eps
+            located = crowded.select(_node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"))
+            close = distance(F.col("x"), F.col("y"), dims) <= eps
             exact = (
                 open_pairs.select("id", "v", "x", "node")
                 .join(located, "node")
@@ -389,7 +386,7 @@ def _counts_within(
         children = broadcast_if_small(materialize(_nodes(crowded, dims, side, level), "nodes"))
         frontier = (
             open_pairs.select("id", "v", "x", F.col("node").alias("_up"))
-            .join(children.withColumn("_up", _parent(F.col("node"))), "_up")
+            .join(children.withColumn("_up", _parent(F.col("node"), dims)), "_up")
             .drop("_up")
         )
     return found.groupBy("id", "v").agg(F.sum("n").alias("n"))
@@ -425,7 +422,7 @@ def _linked_cells(
     level, linked = 0, None
     while True:
         judged = materialize(
-            frontier.where(nearest(*corners) <= eps).withColumn("_all", farthest(*corners) <= eps),
+            frontier.where(nearest(*corners, dims) <= eps).withColumn("_all", farthest(*corners, dims) <= eps),
             "links",
         )
         sure = judged.where("_all").select("src", "dst")
@@ -437,8 +434,8 @@ def _linked_cells(
         if work == 0:
             return linked
         if work <= pair_budget or level >= MAX_LEVEL:
-            located = crowded.select(_node_id(F.col("x"), side, level).alias("node"), "x")
-            close = _norm(F.zip_with("x", "y", lambda a, b: a - b)) <= eps
+            located = crowded.select(_node_id(F.col("x"), dims, side, level).alias("node"), "x")
+            close = distance(F.col("x"), F.col("y"), dims) <= eps
             exact = (
                 open_pairs.select("src", "dst", "node", "node2")
                 .join(located, "node")
@@ -451,7 +448,7 @@ def _linked_cells(
             return linked.unionByName(exact).distinct()
         level += 1
         children = materialize(_nodes(crowded, dims, side, level), "nodes").withColumn(
-            "_up", _parent(F.col("node"))
+            "_up", _parent(F.col("node"), dims)
         )
         small = broadcast_if_small(children)
         other = small.select(

@@ -143,5 +143,34 @@ def quick_statistics(master: DataFrame) -> DataFrame:
     return label_rows(row, cells, ("position", "metric", "value"))
 
 
+def worst_text(groups: DataFrame, key: str, measure: str, name: str) -> DataFrame:
+    """One row: the groups at the maximum of a measure, as comma-separated text."""
+    worst = profile.peak_groups(groups, key, {measure: measure})
+    return worst.agg(F.array_join(F.array_sort(F.collect_list(key)), ", ").alias(name))
+
+
+def findings(master: DataFrame, zones: DataFrame, stations: DataFrame) -> DataFrame:
+    """The key findings of the exploratory report as (position, key, value)."""
+    bounds = master.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    )
+    row = with_scalars(bounds, peak_hours_text(master))
+    row = with_scalars(row, worst_text(zones, "zone", "congestion_rate", "worst_zone"))
+    row = with_scalars(row, worst_text(stations, "station_id", "avg_aqi", "worst_station"))
+    clock = F.lit(":00")
+    cells = [
+        ("Records", F.format_number("records", 0)),
+        ("Date Range", F.concat_ws(" to ", "first_date", "last_date")),
+        ("Peak Traffic Hour", F.concat("peak_traffic", clock)),
+        ("Worst Air Quality Hour", F.concat("peak_aqi", clock)),
+        ("Peak Energy Hour", F.concat("peak_energy", clock)),
+        ("Most Congested Zone", F.col("worst_zone")),
+        ("Worst AQI Station", F.col("worst_station")),
+    ]
+    return label_rows(row, cells, ("position", "key", "value"))
+
+
 def combine(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

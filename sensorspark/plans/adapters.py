@@ -232,7 +232,7 @@ AIR = f"""{READINGS}, air AS (
          {AQI_CATEGORY.format('x')} AS AQI_category, {calendar_sql('timestamp')}
   FROM readings)"""
 
-HOURLY = f"""{READINGS}, rows_h AS (
+HOURLY_TAIL = f"""rows_h AS (
   SELECT date_trunc('hour', timestamp) AS ts, entity, x, k FROM readings),
 traffic_h AS (
   SELECT ts, coalesce(sum(x), 0) AS total_vehicles, avg(k) AS avg_speed,
@@ -267,6 +267,8 @@ hourly AS (
   FROM traffic_h t LEFT JOIN air_h a ON t.ts = a.ts LEFT JOIN energy_h e ON t.ts = e.ts
   LEFT JOIN weather_h w ON t.ts = w.ts)"""
 
+HOURLY = f"{READINGS}, {HOURLY_TAIL}"
+
 AIR_DAILY = """air_daily AS (
   SELECT CAST(o_orderdate AS TIMESTAMP) AS timestamp, o_orderpriority AS station_id,
          o_totalprice / 1000 AS AQI, o_totalprice / 2000 AS PM25
