@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def parse_timestamp(text: Column) -> Column:
+    """Full or date-only timestamp text; unreadable text gives NULL."""
+    return F.try_to_timestamp(text)
+
+
 def weekday_number(ts: Column) -> Column:
     """Sunday = 1 … Saturday = 7."""
     return F.dayofweek(ts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sensorspark.functions import calendar
 
@@ -41,10 +42,17 @@ def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.dropna(how="any", subset=columns)
 
 
+def _stamp(raw: DataFrame) -> Column:
+    """The timestamp column as a timestamp; text is parsed, unreadable text becomes NULL."""
+    c = F.col("timestamp")
+    is_text = raw.schema["timestamp"].dataType == StringType()
+    return calendar.parse_timestamp(c) if is_text else c.cast("timestamp")
+
+
 def clean_traffic(raw: DataFrame) -> DataFrame:
     ranged = raw.withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp"),
+            "timestamp": _stamp(raw),
             "vehicle_count": range_or_null(F.col("vehicle_count"), lo=0),
             "average_speed": range_or_null(F.col("average_speed"), lo=0, hi=120),
         }
@@ -58,7 +66,7 @@ def clean_traffic(raw: DataFrame) -> DataFrame:
 def clean_air_quality(raw: DataFrame) -> DataFrame:
     ranged = nonnegative_or_null(raw, ["PM25", "PM10", "NO2", "O3", "AQI"]).withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp"),
+            "timestamp": _stamp(raw),
             "temperature": range_or_null(F.col("temperature"), lo=-50, hi=60),
             "humidity": range_or_null(F.col("humidity"), lo=0, hi=100),
         }
@@ -69,7 +77,7 @@ def clean_air_quality(raw: DataFrame) -> DataFrame:
 def clean_energy(raw: DataFrame) -> DataFrame:
     ranged = nonnegative_or_null(raw, ["energy_consumption_kwh", "peak_demand_kw"]).withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp"),
+            "timestamp": _stamp(raw),
             "renewable_percent": range_or_null(F.col("renewable_percent"), lo=0, hi=100),
         }
     )
@@ -80,7 +88,7 @@ def clean_energy(raw: DataFrame) -> DataFrame:
 def clean_weather(raw: DataFrame) -> DataFrame:
     ranged = raw.withColumns(
         {
-            "timestamp": F.col("timestamp").cast("timestamp"),
+            "timestamp": _stamp(raw),
             "temperature": range_or_null(F.col("temperature"), lo=-50, hi=60),
             "humidity": range_or_null(F.col("humidity"), lo=0, hi=100),
             "wind_speed": range_or_null(F.col("wind_speed"), lo=0, hi=150),

@@ -29,6 +29,8 @@ def train(
 ) -> PipelineModel:
     """One forest of ``features.MODELS``; trees grow level by level across the executors."""
     label, inputs = MODELS[model]
+    if train_rows.isEmpty():
+        raise ValueError(f"no complete rows to train the {model} model on")
     forest = RandomForestRegressor(
         labelCol=label,
         featuresCol="features",

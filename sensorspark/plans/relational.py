@@ -156,6 +156,28 @@ def calendar_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "parsed_timestamps",
+    """SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN NULL
+       ELSE CAST(o_orderdate AS TIMESTAMP) END AS timestamp,
+       CASE o_orderpriority WHEN '5-LOW' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date
+FROM orders""",
+)
+def parsed_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Text stamps: full, date-only and unreadable ones."""
+    orders = a.table(spark, d, "orders")
+    priority, day = F.col("o_orderpriority"), F.col("o_orderdate").cast("timestamp")
+    text = (
+        F.when(priority == "5-LOW", "not a date")
+        .when(priority == "1-URGENT", F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
+    )
+    parsed = calendar.parse_timestamp(text)
+    return orders.select(
+        "o_orderkey", parsed.alias("timestamp"), F.to_date(parsed).alias("date")
+    )
+
+
 @query(
     "bin_aqi",
     f"""WITH {a.READINGS}
@@ -576,9 +598,8 @@ def _complete(columns: list[str]) -> str:
 def _correlation_sql(columns: list[str]) -> str:
     cells = " UNION ALL ".join(
         f"SELECT '{x}' AS var1, '{y}' AS var2, "
-        + ("1.0" if x == y else f"corr({x}, {y})")
+        + (f"CASE WHEN stddev_samp({x}) > 0 THEN 1.0 END" if x == y else f"corr({x}, {y})")
         + " AS value FROM c"
-        + (" HAVING count(*) > 1" if x == y else "")
         for x in columns
         for y in columns
     )
@@ -825,6 +846,18 @@ def sample_n_points(spark: SparkSession, d: str) -> DataFrame:
     return profile.sample_rows(rows, "event_id", 5000)
 
 
+@query(
+    "filtered_sample",
+    f"""WITH {a.TRAFFIC}
+SELECT event_id, {rs('vehicle_count', 'average_speed')}, congestion_level FROM traffic
+WHERE {_RANGE_SQL} AND zone = 'click'
+ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 1000""",
+)
+def filtered_sample(spark: SparkSession, d: str) -> DataFrame:
+    sample = marts.speed_volume_sample(a.traffic(spark, d), "event_id", _FROM, _TO, zone="click")
+    return sample.select("event_id", "vehicle_count", "average_speed", "congestion_level")
+
+
 @query(
     "overlay_sample",
     f"""WITH {a.HOURLY}
