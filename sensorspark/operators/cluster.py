@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sensorspark.functions.clean import complete_cases
 from sensorspark.operators.density import distance
 from sensorspark.operators.stats import standardize
-from sensorspark.session import materialize, with_scalars
+from sensorspark.session import broadcast_if_small, default_tasks, materialize, with_scalars
 
 # The hours that make up the named parts of a day.
 HOUR_LABELS = [
@@ -313,16 +313,22 @@ def silhouettes(
     )
     n_blocks = max(1, math.ceil(points.count() / block_rows))
     block = F.pmod(F.xxhash64("_by", "_id"), F.lit(n_blocks)).cast("int")
-    packed = points.groupBy("_by", block.alias("_block"), F.col("_own").alias("_cluster")).agg(
-        F.collect_list("_x").alias("_members")
+    packed = materialize(
+        points.groupBy("_by", block.alias("_block"), F.col("_own").alias("_cluster")).agg(
+            F.collect_list("_x").alias("_members")
+        ),
+        "blocks",
+    )
+    # The table is small in bytes but each row costs n distances, hence the explicit spread.
+    spread = points.repartition(max(n_blocks, default_tasks(points)), "_id").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     )
-    spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     dims = len(columns)
     partial = F.aggregate(
         "_members", F.lit(0.0), lambda acc, y: acc + distance(F.col("_x"), y, dims)
     )
     sums = (
-        spread.join(packed, ["_by", "_block"])
+        spread.join(broadcast_if_small(packed, 4096), ["_by", "_block"])
         .groupBy("_by", "_id", "_own", "_cluster")
         .agg(F.sum(partial).alias("_sum"))
     )

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from sensorspark.functions.clean import complete_cases
 from sensorspark.operators.sequence import with_row_id
 from sensorspark.operators.stats import mean_sd_row
-from sensorspark.session import broadcast_if_small, materialize, with_scalars
+from sensorspark.session import broadcast_if_small, default_tasks, materialize, with_scalars
 
 # Up to this many point pairs per remaining round are compared directly.
 PAIR_BUDGET = 2_000_000
@@ -158,10 +158,10 @@ def knn_distance(
         _node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"), "weight"
     )
     gap = distance(F.col("x"), F.col("y"), dims)
-    pairs = frontier.select("x", "node").join(located, "node").select("x", gap.alias("_far"), "weight")
-    held = pairs.groupBy("x", "_far").agg(F.sum("weight").alias("weight")).withColumn(
-        "_held", F.sum("weight").over(by_far)
-    )
+    # Partitioned by point up front, so that the running sums below need no further shuffle.
+    spread = frontier.select("x", "node").repartition(default_tasks(frontier), "x")
+    pairs = spread.join(located, "node").select("x", gap.alias("_far"), "weight")
+    held = pairs.withColumn("_held", F.sum("weight").over(by_far))
     kth = held.where(F.col("_held") >= wanted).groupBy("x").agg(F.min("_far").alias("distance"))
     return rows.join(kth, "x", "left").select(F.col("id").alias(key), "distance")
 

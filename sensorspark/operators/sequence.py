@@ -7,6 +7,8 @@ block borrows the last rows of the block before it (its halo), so every frame is
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +23,8 @@ def with_row_id(df: DataFrame, order_by: list[str], name: str = "series") -> Dat
     """Add a dense 1-based ``row_id`` in the order of ``order_by`` (which should be unique).
 
     Rows are range-partitioned, sorted inside each partition and written once together with
-    (partition, position); the number of rows per partition, one row per write task, then gives
-    each partition its offset.  A hot leading key is split as long as the later order columns tell
+    (partition, position); the number of rows of every partition before it then gives each
+    partition its offset.  A hot leading key is split as long as the later order columns tell
     its rows apart.
     """
     ordered = [F.asc_nulls_last(c) for c in order_by]
@@ -32,20 +34,13 @@ def with_row_id(df: DataFrame, order_by: list[str], name: str = "series") -> Dat
         .withColumn("_place", F.monotonically_increasing_id())
     )
     stored = materialize(placed, name)
-    part = F.shiftrightunsigned("_place", _POSITION_BITS)
+    part = F.shiftrightunsigned("_place", _POSITION_BITS).cast("int")
     position = F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # As many rows as the write had tasks, so the unpartitioned running sum stays small.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    return (
-        stored.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("row_id", F.col("_offset") + position + 1)
-        .drop("_part", "_offset", "_place")
-    )
+    # One count per write task; the running sums become a constant array in the plan.
+    sizes = dict(stored.groupBy(part).agg(F.count(F.lit(1))).collect())
+    starts = accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0)
+    offsets = F.expr(f"array({', '.join(f'{n}L' for n in starts)})")
+    return stored.withColumn("row_id", offsets[part] + position + 1).drop("_place")
 
 
 class HaloFrames:

@@ -96,11 +96,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def all_null(*cols: Column) -> Column:
-    out = cols[0].isNull()
-    for c in cols[1:]:
-        out = out & c.isNull()
-    return out
+def default_tasks(df: DataFrame) -> int:
+    """Task count for steps whose cost is computation, which byte-based coalescing cannot see."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def any_null(*cols: Column) -> Column:
