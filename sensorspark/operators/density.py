@@ -144,7 +144,10 @@ def knn_distance(
     )
     start = with_scalars(distinct.select("x"), roots).select("x", F.inline("_roots"))
     frontier = materialize(bounded(start), "knn-frontier")
-    while level < MAX_LEVEL and frontier.agg(F.sum("n")).first()[0] > pair_budget:
+    while level < MAX_LEVEL:
+        pairs_left, largest = frontier.agg(F.sum("n"), F.max("n")).first()
+        if pairs_left <= pair_budget or largest == 1:
+            break
         level += 1
         children = broadcast_if_small(materialize(level_nodes(level), "knn-nodes"))
         split = (

@@ -48,12 +48,9 @@ def brute_dbscan(x, eps, min_pts):
     return out
 
 
-@pytest.mark.parametrize("budget", [10**6, 400, 0])
-@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("dims,budget", [(2, 10**6), (3, 400), (2, 0)])
 def test_knn_distance(spark, dims, budget):
     x = blobs(dims)
-    if budget == 0:
-        x = np.unique(x, axis=0)[:40]
     got = density.knn_distance(frame(spark, x), "id", COLS[:dims], 4, budget).orderBy("id").collect()
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)
     assert [r["distance"] for r in got] == pytest.approx(list(d[:, 4]))
@@ -64,8 +61,9 @@ def test_knn_without_enough_rows(spark):
     assert [r["distance"] for r in got] == [None] * 3
 
 
-@pytest.mark.parametrize("budget", [10**6, 60])
-@pytest.mark.parametrize("dims,eps", [(2, 1.5), (3, 1.5), (2, 0.2)])
+@pytest.mark.parametrize(
+    "dims,eps,budget", [(2, 1.5, 10**6), (3, 1.5, 60), (2, 1.5, 0), (2, 0.2, 10)]
+)
 def test_dbscan(spark, dims, eps, budget):
     x = blobs(dims, seed=dims)
     got = density.dbscan(frame(spark, x), "id", COLS[:dims], eps, 5, budget).orderBy("id").collect()
