@@ -78,6 +78,11 @@ def _nodes(points: DataFrame, dims: int, side: float, level: int) -> DataFrame:
     )
 
 
+def _hinted(df: DataFrame, row_bound: int, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a table whose row count is already known not to exceed ``row_bound``."""
+    return F.broadcast(df) if row_bound <= max_rows else df
+
+
 # --- k-nearest-neighbour distance ------------------------------------------------------------
 
 
@@ -377,8 +382,7 @@ def _counts_within(
             located = crowded.select(_node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"))
             close = distance(F.col("x"), F.col("y"), dims) <= eps
             exact = (
-                open_pairs.select("id", "v", "x", "node")
-                .join(located, "node")
+                located.join(_hinted(open_pairs.select("id", "v", "x", "node"), left), "node")
                 .where(close)
                 .groupBy("id", "v")
                 .agg(F.count(F.lit(1)).alias("n"))
@@ -440,8 +444,7 @@ def _linked_cells(
             located = crowded.select(_node_id(F.col("x"), dims, side, level).alias("node"), "x")
             close = distance(F.col("x"), F.col("y"), dims) <= eps
             exact = (
-                open_pairs.select("src", "dst", "node", "node2")
-                .join(located, "node")
+                located.join(_hinted(open_pairs.select("src", "dst", "node", "node2"), work), "node")
                 .join(
                     located.select(F.col("node").alias("node2"), F.col("x").alias("y")), "node2"
                 )

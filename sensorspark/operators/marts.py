@@ -146,6 +146,7 @@ def quick_statistics(master: DataFrame) -> DataFrame:
 def worst_text(groups: DataFrame, key: str, measure: str, name: str) -> DataFrame:
     """One row: the groups at the maximum of a measure, as comma-separated text."""
     worst = profile.peak_groups(groups, key, {measure: measure})
+    # Only the groups tied at the maximum are listed.
     return worst.agg(F.array_join(F.array_sort(F.collect_list(key)), ", ").alias(name))
 
 
