@@ -10,7 +10,7 @@ from sensorspark.functions import calendar
 from sensorspark.functions.scores import row_max, severity_label
 from sensorspark.operators.sequence import HaloFrames
 from sensorspark.operators.stats import covariance_row, mean_sd_row, quantile_row
-from sensorspark.session import any_null, with_scalars
+from sensorspark.session import with_scalars
 
 METRICS = {"traffic": "total_vehicles", "aqi": "avg_AQI", "energy": "total_energy_kwh"}
 METHODS = {"zscore": "anomaly", "iqr": "anomaly_iqr", "ma": "anomaly_ma", "time": "time_anomaly"}
@@ -36,10 +36,9 @@ def zscore_flags(
     cols = list(metrics.values())
     scored = with_scalars(df, mean_sd_row(df if source is None else source, cols))
     flags = {
-        flag_name(m, "zscore"): F.abs(
-            F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_sd"))
+        flag_name(m, "zscore"): F.expr(
+            f"abs(try_divide(`{c}` - `{c}_mean`, `{c}_sd`)) > {float(threshold)}D"
         )
-        > threshold
         for m, c in metrics.items()
     }
     return scored.withColumns(flags).drop(*[f"{c}_{s}" for c in cols for s in ("mean", "sd")])
@@ -57,8 +56,8 @@ def iqr_flags(
     fenced = with_scalars(df, quartiles)
 
     def outside(c: str) -> Column:
-        spread = multiplier * (F.col(f"{c}_q3") - F.col(f"{c}_q1"))
-        return (F.col(c) < F.col(f"{c}_q1") - spread) | (F.col(c) > F.col(f"{c}_q3") + spread)
+        spread = f"{float(multiplier)}D * (`{c}_q3` - `{c}_q1`)"
+        return F.expr(f"`{c}` < `{c}_q1` - {spread} or `{c}` > `{c}_q3` + {spread}")
 
     flags = {flag_name(m, "iqr"): outside(c) for m, c in metrics.items()}
     return fenced.withColumns(flags).drop(*[f"{c}_{s}" for c in cols for s in ("q1", "q3")])
@@ -114,8 +113,9 @@ def hour_of_day_flags(
     stats = hour_profile_sd(df, metrics) if profile is None else profile
     joined = df.join(F.broadcast(stats), "hour", "left")
     flags = {
-        flag_name(m, "time"): F.abs(F.col(c) - F.col(f"{m}_mean"))
-        > threshold * F.col(f"{m}_sd")
+        flag_name(m, "time"): F.expr(
+            f"abs(`{c}` - `{m}_mean`) > {float(threshold)}D * `{m}_sd`"
+        )
         for m, c in metrics.items()
     }
     return joined.withColumns(flags).drop(*[f"{m}_{s}" for m in metrics for s in ("mean", "sd")])
@@ -125,10 +125,7 @@ def severity(df: DataFrame, metrics: dict[str, str] = METRICS) -> DataFrame:
     """Agreeing detectors per metric, their maximum over metrics, and its label (NULLs carry)."""
 
     def agreeing(m: str) -> Column:
-        total = F.lit(0)
-        for method in METHODS:
-            total = total + F.col(flag_name(m, method)).cast("int")
-        return total
+        return F.expr(" + ".join(f"cast(`{flag_name(m, method)}` as int)" for method in METHODS))
 
     scored = df.withColumns({f"{m}_severity": agreeing(m) for m in metrics})
     scored = scored.withColumn(
@@ -157,27 +154,28 @@ def mahalanobis_flags(
         raise ValueError("the closed-form inverse is written for three metrics")
     stats = covariance_row(df if source is None else source, cols)
 
-    def s(i: int, j: int) -> Column:
-        return F.col(f"cov_{min(i, j)}_{max(i, j)}")
+    def s(i: int, j: int) -> str:
+        return f"cov_{min(i, j)}_{max(i, j)}"
 
-    def cofactor(i: int, j: int) -> Column:
+    def cofactor(i: int, j: int) -> str:
         (a, b), (c, d) = [[x for x in range(3) if x != k] for k in (i, j)]
-        minor = s(a, c) * s(b, d) - s(a, d) * s(b, c)
-        return minor if (i + j) % 2 == 0 else -minor
+        minor = f"({s(a, c)} * {s(b, d)} - {s(a, d)} * {s(b, c)})"
+        return minor if (i + j) % 2 == 0 else f"(-{minor})"
 
-    det = s(0, 0) * cofactor(0, 0) + s(0, 1) * cofactor(0, 1) + s(0, 2) * cofactor(0, 2)
-    usable = (F.col("n") > min_rows) & (det > min_det)
+    det = " + ".join(f"{s(0, j)} * {cofactor(0, j)}" for j in range(3))
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    inverse = stats.select(
-        *[F.col(f"mean_{i}").alias(f"_m{i}") for i in range(3)],
-        *[F.when(usable, cofactor(i, j) / det).alias(f"_inv{i}{j}") for i, j in pairs],
+    usable = f"n > {int(min_rows)} and {det} > {float(min_det)}D"
+    inverse = stats.selectExpr(
+        *[f"mean_{i} as _m{i}" for i in range(3)],
+        *[f"case when {usable} then {cofactor(i, j)} / ({det}) end as _inv{i}{j}" for i, j in pairs],
     )
     placed = with_scalars(df, inverse)
-    delta = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)]
-    distance = F.lit(0.0)
-    for i, j in pairs:
-        term = delta[i] * delta[j] * F.col(f"_inv{i}{j}")
-        distance = distance + (term if i == j else 2 * term)
+    delta = [f"(`{c}` - _m{i})" for i, c in enumerate(cols)]
+    distance = F.expr(
+        " + ".join(
+            f"{1 if i == j else 2}D * {delta[i]} * {delta[j]} * _inv{i}{j}" for i, j in pairs
+        )
+    )
     return (
         placed.withColumn("mahalanobis_distance", distance)
         .withColumn(

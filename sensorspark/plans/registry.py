@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from sensorspark.session import prepare
@@ -43,9 +42,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     Adding 0.0 at the end turns a negative zero into a plain one.
     """
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(F.col(c) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c) if c in floats else F.col(c)
+            f"round(`{c}` + {NUDGE}D, {digits}) + 0D as `{c}`" if c in floats else f"`{c}`"
             for c in df.columns
         ]
     )
