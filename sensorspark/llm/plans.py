@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import pii, quality_rules
+from sensorspark.llm import packing, pii, quality_rules
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_rules.report(docs, labels)
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return report.select("doc_id", *shown, "base_failed", "kept")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
