@@ -85,32 +85,40 @@ def numbered_shingles(words: list[bytes]) -> np.ndarray:
     return codes
 
 
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, SKETCHES, np.uint32) * np.uint32(2) + np.uint32(1)
+LAST = np.iinfo(np.uint32).max
+
+
 def sketch_keys(words: list[bytes]) -> list[int]:
     """One 64-bit key per sketch; none for a text without words."""
     if not words:
         return []
     codes = numbered_shingles(words)
-    m = SKETCHES
-    draw = np.random.default_rng(SEED)
-    factors = draw.integers(1, 1 << 63, m, np.uint64) * np.uint64(2) + np.uint64(1)
-    best = np.full((m, PICK), np.iinfo(np.uint64).max, np.uint64)
-    where = np.full((m, PICK), -1, np.int64)
-    rows = np.arange(m)
-    for start in range(0, len(codes), BLOCK):
-        values = factors[:, None] * codes[None, start : start + BLOCK]
-        values ^= values >> np.uint64(32)
-        ranks, places = [best], [where]
+    # The hash functions multiply the upper half of a shingle's code by odd numbers.
+    upper = (codes >> np.uint64(32)).astype(np.uint32)
+    ranks = np.full((SKETCHES, PICK), LAST, np.uint32)
+    where = np.full((SKETCHES, PICK), -1, np.int64)
+    rows = np.arange(SKETCHES)
+    for start in range(0, len(upper), BLOCK):
+        values = FACTORS[:, None] * upper[None, start : start + BLOCK]
+        more_ranks, more_places = [ranks], [where]
         for _ in range(min(PICK, values.shape[1])):
             at = values.argmin(axis=1)
-            ranks.append(values[rows, at][:, None])
-            places.append(at[:, None] + start)
-            values[rows, at] = np.iinfo(np.uint64).max
-        ranks, places = np.hstack(ranks), np.hstack(places)
-        keep = np.argsort(ranks, axis=1, kind="stable")[:, :PICK]
-        best, where = np.take_along_axis(ranks, keep, 1), np.take_along_axis(places, keep, 1)
+            more_ranks.append(values[rows, at][:, None])
+            more_places.append(at[:, None] + start)
+            values[rows, at] = LAST
+        if start == 0 and len(more_places) > PICK:
+            ranks, where = np.hstack(more_ranks[1:]), np.hstack(more_places[1:])
+            continue
+        all_ranks, all_places = np.hstack(more_ranks), np.hstack(more_places)
+        keep = np.argsort(all_ranks, axis=1, kind="stable")[:, :PICK]
+        if start == 0:
+            # A text of fewer shingles than a sketch holds fills the rest with places of no shingle.
+            keep = np.argsort(all_places < 0, axis=1, kind="stable")[:, :PICK]
+        ranks, where = np.take_along_axis(all_ranks, keep, 1), np.take_along_axis(all_places, keep, 1)
     where.sort(axis=1)
     picked = np.where(where >= 0, codes[where], np.uint64(0))
-    keys = np.arange(1, m + 1, dtype=np.uint64)
+    keys = np.arange(1, SKETCHES + 1, dtype=np.uint64)
     for column in picked.T:
         keys = _mix(keys * np.uint64(0xD6E8FEB86659FD93) + column)
     return keys.view(np.int64).tolist()
@@ -237,7 +245,7 @@ def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
     state = members.withColumns(
         {"component": F.col("v"), "used": F.lit(False), "lead": F.col("v") == F.col("pivot")}
     )
-    links, turn = None, 0
+    links, components, turn = None, involved.withColumn("component", F.col("v")), 0
     while True:
         leads = state.where("lead").select(
             "key", F.col("v").alias("dst"), F.col("component").alias("other"), F.col("n_words").alias("n_dst")
@@ -253,8 +261,9 @@ def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
             .distinct()
         )
         found = _verified(pairs, texts)
-        links = found if links is None else materialize(links.unionByName(found), "links")
-        components = connected_components(involved, links)
+        if not found.isEmpty():
+            links = found if links is None else materialize(links.unionByName(found), "links")
+            components = connected_components(involved, links)
         judged = state.select("key", "v", "n_words", (F.col("used") | F.col("lead")).alias("used")).join(
             components, "v"
         )
