@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import order_minhash, packing, pii, quality_rules
+from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *shown, "base_failed", "kept")
 
 
+# English fills half of each domain, the other languages share the rest evenly; domains are even.
+TARGETS = mixing.Mix(weights={"lang": {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 1.0}})
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents chosen to meet the target weights, one row per epoch."""
+    chosen = mixing.mixed(table(spark, sf_dir, "documents"), TARGETS)
+    return chosen.select("doc_id", "mix.*")
+
+
 @query("op10_order_minhash")
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
