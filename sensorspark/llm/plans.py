@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules
+from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules, rule_ensemble, url_filter
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,29 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_rule_ensemble")
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text of ``documents``."""
+    return rule_ensemble.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    rules = url_filter.rule_table(spark, URL_RULES)
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules)
+
+
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
