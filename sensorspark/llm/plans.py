@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules, rule_ensemble, toxicity, url_filter
+from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op6_rp_forest")
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found for every embedding whose id is divisible by 50."""
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict of every document."""
