@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import mixing, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
+from sensorspark.llm import html_layout, mixing, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_html_layout")
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text of ``documents``."""
