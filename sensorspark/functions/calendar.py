@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Full or date-only timestamp text; unreadable text gives NULL."""
-    return F.try_to_timestamp(text)
+    """Full or date-only timestamp text; text that is unreadable or names no date gives NULL."""
+    return F.when(text.rlike(r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), F.try_to_timestamp(text))
 
 
 def weekday_number(ts: Column) -> Column:

@@ -11,8 +11,9 @@ from sensorspark.plans import adapters as a
 from sensorspark.plans.anomalies import RECORDS_SQL, SCORED, scored_master
 from sensorspark.plans.registry import query, rs
 from sensorspark.plans.relational import CORR_COLUMNS, MASTER_OUT
-from sensorspark.session import materialize, scratch_path
+from sensorspark.session import materialize, scratch_path, with_scalars
 from sensorspark.sources import tables
+from sensorspark.sources.schemas import RAW_SCHEMAS
 
 
 @query(
@@ -36,6 +37,38 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_raw(spark, "traffic", path)
 
 
+@query(
+    "csv_plain_scan",
+    f"""WITH {a.READINGS}, stamped AS (
+  SELECT CASE WHEN event_id % 5 = 0 THEN CAST(CAST(timestamp AS DATE) AS TIMESTAMP)
+              WHEN event_id % 5 = 1 THEN NULL ELSE date_trunc('second', timestamp) END AS timestamp,
+         entity AS zone, CAST(trunc(x) AS INT) AS vehicle_count, k AS average_speed,
+         {a.LEVEL} AS congestion_level, event_id % 5 = 1 AS unread
+  FROM readings)
+SELECT timestamp, zone, vehicle_count, {rs('average_speed')}, congestion_level,
+       (SELECT count(*) FROM stamped WHERE unread) AS unreadable
+FROM stamped""",
+)
+def csv_plain_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A traffic feed as other tools write it: seconds or dates as stamps, some of them unreadable."""
+    stamp = (
+        F.when(F.col("event_id") % 5 == 0, F.date_format("timestamp", "yyyy-MM-dd"))
+        .when(F.col("event_id") % 5 == 1, F.lit("soon"))
+        .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    )
+    rows = a.traffic_of(a.readings(spark, d)).select(
+        stamp.alias("timestamp"),
+        "zone",
+        F.col("vehicle_count").cast("int").alias("vehicle_count"),
+        "average_speed",
+        "congestion_level",
+    )
+    path = scratch_path(spark, "plain-csv")
+    tables.write_csv(rows, path)
+    unread = tables.unreadable_stamps(spark, path, RAW_SCHEMAS["traffic"]).withColumnRenamed("timestamp", "unreadable")
+    return with_scalars(tables.read_raw(spark, "traffic", path), unread)
+
+
 @query("table_roundtrip", f"WITH {a.HOURLY} SELECT {MASTER_OUT} FROM hourly")
 def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Build the hourly table only when absent, then read the stored one twice."""

@@ -8,15 +8,36 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
+from sensorspark.functions.calendar import parse_timestamp
 from sensorspark.sources.schemas import RAW_SCHEMAS
 
 CSV_OPTIONS = {"header": "true", "nullValue": "NA", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 
+def _stamps(schema: StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, TimestampType)]
+
+
+def _read_text(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The CSV with its timestamps as text."""
+    stamps = _stamps(schema)
+    loose = StructType([StructField(f.name, StringType()) if f.name in stamps else f for f in schema.fields])
+    return spark.read.schema(loose).options(**CSV_OPTIONS).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    """CSV with a header.  Timestamps may be dates or have seconds, with or without a fraction; text
+    that is none of these gives NULL and is counted by ``unreadable_stamps``."""
+    return _read_text(spark, path, schema).withColumns({c: parse_timestamp(F.col(c)) for c in _stamps(schema)})
+
+
+def unreadable_stamps(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row: for each timestamp column, how many values are there but cannot be read."""
+    return _read_text(spark, path, schema).agg(
+        *[F.count_if(F.col(c).isNotNull() & parse_timestamp(F.col(c)).isNull()).alias(c) for c in _stamps(schema)]
+    )
 
 
 def read_raw(spark: SparkSession, feed: str, path: str) -> DataFrame:
