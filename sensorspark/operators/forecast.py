@@ -18,14 +18,14 @@ from sensorspark.session import with_scalars
 NUM_TREES = 100
 FEATURES_PER_SPLIT = 4
 MIN_NODE = 5
+# Trees end by node size alone; this is the deepest that Spark allows.
+MAX_DEPTH = 30
 
 
 def train(
     train_rows: DataFrame,
     model: str,
     seed: int = 123,
-    max_depth: int = 12,
-    num_trees: int = NUM_TREES,
 ) -> PipelineModel:
     """One forest of ``features.MODELS``; trees grow level by level across the executors."""
     label, inputs = MODELS[model]
@@ -35,10 +35,10 @@ def train(
         labelCol=label,
         featuresCol="features",
         predictionCol="predicted",
-        numTrees=num_trees,
+        numTrees=NUM_TREES,
         featureSubsetStrategy=str(FEATURES_PER_SPLIT),
         minInstancesPerNode=MIN_NODE,
-        maxDepth=max_depth,
+        maxDepth=MAX_DEPTH,
         seed=seed,
     )
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
@@ -160,13 +160,13 @@ SCENARIO_RANGES = {"hour": (0, 23), "temperature": (-10.0, 40.0), "humidity": (0
 
 
 def checked_scenarios(scenarios: DataFrame) -> DataFrame:
-    """Fail on values outside the accepted ranges instead of scoring them."""
+    """Fail on values outside the accepted ranges, or missing, instead of scoring them."""
+    kinds = dict(scenarios.dtypes)
 
     def checked(c: str, lo: float, hi: float) -> Column:
-        message = F.lit(f"{c} must lie in {lo}..{hi}")
-        return F.when(F.col(c).between(lo, hi), F.col(c)).otherwise(
-            F.raise_error(message).cast("double")
-        )
+        outside = F.raise_error(F.lit(f"{c} must lie in {lo}..{hi}")).cast(kinds[c])
+        missing = F.raise_error(F.lit(f"{c} is missing")).cast(kinds[c])
+        return F.when(F.col(c).isNull(), missing).when(F.col(c).between(lo, hi), F.col(c)).otherwise(outside)
 
     return scenarios.withColumns(
         {c: checked(c, lo, hi) for c, (lo, hi) in SCENARIO_RANGES.items()}

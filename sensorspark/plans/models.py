@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.functions.clean import clamp
 from sensorspark.operators import features, forecast
 from sensorspark.plans.anomalies import _FEATURE_SQL, numbered_master
 from sensorspark.plans.registry import query
-from sensorspark.session import scratch_path
+from sensorspark.session import scratch_path, with_scalars
 from sensorspark.sources import tables
 
 NAMES = list(features.MODELS)
@@ -53,6 +52,23 @@ def actual_vs_predicted(spark: SparkSession, d: str) -> DataFrame:
     return forecast.test_series(_predictions(split), split)
 
 
+def _importance_query(name: str, permuted: bool):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        train_rows, _ = forecast.split_parts(features.split_frame(numbered_master(spark, d)))
+        fitted = forecast.train(train_rows, name)
+        if permuted:
+            return forecast.permutation_importance(fitted, train_rows, name)
+        return forecast.impurity_importance(spark, fitted, name)
+
+    return run
+
+
+for _name in NAMES:
+    if _name != "traffic":
+        query(f"feature_importance_impurity_{_name}")(_importance_query(_name, False))
+        query(f"feature_importance_permutation_{_name}")(_importance_query(_name, True))
+
+
 @query("feature_importance_impurity")
 def feature_importance_impurity(spark: SparkSession, d: str) -> DataFrame:
     split = features.split_frame(numbered_master(spark, d))
@@ -68,20 +84,34 @@ def feature_importance_permutation(spark: SparkSession, d: str) -> DataFrame:
     return forecast.permutation_importance(fitted, train_rows, "traffic")
 
 
+def scenarios(numbered: DataFrame) -> DataFrame:
+    """(hour, weekend, temperature, humidity) with both values inside their accepted ranges."""
+    weather = ("temperature", "humidity")
+    bounds = numbered.agg(
+        *[f(c).alias(f"{c}_{n}") for c in weather for n, f in (("low", F.min), ("high", F.max), ("mean", F.avg))]
+    )
+    cells = numbered.groupBy("hour", F.col("is_weekend").alias("weekend")).agg(*[F.avg(c).alias(c) for c in weather])
+
+    def onto(c: str) -> Column:
+        low, high = forecast.SCENARIO_RANGES[c]
+        part = F.try_divide(
+            F.coalesce(F.col(c), F.col(f"{c}_mean")) - F.col(f"{c}_low"), F.col(f"{c}_high") - F.col(f"{c}_low")
+        )
+        return (low + (high - low) * F.coalesce(part, F.lit(0.5))).alias(c)
+
+    return with_scalars(cells, bounds).select("hour", "weekend", *[onto(c) for c in weather])
+
+
 @query("scenario_scores")
 def scenario_scores(spark: SparkSession, d: str) -> DataFrame:
-    """One scenario per (hour, weekend) that occurs, at its mean weather."""
+    """One scenario per (hour, weekend) that occurs, at its mean weather on the accepted scale.
+
+    The given values reach from 0 to 100 and more, hence a linear map of their range over the whole
+    table onto the accepted one.  Where a cell has no weather, the table's mean stands in.
+    """
     numbered = numbered_master(spark, d)
     split = features.split_frame(numbered)
-    scenarios = (
-        numbered.groupBy("hour", F.col("is_weekend").alias("weekend"))
-        .agg(
-            clamp(F.avg("temperature"), -10.0, 40.0).alias("temperature"),
-            clamp(F.avg("humidity"), 0.0, 100.0).alias("humidity"),
-        )
-        .dropna()
-    )
-    return forecast.score_scenarios(_fit_all(split), scenarios, numbered)
+    return forecast.score_scenarios(_fit_all(split), scenarios(numbered), numbered)
 
 
 @query(
@@ -93,7 +123,7 @@ def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Save a model, load it, and count test rows the two score differently."""
     split = features.split_frame(numbered_master(spark, d))
     train_rows, test_rows = forecast.split_parts(split)
-    fitted = forecast.train(train_rows, "energy", num_trees=20)
+    fitted = forecast.train(train_rows, "energy")
     path = scratch_path(spark, "model")
     tables.write_model(fitted, path)
     before = forecast.predict(fitted, test_rows, "energy").select("row_id", "predicted")

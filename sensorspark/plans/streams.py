@@ -80,22 +80,25 @@ def stream_hour_flags(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_FEATURE_SQL}, p AS (
   SELECT timestamp, total_energy_kwh, row_number() OVER (ORDER BY timestamp) AS rn,
          count(*) OVER () AS n FROM model)
-SELECT timestamp, {r('total_energy_kwh', 'total_energy_kwh')}, true AS is_scored
+SELECT timestamp, {r('total_energy_kwh', 'total_energy_kwh')}, CAST(0 AS DOUBLE) AS off_batch
 FROM p WHERE rn > floor(0.8 * n)""",
 )
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     """The test rows arrive as a stream; the forest was trained on the earlier part.
 
-    The SQL counterpart checks which rows are scored; tests compare the scores with the batch.
+    ``off_batch`` is how far each streamed prediction lies from the batch prediction of its row.
     """
     split = features.split_frame(numbered_master(spark, d))
     train_rows, test_rows = forecast.split_parts(split)
-    fitted = forecast.train(train_rows, "energy", num_trees=20)
+    fitted = forecast.train(train_rows, "energy")
     path = scratch_path(spark, "test-rows")
     tables.write_table(test_rows, path)
     arriving = stream.read_stream(spark, path, test_rows.schema)
-    scored = stream.scores(arriving, fitted, ["timestamp", "total_energy_kwh"])
+    scored = stream.scores(arriving, fitted, ["row_id", "timestamp", "total_energy_kwh"])
     out = stream.read_result(spark, stream.run_available(scored, "stream-scores"))
-    return out.select(
-        "timestamp", "total_energy_kwh", F.col("predicted").isNotNull().alias("is_scored")
+    batch = forecast.predict(fitted, tables.read_table(spark, path), "energy").select(
+        "row_id", F.col("predicted").alias("in_batch")
+    )
+    return out.join(batch, "row_id", "full").select(
+        "timestamp", "total_energy_kwh", F.abs(F.col("predicted") - F.col("in_batch")).alias("off_batch")
     )

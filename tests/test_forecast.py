@@ -47,7 +47,7 @@ def test_forest_importance_and_series(spark, split):
     numbered, frame = split
     train_rows, test_rows = forecast.split_parts(frame)
     assert train_rows.count() == int(0.8 * 376) and test_rows.count() == 376 - int(0.8 * 376)
-    fitted = forecast.train(train_rows, "traffic", num_trees=20)
+    fitted = forecast.train(train_rows, "traffic")
     predictions = forecast.predict(fitted, test_rows, "traffic")
     (row,) = forecast.metrics(predictions).collect()
     assert row["r2"] > 0.9
@@ -64,7 +64,7 @@ def test_forest_importance_and_series(spark, split):
 def test_stream_scores_equal_batch_scores(spark, split):
     _, frame = split
     train_rows, test_rows = forecast.split_parts(frame)
-    fitted = forecast.train(train_rows, "energy", num_trees=10)
+    fitted = forecast.train(train_rows, "energy")
     path = scratch_path(spark, "arriving")
     tables.write_table(test_rows, path)
     arriving = stream.read_stream(spark, path, test_rows.schema)
@@ -77,7 +77,7 @@ def test_stream_scores_equal_batch_scores(spark, split):
 
 def test_scenarios_out_of_range_are_refused(spark, split):
     numbered, frame = split
-    fitted = forecast.train(forecast.split_parts(frame)[0], "energy", num_trees=5)
+    fitted = forecast.train(forecast.split_parts(frame)[0], "energy")
     good = spark.createDataFrame([(0, True, 20.0, 50.0), (23, False, -10.0, 100.0)],
                                  "hour int, weekend boolean, temperature double, humidity double")
     rows = forecast.score_scenarios({"energy": fitted}, good, numbered).collect()
@@ -91,3 +91,11 @@ def test_training_on_nothing_is_refused(split):
     _, frame = split
     with pytest.raises(ValueError):
         forecast.train(frame.where("false"), "traffic")
+
+
+def test_scenarios_keep_their_types_and_refuse_bad_values(spark):
+    good = spark.createDataFrame([(5, True, 20.0, 50.0)], "hour int, weekend boolean, temperature double, humidity double")
+    assert dict(forecast.checked_scenarios(good).dtypes)["hour"] == "int"
+    for row in ((24, True, 20.0, 50.0), (5, True, 41.0, 50.0), (5, True, None, 50.0)):
+        with pytest.raises(Exception, match="must lie in|is missing"):
+            forecast.checked_scenarios(spark.createDataFrame([row], good.schema)).collect()
