@@ -150,15 +150,16 @@ def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four hourly feeds, each from its own event types (the filters reach the scan)."""
+    """The four hourly feeds: traffic sums over all zones and air over all stations; energy and weather
+    come from their own event types (the filters reach the scan)."""
     rows = readings(spark, sf_dir).withColumn("timestamp", F.date_trunc("hour", "timestamp"))
 
     def only(*kinds: str) -> DataFrame:
         return rows.where(F.col("entity").isin(*kinds))
 
     return {
-        "traffic": rollup.traffic_hourly(traffic_of(only("view"))),
-        "air": rollup.air_quality_hourly(air_of(only("click"))),
+        "traffic": rollup.traffic_hourly(traffic_of(rows)),
+        "air": rollup.air_quality_hourly(air_of(rows)),
         "energy": rollup.energy_hourly(energy_of(only("purchase"))),
         "weather": weather_of(only("signup", "error")),
     }
@@ -248,12 +249,12 @@ HOURLY_TAIL = f"""rows_h AS (
 traffic_h AS (
   SELECT ts, coalesce(sum(x), 0) AS total_vehicles, avg(k) AS avg_speed,
          count(*) FILTER (WHERE x >= 80) AS high_congestion_zones
-  FROM rows_h WHERE entity = 'view' GROUP BY ts),
+  FROM rows_h GROUP BY ts),
 air_h AS (
   SELECT ts, avg(x / 2) AS avg_PM25, avg(x * CAST(0.75 AS DOUBLE)) AS avg_PM10,
          avg(k) AS avg_NO2, avg(100 - k) AS avg_O3, avg(x) AS avg_AQI,
          avg(k / 4) AS avg_temperature, avg(k) AS avg_humidity
-  FROM rows_h WHERE entity = 'click' GROUP BY ts),
+  FROM rows_h GROUP BY ts),
 energy_h AS (
   SELECT ts, coalesce(sum(x), 0) AS total_energy_kwh, avg(x / 10) AS avg_peak_demand,
          avg(k) AS avg_renewable_percent,

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
-    assert "severity_level" in df.columns and df.count() == 166
+    assert "severity_level" in df.columns and df.count() == 531
 
 
 def test_every_oracle_has_its_query():
