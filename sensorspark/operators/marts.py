@@ -53,6 +53,14 @@ def pollutants_by_hour(
     return hour_means(rows, {p: p for p in ("PM25", "PM10", "NO2", "O3")})
 
 
+def aqi_series(
+    air: DataFrame, first: str, last: str, station: str | None = None, rows: int = 2000
+) -> DataFrame:
+    """The first ``rows`` readings of the range in order of time, station and value."""
+    chosen = only(in_days(air, first, last), "station_id", station)
+    return chosen.select("timestamp", "station_id", "AQI").orderBy("timestamp", "station_id", "AQI").limit(rows)
+
+
 def air_kpis(air: DataFrame, first: str, last: str, station: str | None = None) -> DataFrame:
     rows = only(in_days(air, first, last), "station_id", station)
     kpis = rows.agg(

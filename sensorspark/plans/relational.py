@@ -833,6 +833,17 @@ def series_first_n(spark: SparkSession, d: str) -> DataFrame:
     return tables.preview(series, [F.col("timestamp")], n=2000)
 
 
+@query(
+    "filtered_aqi_series",
+    f"""WITH {a.AIR_DAILY}
+SELECT timestamp, station_id, {rs('AQI')} FROM (
+  SELECT * FROM air_daily WHERE timestamp >= TIMESTAMP '1995-02-01' AND timestamp < TIMESTAMP '1997-07-01'
+    AND station_id = '1-URGENT' ORDER BY timestamp, station_id, AQI LIMIT 2000)""",
+)
+def filtered_aqi_series(spark: SparkSession, d: str) -> DataFrame:
+    return marts.aqi_series(a.air_daily(spark, d), "1995-02-01", "1997-06-30", "1-URGENT")
+
+
 @query(
     "sample_n_points",
     f"""WITH {a.TRAFFIC}

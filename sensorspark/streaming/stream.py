@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from sensorspark.operators import anomaly
 from sensorspark.session import scratch_path
 
 
+FRAME_ROWS = 10_000
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: StructType, pattern: str | None = None
 ) -> DataFrame:
@@ -28,7 +32,8 @@ def read_stream(
 def hourly_rollup(
     readings: DataFrame, entity: str, value: str, ts: str = "timestamp", lateness: str = "2 hours"
 ) -> DataFrame:
-    """Per (hour, entity): count, sum and mean; an hour is emitted once the watermark closes it."""
+    """Per (hour, entity): count, sum and mean; an hour is emitted once the watermark closes it, so the
+    latest hours stay out until later readings arrive."""
     return (
         readings.withWatermark(ts, lateness)
         .groupBy(F.window(ts, "1 hour"), entity)
@@ -44,37 +49,42 @@ def hourly_rollup(
 def trailing_flags(
     hourly: DataFrame, entity: str, value: str, window: int = 24, threshold: float = 2.0
 ) -> DataFrame:
-    """Flag each closed hour against the ``window`` hours its entity emitted before it.
+    """Flag each closed hour against the ``window`` hours its entity emitted before it; like the batch
+    detector, a missing value has no flag.
 
     The state of an entity is its last ``window`` values.  ``hourly`` must be the output of closed
-    windows, which arrive in time order from one trigger to the next.
+    windows, which arrive in time order from one trigger to the next.  Within a trigger Spark hands an
+    entity's rows over in frames of bounded size; only their times and values are held to be put in
+    order, and the flags are then computed and emitted a frame's worth at a time.
     """
 
     def flag(
         key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
+        past = np.array(state.get[0] if state.exists else [], dtype="float64")
         seen = state.get[1] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("timestamp")
-        flags = []
-        for x in rows[value]:
-            held = pd.Series(past, dtype="float64")
-            sd = held.std()
-            if seen < window or pd.isna(sd) or sd <= 0:
-                flags.append(False)
-            else:
-                flags.append(bool(abs(x - held.mean()) > threshold * sd))
-            past = (past + [float(x)])[-window:]
-            seen += 1
-        state.update((past, seen))
-        yield pd.DataFrame(
-            {
-                "timestamp": rows["timestamp"],
-                entity: key[0],
-                value: rows[value].astype("float64"),
-                "is_anomaly": flags,
-            }
-        )
+        times, values = [], []
+        for frame in frames:
+            times.append(frame["timestamp"].to_numpy())
+            values.append(frame[value].to_numpy("float64"))
+        order = np.argsort(np.concatenate(times), kind="stable")
+        times, values = np.concatenate(times)[order], np.concatenate(values)[order]
+        for start in range(0, len(values), FRAME_ROWS):
+            own = values[start : start + FRAME_ROWS]
+            held = pd.Series(np.concatenate([past, own]))
+            before = held.rolling(window, min_periods=1)
+            mean, sd = before.mean().shift(), before.std().shift()
+            at = slice(len(past), None)
+            full = seen + np.arange(len(own)) >= window
+            judged = full & (sd.iloc[at] > 0).to_numpy()
+            off = (held - mean).abs().iloc[at].to_numpy() > threshold * sd.iloc[at].to_numpy()
+            flags = pd.array(judged & off, dtype="boolean")
+            flags[judged & np.isnan(own)] = pd.NA
+            yield pd.DataFrame(
+                {"timestamp": times[start : start + FRAME_ROWS], entity: key[0], value: own, "is_anomaly": flags}
+            )
+            past, seen = held.to_numpy()[-window:], seen + len(own)
+        state.update((past.tolist(), seen))
 
     return (
         hourly.select("timestamp", entity, F.col(value).cast("double").alias(value))
