@@ -8,6 +8,7 @@ keeps column pruning and filter pushdown, none of which a cached DataFrame gives
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -54,7 +55,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # local-cluster starts executors of their own, which a temporary folder of the driver may not suit.
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     return _local_scratch()
 
