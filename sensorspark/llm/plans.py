@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import html_layout, mixing, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
+from sensorspark.llm import html_layout, mixing, oracles, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,14 +59,14 @@ URL_RULES = [
 ]
 
 
-@query("op4_url_filter")
+@query("op4_url_filter", oracles.URLS)
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     rules = url_filter.rule_table(spark, URL_RULES)
     return url_filter.judged(table(spark, sf_dir, "pages"), rules)
 
 
-@query("op5_pii")
+@query("op5_pii", oracles.PII)
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     return pii.digest(table(spark, sf_dir, "documents"))
