@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.operators.density import connected_components
+from sensorspark.llm.components import components
 from sensorspark.session import broadcast_if_small, materialize
 
 DEFAULT = "allow"
@@ -127,16 +127,15 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
     if links.isEmpty():
         out = out.withColumns({"alias": F.lit(None).cast("string"), "shared": F.lit(None).cast("string")})
     else:
-        vertices = ends.select(F.col("node").alias("v")).distinct()
-        components = connected_components(vertices, links.select("src", "dst").distinct())
+        joined = components(links.select("src", "dst"))
         decided = (
-            ends.join(fits, ["host", "path"]).join(components.withColumnRenamed("v", "node"), "node")
+            ends.join(fits, ["host", "path"]).join(joined.withColumnRenamed("v", "node"), "node")
             .groupBy("component")
             # "allow" sorts before "block".
             .agg(F.min("rule_verdict").alias("shared"))
         )
         known = materialize(
-            components.join(decided, "component", "left").select(
+            joined.join(decided, "component", "left").select(
                 F.col("v").alias("node"), F.col("component").alias("alias"), "shared"
             ),
             "alias-verdicts",
