@@ -3,10 +3,10 @@
 A document's five-word shingles are numbered by occurrence, so that a repeated shingle counts each
 time.  For every hash function the smallest ``PICK`` numbered shingles are kept in the order in
 which they stand in the text; two documents agree on such a sketch with a probability that falls
-when shingles differ and when their order differs.  Documents that share a sketch are candidates.
-At a share s of common shingles a sketch of three agrees with a probability of about s^3, so that
-of the forty sketches at least one agrees practically always for s of 0.8, in 995 of 1000 pairs for
-0.5 (about one word in twelve replaced), and in four of 100 for 0.1 (a passage in common).
+when shingles differ and when their order differs.  Two sketches form a band, and documents that
+share a band are candidates.  At a share s of common shingles a sketch of three agrees with a
+probability of about s^3, so that of the thirty bands at least one agrees in all but one of 10,000
+pairs for s of 0.8, in two of 100 for 0.3 (a long passage in common), and hardly ever below.
 
 Byte-identical texts are one node from the start.  Inside a band's bucket no pairs are listed:
 members are compared with pivots, and a bucket needs further pivots only while members that have
@@ -32,12 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.llm.common import text_of
-from sensorspark.operators.density import connected_components
+from sensorspark.llm.components import components
 from sensorspark.session import broadcast_if_small, materialize
 
 SHINGLE = 5
 PICK = 3
-SKETCHES = 40
+ROWS = 2
+BANDS = 30
+SKETCHES = ROWS * BANDS
+# Bands are searched in waves; what earlier waves have connected needs no comparison later.
+WAVES = (6, BANDS)
 SIMILARITY = 0.8
 SEED = 20_240_601
 # Shingles hashed at a time, which bounds a worker's memory on very long texts.
@@ -89,8 +93,8 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, SKETCHES, np.uint32)
 LAST = np.iinfo(np.uint32).max
 
 
-def sketch_keys(words: list[bytes]) -> list[int]:
-    """One 64-bit key per sketch; none for a text without words."""
+def band_keys(words: list[bytes]) -> list[int]:
+    """One 64-bit key per band; none for a text without words."""
     if not words:
         return []
     codes = numbered_shingles(words)
@@ -118,8 +122,8 @@ def sketch_keys(words: list[bytes]) -> list[int]:
         ranks, where = np.take_along_axis(all_ranks, keep, 1), np.take_along_axis(all_places, keep, 1)
     where.sort(axis=1)
     picked = np.where(where >= 0, codes[where], np.uint64(0))
-    keys = np.arange(1, SKETCHES + 1, dtype=np.uint64)
-    for column in picked.T:
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in picked.reshape(BANDS, ROWS * PICK).T:
         keys = _mix(keys * np.uint64(0xD6E8FEB86659FD93) + column)
     return keys.view(np.int64).tolist()
 
@@ -127,7 +131,7 @@ def sketch_keys(words: list[bytes]) -> list[int]:
 def sketch(texts: pd.Series) -> pd.DataFrame:
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     return pd.DataFrame(
-        {"n_words": [len(w) for w in words], "sketches": [np.array(sketch_keys(w), np.int64) for w in words]}
+        {"n_words": [len(w) for w in words], "bands": [np.array(band_keys(w), np.int64) for w in words]}
     )
 
 
@@ -202,15 +206,13 @@ def digest(text: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (src, dst) pairs whose texts are alike."""
+    """The (src, dst) pairs whose texts are alike, as links (low, high) between their components."""
     same = F.pandas_udf(judge, "boolean")
     left = texts.select(F.col("v").alias("src"), F.col("text").alias("text_a"))
     right = texts.select(F.col("v").alias("dst"), F.col("text").alias("text_b"))
     compared = pairs.join(left, "src").join(right, "dst")
-    return materialize(
-        compared.select("src", "dst", same("text_a", "text_b").alias("same")).where("same").drop("same"),
-        "links",
-    )
+    alike_ = compared.select("low", "high", same("text_a", "text_b").alias("same")).where("same")
+    return materialize(alike_.select("low", "high").distinct(), "links")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -230,78 +232,104 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(open_buckets, "key")
 
 
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with each component that has links renamed to the lowest it is linked with."""
+    lower = links.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("low"))
+    return known.join(lower, "component", "left").select("v", F.coalesce("low", "component").alias("component"))
+
+
 def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
-    """(v, component) for the (v, n_words, sketches) nodes that share a sketch; None if none do.
+    """(v, component) for the (v, n_words, bands) nodes that share a band; None if none do.
 
-    ``texts_of`` gives (v, text) for a table of v.
+    ``texts_of`` gives (v, text) for a table of v.  While searching, components are merged one step
+    at a time; members of one class that still bear different names only cause comparisons that
+    were not needed.  The names are settled once at the end, on the links between them.
     """
-    keyed = nodes.select("v", "n_words", F.explode("sketches").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1")
-    members = materialize(keyed.join(shared.select("key", "pivot"), "key"), "buckets")
+    keyed = nodes.select("v", "n_words", F.posexplode("bands").alias("wave", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(keyed.join(shared.select("key"), "key"), "buckets")
     involved = materialize(members.select("v").distinct(), "involved")
     if involved.isEmpty():
         return None
     texts = texts_of(involved)
-    state = members.withColumns(
-        {"component": F.col("v"), "used": F.lit(False), "lead": F.col("v") == F.col("pivot")}
-    )
-    links, components, turn = None, involved.withColumn("component", F.col("v")), 0
-    while True:
-        leads = state.where("lead").select(
-            "key", F.col("v").alias("dst"), F.col("component").alias("other"), F.col("n_words").alias("n_dst")
-        )
-        pairs = (
-            state.where("not used")
-            .join(leads, "key")
-            .where((F.col("component") != F.col("other")) & (~F.col("lead") | (F.col("v") > F.col("dst"))))
-            .where(
-                F.least("n_words", "n_dst") >= SIMILARITY * F.greatest("n_words", "n_dst")
+    known, links, first = involved.withColumn("component", F.col("v")), [], 0
+    for end in WAVES:
+        state = members.where(F.col("wave").between(first, end - 1)).withColumn("used", F.lit(False))
+        first, turn = end, 0
+        while True:
+            # The first wave starts with every text a component of its own.
+            placed = state.join(known, "v") if links else state.withColumn("component", F.col("v"))
+            # Further pivots, eight times as many each turn, are drawn by hash, so that few turns are needed.
+            drawn = F.pmod(F.xxhash64("v", "key", F.lit(turn)), F.col("fresh")) < F.lit((1 << 3 * turn) - 1)
+            turn += 1
+            opened = materialize(
+                _apart(placed).withColumn("lead", ~F.col("used") & ((F.col("v") == F.col("pivot")) | drawn)),
+                "open-buckets",
             )
-            .select(F.least("v", "dst").alias("src"), F.greatest("v", "dst").alias("dst"))
-            .distinct()
-        )
-        found = _verified(pairs, texts)
-        if not found.isEmpty():
-            links = found if links is None else materialize(links.unionByName(found), "links")
-            components = connected_components(involved, links)
-        judged = state.select("key", "v", "n_words", (F.col("used") | F.col("lead")).alias("used")).join(
-            components, "v"
-        )
-        turn += 1
-        # More pivots each round, drawn by hash, so that few rounds are needed.
-        drawn = F.pmod(F.xxhash64("v", "key", F.lit(turn)), F.col("fresh")) < F.lit(1 << turn)
-        state = materialize(
-            _apart(judged).withColumn("lead", ~F.col("used") & ((F.col("v") == F.col("pivot")) | drawn)),
-            "open-buckets",
-        )
-        if state.isEmpty():
-            return components
+            if opened.isEmpty():
+                break
+            leads = opened.where("lead").select(
+                "key", F.col("v").alias("dst"), F.col("component").alias("other"), F.col("n_words").alias("n_dst")
+            )
+            pairs = (
+                opened.where("not used")
+                .join(leads, "key")
+                .where((F.col("component") != F.col("other")) & (~F.col("lead") | (F.col("v") > F.col("dst"))))
+                .where(F.least("n_words", "n_dst") >= SIMILARITY * F.greatest("n_words", "n_dst"))
+                .select(
+                    F.least("v", "dst").alias("src"), F.greatest("v", "dst").alias("dst"),
+                    F.least("component", "other").alias("low"), F.greatest("component", "other").alias("high"),
+                )
+                .distinct()
+            )
+            found = _verified(pairs, texts)
+            if not found.isEmpty():
+                links.append(found)
+                known = materialize(_merged(known, found), "text-components")
+            state = opened.select("key", "v", "n_words", (F.col("used") | F.col("lead")).alias("used"))
+    if not links:
+        return known
+    every = links[0]
+    for found in links[1:]:
+        every = every.unionByName(found)
+    ends = every.distinct()
+    for end in ("low", "high"):
+        named = known.select(F.col("v").alias(end), F.col("component").alias(f"{end}_now"))
+        ends = ends.join(named, end)
+    ends = materialize(
+        ends.where("low_now != high_now").select(F.col("low_now").alias("src"), F.col("high_now").alias("dst")).distinct(),
+        "open-links",
+    )
+    if ends.isEmpty():
+        return known
+    settled = components(ends).select(F.col("v").alias("component"), F.col("component").alias("settled"))
+    return known.join(settled, "component", "left").select("v", F.coalesce("settled", "component").alias("component"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: rows (doc_id, fp) of ``docs``, and (fp, class_id, doc, copies, keeper) for
     every distinct text: its class, its smallest id, how many rows have both, and whether that row
     stands for the class."""
-    sketched = F.pandas_udf(sketch, "n_words bigint, sketches array<bigint>")
+    sketched = F.pandas_udf(sketch, "n_words bigint, bands array<bigint>")
     rows = materialize(
         docs.select("doc_id", text_of(docs).alias("t"))
         .select("doc_id", digest(F.col("t")).alias("fp"), sketched("t").alias("s"))
-        .select("doc_id", "fp", "s.n_words", "s.sketches"),
+        .select("doc_id", "fp", "s.n_words", "s.bands"),
         "sketch-rows",
     )
     # Null ids come last, so that a row with an id stands for its text.
     first = rows.groupBy("fp", "doc_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches")
+        F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")
     )
     nodes = materialize(
         first.groupBy("fp")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copies")).alias("m"),
             F.first("n_words").alias("n_words"),
-            F.first("sketches").alias("sketches"),
+            F.first("bands").alias("bands"),
         )
         .select(
-            "fp", F.col("m.doc_id").alias("doc"), F.col("m.copies").alias("copies"), "n_words", "sketches",
+            "fp", F.col("m.doc_id").alias("doc"), F.col("m.copies").alias("copies"), "n_words", "bands",
             F.monotonically_increasing_id().alias("v"),
         ),
         "texts",
