@@ -232,18 +232,39 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(open_buckets, "key")
 
 
-def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
-    """``known`` with each component that has links renamed to the lowest it is linked with."""
+def _settled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with the components that (low, high) links join given their lowest name.
+
+    A component first takes the lowest name it is linked with; only the few links that still join
+    different names are then followed to the end.
+    """
     lower = links.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("low"))
-    return known.join(lower, "component", "left").select("v", F.coalesce("low", "component").alias("component"))
+    known = materialize(
+        known.join(lower, "component", "left").select("v", F.coalesce("low", "component").alias("component")),
+        "text-components",
+    )
+    ends = links
+    for end in ("low", "high"):
+        ends = ends.join(known.select(F.col("v").alias(end), F.col("component").alias(f"{end}_now")), end)
+    ends = materialize(
+        ends.where("low_now != high_now").select(F.col("low_now").alias("src"), F.col("high_now").alias("dst")).distinct(),
+        "open-links",
+    )
+    if ends.isEmpty():
+        return known
+    settled = components(ends).select(F.col("v").alias("component"), F.col("component").alias("settled"))
+    return materialize(
+        known.join(broadcast_if_small(settled, SMALL_ROWS), "component", "left").select(
+            "v", F.coalesce("settled", "component").alias("component")
+        ),
+        "text-components",
+    )
 
 
 def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
     """(v, component) for the (v, n_words, bands) nodes that share a band; None if none do.
 
-    ``texts_of`` gives (v, text) for a table of v.  While searching, components are merged one step
-    at a time; members of one class that still bear different names only cause comparisons that
-    were not needed.  The names are settled once at the end, on the links between them.
+    ``texts_of`` gives (v, text) for a table of v.
     """
     keyed = nodes.select("v", "n_words", F.posexplode("bands").alias("wave", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -252,13 +273,13 @@ def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
     if involved.isEmpty():
         return None
     texts = texts_of(involved)
-    known, links, first = involved.withColumn("component", F.col("v")), [], 0
+    known, first = None, 0
     for end in WAVES:
         state = members.where(F.col("wave").between(first, end - 1)).withColumn("used", F.lit(False))
         first, turn = end, 0
         while True:
             # The first wave starts with every text a component of its own.
-            placed = state.join(known, "v") if links else state.withColumn("component", F.col("v"))
+            placed = state.withColumn("component", F.col("v")) if known is None else state.join(known, "v")
             # Further pivots, eight times as many each turn, are drawn by hash, so that few turns are needed.
             drawn = F.pmod(F.xxhash64("v", "key", F.lit(turn)), F.col("fresh")) < F.lit((1 << 3 * turn) - 1)
             turn += 1
@@ -284,26 +305,9 @@ def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
             )
             found = _verified(pairs, texts)
             if not found.isEmpty():
-                links.append(found)
-                known = materialize(_merged(known, found), "text-components")
+                known = _settled(involved.withColumn("component", F.col("v")) if known is None else known, found)
             state = opened.select("key", "v", "n_words", (F.col("used") | F.col("lead")).alias("used"))
-    if not links:
-        return known
-    every = links[0]
-    for found in links[1:]:
-        every = every.unionByName(found)
-    ends = every.distinct()
-    for end in ("low", "high"):
-        named = known.select(F.col("v").alias(end), F.col("component").alias(f"{end}_now"))
-        ends = ends.join(named, end)
-    ends = materialize(
-        ends.where("low_now != high_now").select(F.col("low_now").alias("src"), F.col("high_now").alias("dst")).distinct(),
-        "open-links",
-    )
-    if ends.isEmpty():
-        return known
-    settled = components(ends).select(F.col("v").alias("component"), F.col("component").alias("settled"))
-    return known.join(settled, "component", "left").select("v", F.coalesce("settled", "component").alias("component"))
+    return involved.withColumn("component", F.col("v")) if known is None else known
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
