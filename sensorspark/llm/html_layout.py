@@ -66,26 +66,56 @@ TOKEN = re.compile(
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*+)>",
     re.DOTALL,
 )
-INVISIBLE = re.compile(
-    r"(?:^|\s)hidden(?=[\s=/]|$)|(?:^|\s)style\s*=\s*(?:\"[^\"]*?|'[^']*?|)(?:display\s*:\s*none|visibility\s*:\s*hidden)"
-    r"|(?:^|\s)type\s*=\s*[\"']?hidden",
-    re.IGNORECASE,
+# The next attribute of a tag, up to an opening quote, or the tag's end.
+ATTRIBUTE = re.compile(
+    r"(?P<skip>[\s/]*+)(?:(?P<close>>)|(?P<name>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:(?P<quote>[\"'])|(?P<value>[^\s>]*+)))?+)"
 )
+# What is no declaration in a style: comments and strings, then arguments.
+ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)", re.DOTALL)
+ARGUMENTS = re.compile(r"\([^)]*+(?:\)|\Z)")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+        self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
-def number(attrs: str, name: str) -> int | None:
-    found = re.search(rf"(?:^|\s){name}\s*=\s*[\"']?\s*(-?[0-9]{{1,9}})", attrs, re.IGNORECASE)
+def attributes(html: str, at: int) -> dict[str, str]:
+    """The values by name of the start tag whose name ends at ``at``; the first of a name counts."""
+    found: dict[str, str] = {}
+    while part := ATTRIBUTE.match(html, at):
+        at = part.end()
+        if part["close"]:
+            break
+        value = part["value"] or ""
+        if part["quote"]:
+            end = html.find(part["quote"], at)
+            value = html[at : end if end >= 0 else len(html)]
+            at = end + 1 if end >= 0 else len(html)
+        found.setdefault(part["name"].lower(), value)
+    return found
+
+
+def number(attrs: dict[str, str], name: str) -> int | None:
+    found = re.match(r"\s*(-?[0-9]{1,9})", unescape(attrs.get(name, "")))
     return int(found[1]) if found else None
 
 
+def styled_away(style: str) -> bool:
+    """Whether the declarations that win say that nothing is shown."""
+    won: dict[str, tuple[bool, str]] = {}
+    for declaration in ARGUMENTS.sub(" ", ASIDE.sub(" ", unescape(style))).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        name, important = name.strip(), bool(mark)
+        if important or not won.get(name, (False,))[0]:
+            won[name] = (important, value.strip())
+    return won.get("display", (0, ""))[1] == "none" or won.get("visibility", (0, ""))[1] == "hidden"
+
+
 class Builder:
     """The tree of a page."""
 
@@ -123,7 +153,7 @@ class Builder:
                 self._leave_head()
             self.stack[-1].children.append(text)
 
-    def start(self, tag: str, attrs: str) -> None:
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
             return
         if tag not in HEAD:
@@ -142,7 +172,7 @@ class Builder:
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.start("br", "")
+            self.start("br", {})
         elif self.open.get(tag):
             shields = frozenset() if tag in ("table", "body", "html") else frozenset(("table",))
             for k in range(len(self.stack) - 1, 0, -1):
@@ -172,7 +202,7 @@ def parse(html: str) -> Node:
             builder.end(found["end"].lower())
         elif found["start"]:
             tag = found["start"].lower()
-            builder.start(tag, found["attrs"])
+            builder.start(tag, attributes(found["attrs"], 0))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
                 inner = html[at : close.start() if close else len(html)]
@@ -224,7 +254,11 @@ class Writer:
 
 
 def visible(node: Node) -> bool:
-    return node.tag not in HIDDEN and not (node.attrs and INVISIBLE.search(node.attrs))
+    if node.tag in HIDDEN or "hidden" in node.attrs:
+        return False
+    if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
+        return False
+    return not ("style" in node.attrs and styled_away(node.attrs["style"]))
 
 
 def _write(root: Node, tables: int) -> list[str]:

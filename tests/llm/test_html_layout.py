@@ -23,6 +23,15 @@ def test_visibility():
     assert h.render("<p class=hidden>x</p>") == "x"
 
 
+def test_words_inside_attribute_values_hide_nothing():
+    for shown in ("<p class='w-full hidden md:block'>x</p>", '<p title="The hidden truth">x</p>', '<b title="a type=hidden b">x</b>', "<b title='a style=display:none b'>x</b>", "<button type=hidden>x</button>", "<p data-a=' hidden'hiddenx>x</p>", "<p style='background:url(\"a;display:none\")'>x</p>", "<p style='/*display:none*/ --a-display:none'>x</p>", "<p style='display:none;display:block'>x</p>", "<p title = ' hidden '>x</p>"):
+        assert h.render(shown) == "x", shown
+    assert h.render('<figure><img alt="hidden away"><figcaption>x</figcaption></figure>') == "x"
+    for away in ("<p class='a'hidden>x</p>", "<p HIDDEN=''>x</p>", "<p title='>' hidden/>x</p>", "<p style='color:red;display:none!important;display:block'>x</p>", "<p style = 'display&#58;none'>x</p>", "<p style=visibility:hidden>x</p>"):
+        assert h.render("a" + away) == "a", away
+    assert h.render("<ol title=' start=7' start='3'><li>x</ol>") == "3. x"
+
+
 def test_text_is_kept():
     assert h.render("a &lt;b&gt; &nbsp; &copy; 1 < 2 & 3 > 2") == "a <b>   © 1 < 2 & 3 > 2"
     assert h.render("<pre>  a\n   b\n</pre>c") == "  a\n   b\n\nc"
