@@ -63,7 +63,7 @@ SHIELDS = frozenset(("table", "td", "th", "caption", "button", "object", "templa
 TOKEN = re.compile(
     r"<!--(?P<note>.*?)(?:-->|\Z)|<[!?][^>]*>"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*+)>",
+    r"|<(?P<start>[a-zA-Z][^\s/>]*)",
     re.DOTALL,
 )
 # The next attribute of a tag, up to an opening quote, or the tag's end.
@@ -83,20 +83,33 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
-def attributes(html: str, at: int) -> dict[str, str]:
-    """The values by name of the start tag whose name ends at ``at``; the first of a name counts."""
+def attributes(html: str, at: int, gone: set[str]) -> tuple[dict[str, str], int]:
+    """The values by name of the start tag whose name ends at ``at``, and the tag's end; the first of a name counts.
+
+    A quoted value is read whole, however long.  ``gone`` keeps the quotes that do not come again, and ``>``
+    once none comes outside quotes: such a tag ends at the next ``>``, which every tag has, so that no part
+    of a page is searched in vain more than once.
+    """
     found: dict[str, str] = {}
-    while part := ATTRIBUTE.match(html, at):
+    start = at
+    while ">" not in gone and (part := ATTRIBUTE.match(html, at)):
         at = part.end()
         if part["close"]:
-            break
-        value = part["value"] or ""
-        if part["quote"]:
-            end = html.find(part["quote"], at)
-            value = html[at : end if end >= 0 else len(html)]
-            at = end + 1 if end >= 0 else len(html)
-        found.setdefault(part["name"].lower(), value)
-    return found
+            return found, at
+        name, value, quote = part["name"].lower(), part["value"] or "", part["quote"]
+        if quote:
+            end = html.find(quote, at) if quote not in gone else -1
+            if end < 0:
+                gone.add(quote)
+                end = html.find(">", at)
+                if end < 0:
+                    break
+                return {name: html[at:end]} | found, end + 1
+            value, at = html[at:end], end + 1
+        found.setdefault(name, value)
+    gone.add(">")
+    end = html.index(">", start) + 1
+    return attributes(html[start:end], 0, set())[0], end
 
 
 def number(attrs: dict[str, str], name: str) -> int | None:
@@ -185,6 +198,7 @@ class Builder:
 
 def parse(html: str) -> Node:
     builder, at, last = Builder(), 0, html.rfind(">") + 1
+    gone: set[str] = set()
     while True:
         found = TOKEN.search(html, at, last) if at < last else None
         if found is None and at < len(html) and (note := html.find("<!--", max(at, last))) >= 0:
@@ -202,7 +216,8 @@ def parse(html: str) -> Node:
             builder.end(found["end"].lower())
         elif found["start"]:
             tag = found["start"].lower()
-            builder.start(tag, attributes(found["attrs"], 0))
+            attrs, at = attributes(html, at, gone)
+            builder.start(tag, attrs)
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
                 inner = html[at : close.start() if close else len(html)]

@@ -32,6 +32,18 @@ def test_words_inside_attribute_values_hide_nothing():
     assert h.render("<ol title=' start=7' start='3'><li>x</ol>") == "3. x"
 
 
+def test_quoted_values_are_read_whole():
+    for n in (10, 4095, 4096, 4097, 5000, 100_000):
+        for quote, other in ("\"'", "'\""):
+            value = f"<b hidden>{other}json{other}>" * (n // 10) + ">"
+            assert h.render(f"a<i data-x={quote}{value}{quote} title=t>b</i><p data-y={quote}{value}{quote} hidden>c</p>d") == "abd", n
+    assert h.render("<i a=\"x>one</i> <i b='1>2'>two</i> <i c='x>three</i> <p hidden>four") == "one two three"
+    assert h.render("<i a=x\"y>one</i> <i b='z'\">two</i>") == "one two"
+    for unit in ('<a b=">" ', "<a b='>", '<a b="> ', "<a b='>' c=\">\" ", "<a b='>\"", "<a b =   "):
+        h.render(unit * 60_000)
+        h.render(unit * 60_001 + ">")
+
+
 def test_text_is_kept():
     assert h.render("a &lt;b&gt; &nbsp; &copy; 1 < 2 & 3 > 2") == "a <b>   © 1 < 2 & 3 > 2"
     assert h.render("<pre>  a\n   b\n</pre>c") == "  a\n   b\n\nc"
