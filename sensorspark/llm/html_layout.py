@@ -2,8 +2,8 @@
 
 A tree is built from the tags, with the ones that authors leave out implied (a paragraph ends where a
 block begins, a list item at the next one, a cell at the next cell or row, the head at the first
-visible element).  Scripts, styles, the head, and elements hidden by attribute or style are left out;
-all other text is kept.  Blocks start on new lines, paragraphs, headings, lists and tables are set
+visible element).  Scripts, styles, the head, elements hidden by attribute or style, and the parts of
+drawings and formulas that are never drawn (``UNDRAWN``) are left out; all other text is kept.  Blocks start on new lines, paragraphs, headings, lists and tables are set
 apart by a blank line, list items carry their bullet or number and are indented by depth, tables are
 laid out in aligned columns, and preformatted text keeps its blanks.
 
@@ -30,7 +30,20 @@ MAX_SPAN = 1000
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title noscript template iframe noembed noframes object svg math datalist".split())
+HIDDEN = frozenset("head script style title noscript template iframe noembed noframes object datalist".split())
+# Inside svg and math: what is never drawn, where markup of the page begins again, and what ends the drawing.
+UNDRAWN = frozenset(
+    "title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter"
+    " annotation annotation-xml".split()
+)
+FOREIGN = frozenset(("svg", "math"))
+# Stand at places of their own, hence apart from the text around.
+PLACED = frozenset(("text", "foreignobject", "mtd"))
+PAGE_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_DRAWING = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta"
+    " nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 HEAD = frozenset("base link meta script style title noscript template head html".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer"
@@ -77,14 +90,15 @@ BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
 
-def attributes(html: str, at: int, gone: set[str]) -> tuple[dict[str, str], int]:
-    """The values by name of the start tag whose name ends at ``at``, and the tag's end; the first of a name counts.
+def attributes(html: str, at: int, gone: set[str]) -> tuple[dict[str, str], bool, int]:
+    """The values by name of the start tag whose name ends at ``at`` (the first of a name counts), whether a slash
+    ends the tag, and its end.
 
     A quoted value is read whole, however long.  ``gone`` keeps the quotes that do not come again, and ``>``
     once none comes outside quotes: such a tag ends at the next ``>``, which every tag has, so that no part
@@ -95,7 +109,7 @@ def attributes(html: str, at: int, gone: set[str]) -> tuple[dict[str, str], int]
     while ">" not in gone and (part := ATTRIBUTE.match(html, at)):
         at = part.end()
         if part["close"]:
-            return found, at
+            return found, part["skip"].endswith("/"), at
         name, value, quote = part["name"].lower(), part["value"] or "", part["quote"]
         if quote:
             end = html.find(quote, at) if quote not in gone else -1
@@ -104,12 +118,12 @@ def attributes(html: str, at: int, gone: set[str]) -> tuple[dict[str, str], int]
                 end = html.find(">", at)
                 if end < 0:
                     break
-                return {name: html[at:end]} | found, end + 1
+                return {name: html[at:end]} | found, False, end + 1
             value, at = html[at:end], end + 1
         found.setdefault(name, value)
     gone.add(">")
     end = html.index(">", start) + 1
-    return attributes(html[start:end], 0, set())[0], end
+    return *attributes(html[start:end], 0, set())[:2], end
 
 
 def number(attrs: dict[str, str], name: str) -> int | None:
@@ -166,9 +180,26 @@ class Builder:
                 self._leave_head()
             self.stack[-1].children.append(text)
 
-    def start(self, tag: str, attrs: dict[str, str]) -> None:
+    def drawing(self) -> bool:
+        """Whether the next element belongs to a drawing or formula."""
+        return self.stack[-1].foreign and self.stack[-1].tag not in PAGE_AGAIN
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> None:
         if tag == "html":
             return
+        if tag in ENDS_DRAWING:
+            keep = len(self.stack)
+            while self.stack[keep - 1].foreign and self.stack[keep - 1].tag not in PAGE_AGAIN:
+                keep -= 1
+            self._cut(keep)
+        if self.drawing() or tag in FOREIGN:
+            self._leave_head()
+            node = Node(tag, attrs, True)
+            self.stack[-1].children.append(node)
+            if not closed:
+                self.stack.append(node)
+                self.open[tag] = self.open.get(tag, 0) + 1
+            return
         if tag not in HEAD:
             self._leave_head()
         if tag == "body":
@@ -209,6 +240,11 @@ def parse(html: str) -> Node:
             builder.text(unescape(html[at:]))
             return builder.root
         builder.text(unescape(html[at : found.start()]))
+        if builder.drawing() and html.startswith("<![CDATA[", found.start()):
+            end = html.find("]]>", found.start())
+            builder.text(html[found.start() + 9 : end if end >= 0 else len(html)])
+            at = end + 3 if end >= 0 else len(html)
+            continue
         at = found.end()
         if found["note"] is not None and not found[0].endswith("-->"):
             return builder.root
@@ -216,9 +252,11 @@ def parse(html: str) -> Node:
             builder.end(found["end"].lower())
         elif found["start"]:
             tag = found["start"].lower()
-            attrs, at = attributes(html, at, gone)
-            builder.start(tag, attrs)
-            if tag in RAW:
+            attrs, closed, at = attributes(html, at, gone)
+            drawing = builder.drawing()
+            builder.start(tag, attrs, closed)
+            # In a drawing only scripts and styles are raw, and a slash ends them.
+            if tag in RAW and not (drawing and (closed or tag not in ("script", "style"))):
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
                 inner = html[at : close.start() if close else len(html)]
                 if tag in ("textarea", "xmp"):
@@ -269,7 +307,7 @@ class Writer:
 
 
 def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
+    if node.tag in HIDDEN or node.foreign and node.tag in UNDRAWN or "hidden" in node.attrs:
         return False
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
@@ -333,7 +371,7 @@ def _enter(out: Writer, node: Node, parent: list) -> int:
         out.prefixes.append([marker, " " * len(marker), False])
     elif node.tag in ("dd", "blockquote"):
         out.prefixes.append(["    ", "    ", False])
-    elif node.tag in ("td", "th"):
+    elif node.tag in ("td", "th") or node.foreign and node.tag in PLACED:
         out.parts.append(" ")
     return node.tag == "pre"
 
@@ -349,6 +387,8 @@ def _leave(out: Writer, node: Node) -> int:
         out.breaks(1)
     if node.tag in ("li", "dd", "blockquote"):
         out.prefixes.pop()
+    elif node.foreign and node.tag in PLACED:
+        out.parts.append(" ")
     if node.tag in BLOCK:
         out.breaks(2 if node.tag in APART and not (node.tag in LISTS and out.prefixes) else 1)
     return node.tag == "pre"

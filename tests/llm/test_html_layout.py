@@ -44,6 +44,26 @@ def test_quoted_values_are_read_whole():
         h.render(unit * 60_001 + ">")
 
 
+def test_drawings_and_formulas():
+    assert h.render("a<svg viewBox='0 0 9 9'><path d='M0'/><text x=1>one</text><g><text>t<tspan>wo</tspan></text></g></svg>b") == "a one two b"
+    assert h.render("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "so x=1 holds"
+    for part in ("title", "desc", "defs", "metadata", "symbol", "clipPath"):
+        assert h.render(f"a<svg><{part}><text>x</text></{part}><text>seen</text></svg>") == "a seen", part
+        assert h.render(f"a<svg><{part}/><text>seen</text></svg>") == "a seen", part
+    for part in ("annotation encoding='x/tex'", "annotation-xml"):
+        away = f"<{part}>x</{part.split()[0]}>"
+        assert h.render(f"<math><semantics><mrow><mi>y</mi></mrow>{away}</semantics></math>z") == "yz", part
+    assert h.render("<svg><style/><script/><text>seen</text><style>x</style><script>x</script></svg>a") == "seen a"
+    assert h.render("<svg><text><![CDATA[1 < 2 > 0]]></text></svg>a") == "1 < 2 > 0 a"
+    assert h.render("<svg><foreignObject><p>in</p></foreignObject></svg>a") == "in\n\na"
+    assert h.render("<svg><defs><p>para</p>") == "para"
+    assert h.render("<desc>kept</desc> <metadata>too</metadata>") == "kept too"
+    assert h.render("a<svg hidden><text>x</text></svg><svg style='display:none'><text>x</text></svg>") == "a"
+    assert h.render("<table><tr><td>a<td><svg><text>t</text></svg><tr><td>b<td><math><mn>2</mn></math></table>") == "a  t\nb  2"
+    h.render("<svg><g>" * 50_000 + "<p>x")
+    h.render("<svg><![CDATA[" * 50_000 + "<p>x")
+
+
 def test_text_is_kept():
     assert h.render("a &lt;b&gt; &nbsp; &copy; 1 < 2 & 3 > 2") == "a <b>   © 1 < 2 & 3 > 2"
     assert h.render("<pre>  a\n   b\n</pre>c") == "  a\n   b\n\nc"
