@@ -5,6 +5,10 @@ decides.  Pages that redirect to one another or name one another as canonical ar
 connected component shares one decision, allow if any member has a fitting allow rule, else block if
 any has a fitting block rule, else the default.  A page's own rule comes before its component's.
 
+Links are resolved by RFC 3986 against the page's url, or against its first ``<base href>`` resolved in
+the same way (one with a data or javascript scheme does not count): dot segments are removed, a link of
+only a query keeps the path, one of only a fragment the query too.
+
 Rules are joined on the suffixes of the distinct hosts, so both tables may be large.  Components are
 computed on the pages with such links only.
 
@@ -38,10 +42,50 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, or nothing."""
+    return F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+
+
+def undotted(path: Column) -> Column:
+    """An absolute or empty path without the segments ``.`` and ``..``."""
+    segments = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(segments, 2, F.size(segments)),
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == ".", out)
+        .when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))))
+        .otherwise(F.concat(out, F.array(s))),
+    )
+    # A last segment of dots names a folder.
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(F.concat(kept, folder), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The url without scheme and fragment: what redirects and canonical links are about."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.concat(host_of(url), path_of(url), query)
+    """The url without scheme, dot segments and fragment: what redirects and canonical links are about."""
+    return F.concat(host_of(url), undotted(path_of(url)), query_of(url))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The http url without fragment that ``link`` means at the url ``base``; null for another scheme."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    origin = F.concat(scheme, F.lit("://"), host_of(base))
+    path = path_of(base)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)?", 0)
+    joined = (
+        F.when(link.rlike(r"(?i)^https?://"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+        .when((link == "") | F.startswith(link, F.lit("#")), F.concat(origin, path, query_of(base)))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), link))
+    )
+    place = F.regexp_extract(joined, r"(?s)^.*?://[^/?#]*", 0)
+    return F.concat(place, undotted(path_of(joined)), query_of(joined))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -71,11 +115,14 @@ def _attribute(tag: Column, name: str) -> Column:
 def alias_links(pages: DataFrame) -> DataFrame:
     """(url, target): redirects by refresh and canonical links found in the pages."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
+    bases = F.filter(
+        F.regexp_extract_all("html", F.lit(r"(?is)<base\s[^>]*>"), F.lit(0)), lambda tag: tag.rlike(r"(?i)\shref\s*=")
+    )
     # Links inside comments and scripts say nothing about the page.
     found = materialize(
         pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").contains("://"))
         .withColumn("html", F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", ""))
-        .select("url", F.explode(tags).alias("tag")),
+        .select("url", _attribute(F.get(bases, F.lit(0)), "href").alias("base"), F.explode(tags).alias("tag")),
         "alias-tags",
     )
     canonical = F.when(
@@ -86,34 +133,25 @@ def alias_links(pages: DataFrame) -> DataFrame:
         F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh",
         F.trim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*['\"]?([^'\"]*)", 1)),
     )
+    base = F.when(
+        F.col("base").isNull() | F.col("base").rlike(r"(?i)^(?:data|javascript):"), F.col("url")
+    ).otherwise(resolved(F.col("url"), F.col("base")))
     named = materialize(
-        found.select(
-            "url", F.coalesce(canonical, refresh).alias("link"), host_of(F.col("url")).alias("host"),
-            path_of(F.col("url")).alias("path"),
-        ),
-        "alias-targets",
+        found.select("url", base.alias("base"), F.coalesce(canonical, refresh).alias("link")), "alias-targets"
     ).where("link != ''")
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    origin = F.concat(scheme, F.lit("://"), F.col("host"))
-    folder = F.regexp_extract("path", r"(?s)^(.*/)?", 0)
-    target = (
-        F.when(F.col("link").rlike(r"(?i)^https?://"), F.col("link"))
-        .when(F.startswith("link", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("link")))
-        .when(F.startswith("link", F.lit("/")), F.concat(origin, F.col("link")))
-        .when(F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), F.col("link")))
-    )
-    return named.select("url", target.alias("target")).where(F.col("target").isNotNull())
+    # An absolute link needs no base, whatever the page's is.
+    target = resolved(F.coalesce("base", F.lit("")), F.col("link"))
+    rooted = F.col("base").isNotNull() | F.col("link").rlike(r"(?i)^https?://")
+    return named.where(rooted).select("url", target.alias("target")).where(F.col("target").isNotNull())
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict and the alias component (null without links) per page."""
     links = materialize(
         alias_links(pages.select("url", "html"))
-        .select("url", "target", node_of(F.col("url")).alias("src"), node_of(F.col("target")).alias("dst"))
-        .where("src != dst"),
+        .select("url", "target", node_of(F.col("url")).alias("src"), node_of(F.col("target")).alias("dst")),
         "alias-links",
-    )
+    ).where("src != dst")
     own = pages.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         F.coalesce(node_of(F.col("url")), F.lit("")).alias("node"),
