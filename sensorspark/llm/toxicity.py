@@ -4,7 +4,8 @@ A word enters as characters, read by a small recurrent network in both direction
 hashed embedding and two numbers that say how much more often the word and its beginnings stand in
 toxic than in other training documents.  A second network reads windows of ``WINDOW`` words in both
 directions, attention pools its states, and a logistic unit scores the window.  Every window of a
-text is scored (``STRIDE`` apart, so that they overlap); a document's score is its worst window's.
+text is scored (``STRIDE`` apart, half a window, so that every passage of up to half a window's words
+lies whole in one); a document's score is its worst window's.
 
 Training: labels hold for documents, so each round takes the worst windows of toxic documents as
 toxic, and the worst and some other windows of clean documents as clean.  The numbers of a training
@@ -37,7 +38,7 @@ SAMPLE_DOCS = (1800, 900)
 SAMPLE_CHARS = 20_000
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 WORD_CHARS = 24
 CHARS, CHAR_DIM, CHAR_HIDDEN = 64, 8, 8
 BUCKETS, WORD_DIM, HIDDEN = 4096, 8, 8

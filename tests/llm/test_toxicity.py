@@ -34,6 +34,13 @@ def test_windows_cover_and_overlap():
         assert all(c < b for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in (t.WINDOW + 1, 100, 1000, 1001):
+        spans = t.windows_of(n)
+        for at in range(n - t.WINDOW // 2 + 1):
+            assert any(a <= at and at + t.WINDOW // 2 <= b for a, b in spans), (n, at)
+
+
 def corpus(n, seed):
     draw = random.Random(seed)
     texts, labels = [], []
