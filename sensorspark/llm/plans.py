@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorspark.llm import html_layout, mixing, oracles, order_minhash, packing, pii, quality_rules, rp_forest, rule_ensemble, toxicity, url_filter
+from sensorspark.llm import (
+    chat_format,
+    html_layout,
+    lexical_search,
+    mixing,
+    oracles,
+    order_minhash,
+    packing,
+    periodic_runs,
+    pii,
+    quality_rules,
+    rp_forest,
+    rule_ensemble,
+    toxicity,
+    url_filter,
+)
 from sensorspark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +123,23 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every whole text of ``documents``."""
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_chat_format", oracles.CHAT)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and a hostile one, formatted and read back."""
+    given = chat_format.with_hostile_conversation(table(spark, sf_dir, "conversations"))
+    read = chat_format.digest(chat_format.pieces(given))
+    return read.drop("n_attachments", "attachment_tokens")
+
+
+@query("op13_lexical_search", oracles.SEARCH)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every ``benchmark`` item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
