@@ -1,4 +1,4 @@
-"""k-means with restarts, elbow, cluster labels, Ward clustering, PCA and silhouettes."""
+"""k-means with restarts, elbow, cluster labels, PCA and silhouettes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import math
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -15,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.clean import complete_cases
-from sensorspark.operators.density import distance
 from sensorspark.operators.stats import standardize
-from sensorspark.session import broadcast_if_small, default_tasks, materialize, with_scalars
+from sensorspark.operators.tree import distance
+from sensorspark.session import broadcast_if_small, default_tasks, materialize, materialize_observed, with_scalars
 
 # The hours that make up the named parts of a day.
 HOUR_LABELS = [
@@ -152,65 +151,6 @@ def day_cluster_summary(clustered: DataFrame) -> DataFrame:
     )
 
 
-# --- hierarchical clustering of a profile ----------------------------------------------------
-
-
-def ward_cut(
-    profile: DataFrame,
-    key: str,
-    columns: list[str],
-    k: int = 2,
-    order: Column | None = None,
-    max_rows: int = 64,
-) -> DataFrame:
-    """Ward (D2) clusters of a small profile table: ``key``, ``cluster`` and the height at which
-    the cluster was closed.  Clusters are numbered as they first appear in ``order``.
-
-    Made for calendar profiles (7 weekdays, 24 hours), which is why one task may hold the whole
-    table; larger tables are refused.
-    """
-    z = [f"{c}_z" for c in columns]
-    scaled = standardize(complete_cases(profile, columns), columns).select(
-        F.col(key).cast("string").alias("key"),
-        (F.col(key) if order is None else order).alias("position"),
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in z],
-    )
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position").reset_index(drop=True)
-        n = len(rows)
-        if n > max_rows:
-            raise ValueError(f"{n} rows: Ward clustering takes profiles of at most {max_rows}")
-        x = rows[z].to_numpy()
-        members = {i: [i] for i in range(n)}
-        squared = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        height = np.zeros(n)
-        while len(members) > min(k, n):
-            ids = sorted(members)
-            _, i, j = min((squared[p, q], p, q) for a, p in enumerate(ids) for q in ids[a + 1 :])
-            merged = math.sqrt(squared[i, j])
-            for m in ids:
-                if m in (i, j):
-                    continue
-                a, b, c = len(members[i]), len(members[j]), len(members[m])
-                updated = (
-                    (a + c) * squared[i, m] + (b + c) * squared[j, m] - c * squared[i, j]
-                ) / (a + b + c)
-                squared[i, m] = squared[m, i] = updated
-            members[i] += members.pop(j)
-            height[members[i]] = merged
-        label = np.zeros(n, dtype=int)
-        for number, first in enumerate(sorted(members, key=lambda m: min(members[m])), 1):
-            label[members[first]] = number
-        return pd.DataFrame({"key": rows["key"], "cluster": label, "height": height})
-
-    return (
-        scaled.groupBy()
-        .applyInPandas(cut, "key string, cluster int, height double")
-        .withColumnRenamed("key", key)
-    )
-
-
 # --- principal components --------------------------------------------------------------------
 
 
@@ -267,22 +207,31 @@ class PrincipalComponents:
 # --- distances and silhouettes ---------------------------------------------------------------
 
 
-def profile_distances(profile: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Distances between the rows of a calendar profile (24 hours, 7 weekdays), each pair once.
+def pairwise_distances(df: DataFrame, key: str, columns: list[str], block_rows: int = 256) -> DataFrame:
+    """(i, j, distance): Euclidean distances between all rows, each pair once (i < j).
 
-    The whole profile is one small array, attached as a scalar.
+    The result is quadratic by definition and meant for profiles.  Rows are hashed on their unique
+    key into even blocks of about ``block_rows``; every pair of blocks meets once, as two packed rows,
+    so that no row of the work holds more than two blocks.
     """
-    rows = profile.select(
-        F.col(key).alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
-    )
-    packed = rows.agg(
-        F.collect_list(F.struct(F.col("i").alias("j"), F.col("_x").alias("_y"))).alias("_all")
+    dims = len(columns)
+    rows = df.select(F.col(key).alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows, seen = materialize_observed(rows, "pairwise", count=F.count(F.lit(1)))
+    blocks = max(1, math.ceil(seen["count"] / block_rows))
+    block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
+    packed = materialize(
+        rows.groupBy(block.alias("a")).agg(F.collect_list(F.struct("i", "x")).alias("left")), "blocks"
     )
-    return (
-        with_scalars(rows, packed)
-        .select("i", "_x", F.inline("_all"))
-        .where(F.col("i") < F.col("j"))
-        .select("i", "j", distance(F.col("_x"), F.col("_y"), len(columns)).alias("distance"))
+    # Block a meets the blocks from a on: for each of them one row, joined on its number.
+    first = packed.withColumn("b", F.explode(F.sequence("a", F.lit(blocks - 1))))
+    second = packed.select(F.col("a").alias("b"), F.col("left").alias("right"))
+    met = first.join(second, "b").select("a", "b", F.explode("left").alias("p"), "right")
+    other = met.select("a", "b", "p", F.explode("right").alias("q"))
+    once = (F.col("a") < F.col("b")) | (F.col("p.i") < F.col("q.i"))
+    return other.where(once).select(
+        F.least("p.i", "q.i").alias("i"),
+        F.greatest("p.i", "q.i").alias("j"),
+        distance(F.col("p.x"), F.col("q.x"), dims).alias("distance"),
     )
 
 

@@ -1,177 +1,69 @@
 """Density operators over numeric columns: k-nearest-neighbour distance, DBSCAN, noise report.
 
-Both searches work on a hierarchy of grid nodes (tight boxes with point counts) instead of point
-pairs.  A pair of boxes that is surely inside or surely outside the radius is decided as a whole;
-only undecided pairs are split into the nodes of the next, twice as fine level.  Points are compared
-one by one only where few of them are left, so a cell that holds a third of the table is never
-joined with itself.
+Both searches descend a partition tree (``tree``) with pairs of nodes.  A pair that its boxes and
+counts decide leaves as a whole; points are compared only within pairs of leaves.  Equal points are
+one weighted point, so a value that fills a third of the table is searched once.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorspark.functions.clean import complete_cases
+from sensorspark.operators import tree
 from sensorspark.operators.sequence import with_row_id
 from sensorspark.operators.stats import mean_sd_row
-from sensorspark.session import broadcast_if_small, default_tasks, materialize, with_scalars
-
-# Up to this many point pairs per remaining round are compared directly.
-PAIR_BUDGET = 2_000_000
-MAX_LEVEL = 40
+from sensorspark.operators.tree import distance
+from sensorspark.session import broadcast_if_small, materialize, materialize_observed, with_scalars
 
 
 def _point(columns: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in columns])
-
-
-def _node_id(x: Column, dims: int, side: float, level: int) -> Column:
-    """Grid coordinates at ``level``; the parent's are the same shifted right by one bit."""
-    width = F.lit(side / 2.0**level)
-    return F.array(*[F.floor(x[i] / width).cast("long") for i in range(dims)])
-
-
-def _parent(node: Column, dims: int) -> Column:
-    return F.array(*[F.shiftright(node[i], 1) for i in range(dims)])
-
-
-def _box(x: Column, dims: int) -> list[Column]:
-    return [
-        F.array(*[F.min(x[i]) for i in range(dims)]).alias("lo"),
-        F.array(*[F.max(x[i]) for i in range(dims)]).alias("hi"),
-    ]
-
+    # Adding zero makes -0.0 and 0.0 one value.
+    return F.array(*[F.col(c).cast("double") + 0.0 for c in columns])
 
-def _norm(gaps: list[Column]) -> Column:
-    total = gaps[0] * gaps[0]
-    for g in gaps[1:]:
-        total = total + g * g
-    return F.sqrt(total)
 
-
-def distance(x: Column, y: Column, dims: int) -> Column:
-    """Euclidean distance of two array columns, unrolled so that it compiles to plain arithmetic."""
-    return _norm([x[i] - y[i] for i in range(dims)])
-
-
-def nearest(lo1: Column, hi1: Column, lo2: Column, hi2: Column, dims: int) -> Column:
-    """Smallest distance between two boxes (a point is a box with equal corners)."""
-    zero = F.lit(0.0)
-    return _norm([F.greatest(lo1[i] - hi2[i], lo2[i] - hi1[i], zero) for i in range(dims)])
-
-
-def farthest(lo1: Column, hi1: Column, lo2: Column, hi2: Column, dims: int) -> Column:
-    """Largest distance between two boxes."""
-    return _norm([F.greatest(hi1[i] - lo2[i], hi2[i] - lo1[i]) for i in range(dims)])
-
-
-def _nodes(points: DataFrame, dims: int, side: float, level: int) -> DataFrame:
-    """The occupied nodes of one level: ``node``, ``n``, ``lo``, ``hi``."""
-    x = F.col("x")
-    return points.groupBy(_node_id(x, dims, side, level).alias("node")).agg(
-        F.count(F.lit(1)).alias("n"), *_box(x, dims)
+def _weighted(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, x) complete in ``columns`` and their distinct points (x, w, smallest id)."""
+    rows = materialize(
+        complete_cases(df, columns).select(F.col(key).alias("id"), _point(columns).alias("x")), "rows"
     )
-
-
-def _hinted(df: DataFrame, row_bound: int, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a table whose row count is already known not to exceed ``row_bound``."""
-    return F.broadcast(df) if row_bound <= max_rows else df
+    return rows, rows.groupBy("x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
 
 
 # --- k-nearest-neighbour distance ------------------------------------------------------------
 
 
-def knn_distance(
-    df: DataFrame,
-    key: str,
-    columns: list[str],
-    k: int = 4,
-    pair_budget: int = PAIR_BUDGET,
-) -> DataFrame:
+def knn_distance(df: DataFrame, key: str, columns: list[str], k: int = 4) -> DataFrame:
     """(key, distance): exact Euclidean distance to the k-th nearest other row.
 
-    Identical points are searched once, with their multiplicity.  Every distinct point walks down
-    the grid hierarchy with the nodes that can still hold one of its neighbours: the boxes' counts
-    bound the wanted distance from above, and nodes farther away than that bound are dropped.
     NULL where the table has no k other rows.
     """
-    dims = len(columns)
-    rows = materialize(
-        complete_cases(df, columns).select(F.col(key).alias("id"), _point(columns).alias("x")),
-        "knn-rows",
+    dims, wanted = len(columns), k + 1
+    rows, points = _weighted(df, key, columns)
+    boxes = tree.Tree(points.select("x", "w"), dims).boxes()
+    leaves = tree.neighbour_leaves(boxes, wanted)
+    gaps = F.transform(
+        "r_members",
+        lambda m: F.struct(distance(F.col("p.x"), m["x"], dims).alias("d"), m["w"].alias("w")),
     )
-    distinct = materialize(
-        rows.groupBy("x").agg(F.count(F.lit(1)).alias("weight")), "knn-points"
+    # Every member weighs one row at least.
+    met = tree.meet(leaves, boxes, boxes).select("p.x", F.slice(F.array_sort(gaps), 1, wanted).alias("_gaps"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("double").alias("d"))
+
+    def further(acc: Column, m: Column) -> Column:
+        taken = F.struct((acc["held"] + m["w"]).alias("held"), m["d"].alias("d"))
+        return F.when(acc["held"] >= wanted, acc).otherwise(taken)
+
+    kth = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("_gaps"))),
+        start,
+        further,
+        lambda acc: F.when(acc["held"] >= wanted, acc["d"]),
     )
-    extent = distinct.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[(F.max(F.abs(F.col("x")[i]))).alias(f"m{i}") for i in range(dims)],
-    ).first()
-    if extent["n"] == 0:
-        return rows.select(F.col("id").alias(key), F.lit(None).cast("double").alias("distance"))
-    # Level 0 has one node on either side of zero per dimension.
-    side = 2.0 * max(1e-300, *[extent[f"m{i}"] for i in range(dims)])
-
-    x, wanted = F.col("x"), k + 1
-    by_far = Window.partitionBy("x").orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)
-
-    def bounded(frontier: DataFrame) -> DataFrame:
-        """Drop nodes that start beyond a radius which surely holds the wanted neighbours."""
-        far = farthest(x, x, F.col("lo"), F.col("hi"), dims)
-        reach = F.min(F.when(F.col("_held") >= wanted, F.col("_far"))).over(
-            Window.partitionBy("x")
-        )
-        return (
-            frontier.withColumn("_far", far)
-            .withColumn("_held", F.sum("weight").over(by_far))
-            .withColumn("_reach", reach)
-            .where(
-                F.col("_reach").isNull()
-                | (nearest(x, x, F.col("lo"), F.col("hi"), dims) <= F.col("_reach"))
-            )
-            .select("x", "node", "n")
-        )
-
-    def level_nodes(level: int) -> DataFrame:
-        return distinct.groupBy(_node_id(x, dims, side, level).alias("node")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), *_box(x, dims)
-        )
-
-    # The root: all (at most 2^dims) nodes of level 0 for every point.
-    level = 0
-    roots = level_nodes(0).agg(
-        F.collect_list(F.struct("node", "n", "weight", "lo", "hi")).alias("_roots")
-    )
-    start = with_scalars(distinct.select("x"), roots).select("x", F.inline("_roots"))
-    frontier = materialize(bounded(start), "knn-frontier")
-    while level < MAX_LEVEL:
-        pairs_left, largest = frontier.agg(F.sum("n"), F.max("n")).first()
-        if pairs_left <= pair_budget or largest == 1:
-            break
-        level += 1
-        children = broadcast_if_small(materialize(level_nodes(level), "knn-nodes"))
-        split = (
-            frontier.select("x", F.col("node").alias("_up"))
-            .join(children.withColumn("_up", _parent(F.col("node"), dims)), "_up")
-            .drop("_up")
-        )
-        frontier = materialize(bounded(split), "knn-frontier")
-
-    located = distinct.select(
-        _node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"), "weight"
-    )
-    gap = distance(F.col("x"), F.col("y"), dims)
-    # Partitioned by point up front, so that the running sums below need no further shuffle.
-    spread = frontier.select("x", "node").repartition(default_tasks(frontier), "x")
-    pairs = spread.join(located, "node").select("x", gap.alias("_far"), "weight")
-    held = pairs.withColumn("_held", F.sum("weight").over(by_far))
-    kth = held.where(F.col("_held") >= wanted).groupBy("x").agg(F.min("_far").alias("distance"))
-    return rows.join(kth, "x", "left").select(F.col("id").alias(key), "distance")
+    found = met.groupBy("x").agg(kth.alias("distance"))
+    return rows.join(found, "x", "left").select(F.col("id").alias(key), "distance")
 
 
 # --- connected components --------------------------------------------------------------------
@@ -185,13 +77,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     paths by half.  Most vertices of a giant component carry the same label; that join has one row
     per label on its other side, so adaptive execution broadcasts it or splits the hot label.
     """
+    ends = edges.select("src", "dst")
     both = materialize(
-        edges.select("src", "dst").unionByName(
-            edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        ),
-        "edges",
+        ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "edges"
     )
-    labels = materialize(vertices.select("v", F.col("v").alias("component")), "labels")
+    loops = vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"))
+    labels = both.unionByName(loops).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("component"))
+    labels = materialize(labels, "labels")
     while True:
         offered = (
             both.join(labels.withColumnRenamed("v", "src"), "src")
@@ -199,279 +91,153 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.min("component").alias("_offer"))
         )
         jump = labels.select(F.col("v").alias("component"), F.col("component").alias("_jump"))
-        lowered = materialize(
+        lower = F.least("component", "_offer", "_jump")
+        lowered, seen = materialize_observed(
             labels.join(offered, "v", "left")
             .join(jump, "component", "left")
-            .select(
-                "v",
-                F.least("component", "_offer", "_jump").alias("component"),
-                F.col("component").alias("_before"),
-            ),
+            .select("v", lower.alias("component"), F.col("component").alias("_before")),
             "labels",
+            changed=F.count_if(F.col("component") != F.col("_before")),
         )
         labels = lowered.select("v", "component")
-        if lowered.where(F.col("component") != F.col("_before")).isEmpty():
+        if not seen["changed"]:
             return labels
 
 
 # --- DBSCAN ----------------------------------------------------------------------------------
 
 
-def dbscan(
-    df: DataFrame,
-    key: str,
-    columns: list[str],
-    eps: float = 1.5,
-    min_pts: int = 5,
-    pair_budget: int = PAIR_BUDGET,
-) -> DataFrame:
-    """(key, cluster): density clusters 1, 2, … by their smallest core key; 0 is noise.
+def _core_points(boxes: tree.Boxes, eps: float, min_pts: int) -> DataFrame:
+    """The tree's points with at least ``min_pts`` rows within ``eps``, themselves included.
 
-    Cells have the diagonal ``eps``, so every point of a cell with ``min_pts`` points is a core
-    point and all of them belong together: such a dense cell is one vertex of the cluster graph.
-    Only the points of other cells (fewer than ``min_pts`` per cell) are handled one by one.  A
-    border point joins the smallest adjacent cluster.
+    A node's sure weight is that of all nodes wholly within ``eps`` of all its points.  Once it
+    reaches ``min_pts`` the node's points are core and its pairs leave.
     """
-    dims = len(columns)
-    side = eps / math.sqrt(dims) * (1 - 1e-9)
-    x = F.col("x")
-    points = materialize(
-        complete_cases(df, columns)
-        .select(F.col(key).alias("id"), _point(columns).alias("x"))
-        .withColumn("cell", _node_id(x, dims, side, 0)),
-        "points",
-    )
-    cells = materialize(
-        points.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("id").alias("v"), *_box(x, dims)
-        ),
-        "cells",
-    )
-    dense = cells.where(F.col("n") >= min_pts)
-    thin = broadcast_if_small(cells.where(F.col("n") < min_pts).select("cell"))
-    loose = materialize(points.join(thin, "cell", "left_semi"), "loose")
-    crowded = points.join(thin, "cell", "left_anti")
-
-    ring = range(-math.ceil(math.sqrt(dims)), math.ceil(math.sqrt(dims)) + 1)
-    steps = [
-        s
-        for s in itertools.product(ring, repeat=dims)
-        if sum(max(abs(i) - 1, 0) ** 2 for i in s) <= dims
-    ]
-    around = F.explode(
-        F.transform(
-            F.array(*[F.array(*[F.lit(i) for i in s]) for s in steps]),
-            lambda s: F.zip_with("cell", s, lambda c, i: c + i),
+    dims, points = boxes.tree.dims, boxes.tree.points
+    pairs = tree.root_pair(boxes).withColumn("base", F.lit(0).cast("long"))
+    columns = points.columns
+    sure = F.sum(F.when(F.col("_far") <= eps, F.col("_w"))).over(Window.partitionBy("q"))
+    whole = None
+    for level in range(boxes.tree.top - 1, -1, -1):
+        judged = tree.split(pairs, boxes, boxes, level).select(
+            "q", "r", "base", tree.near(dims).alias("_near"), tree.far(dims).alias("_far"), F.col("r_box.w").alias("_w")
         )
+        counted = judged.where(F.col("_near") <= eps).withColumn("base", F.col("base") + F.coalesce(sure, F.lit(0)))
+        written = materialize(counted, "core-pairs")
+        dense = written.where(F.col("base") >= min_pts).select(F.lit(level).alias("level"), F.col("q").alias("node")).distinct()
+        whole = dense if whole is None else whole.unionByName(dense)
+        pairs = written.where((F.col("base") < min_pts) & (F.col("_far") > eps)).select("q", "r", "base")
+    close = F.filter("r_members", lambda m: distance(F.col("p.x"), m["x"], dims) <= eps)
+    weight = F.aggregate(close, F.lit(0).cast("long"), lambda acc, m: acc + m["w"])
+    counted = (
+        tree.meet(pairs, boxes, boxes)
+        .select("p", F.col("q").alias("leaf"), "base", weight.alias("_w"))
+        .groupBy("p", "leaf")
+        .agg((F.max("base") + F.sum("_w")).alias("_w"))
+        .where(F.col("_w") >= min_pts)
     )
+    exact = counted.select("p.*", "leaf").select(*columns)
+    if whole is None:
+        return exact
+    above = points.select("*", boxes.above())
+    return above.join(whole, ["level", "node"], "left_semi").select(*columns).unionByName(exact)
 
-    # Loose points against the loose points nearby: at most (min_pts − 1) per cell on both sides.
-    probes = loose.select("id", "x", around.alias("near"))
-    neighbour = loose.select(
-        F.col("cell").alias("near"), F.col("id").alias("other"), F.col("x").alias("y")
-    )
-    loose_pairs = materialize(
-        probes.join(neighbour, "near")
-        .where(distance(F.col("x"), F.col("y"), dims) <= eps)
-        .select("id", "other"),
-        "loose-pairs",
-    )
 
-    # Loose points against dense cells: how many of the cell's points are within eps.
-    boxes = dense.select(F.col("cell").alias("near"), "v", "n", "lo", "hi")
-    touching = probes.join(boxes, "near").select(
-        "id", "x", "v", F.col("near").alias("node"), "n", "lo", "hi"
-    )
-    inside = materialize(
-        _counts_within(touching, crowded, dims, side, eps, min_pts, pair_budget), "inside"
-    )
+def _vertices(boxes: tree.Boxes, core: DataFrame, eps: float) -> DataFrame:
+    """Core points with their vertex ``v``: the smallest key of the largest node around them whose
+    points all lie within ``eps`` of each other, or their own key."""
+    solid = boxes.all.where(_solid("lo", "hi", boxes.tree.dims, eps)).select("level", "node", "v")
+    up = solid.select((F.col("level") - 1).alias("level"), F.col("node").alias("_up"))
+    parent = F.expr(f"node div {boxes.tree.fan}").alias("_up")
+    largest = solid.select("level", "node", "v", parent).join(up, ["level", "_up"], "left_anti")
+    held = core.select("*", boxes.above()).join(largest.select("level", "node", "v"), ["level", "node"], "left")
+    return held.groupBy(*core.columns).agg(F.coalesce(F.min("v"), F.col("id")).alias("v"))
 
-    counts = (
-        loose_pairs.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(inside.select("id", "n"))
-        .groupBy("id")
-        .agg(F.sum("n").alias("n"))
-    )
-    loose_core = materialize(counts.where(F.col("n") >= min_pts).select("id"), "loose-core")
 
-    linked = _linked_cells(dense, crowded, dims, side, eps, around, pair_budget)
-    core_inside = inside.join(loose_core, "id", "left_semi")
-    core_pairs = loose_pairs.join(loose_core, "id", "left_semi").join(
-        loose_core.withColumnRenamed("id", "other"), "other", "left_semi"
-    )
-    edges = (
-        linked.unionByName(core_inside.select(F.col("id").alias("src"), F.col("v").alias("dst")))
-        .unionByName(
-            core_pairs.where(F.col("id") < F.col("other")).select(
-                F.col("id").alias("src"), F.col("other").alias("dst")
-            )
-        )
-    )
-    vertices = dense.select("v").unionByName(loose_core.select(F.col("id").alias("v")))
-    components = connected_components(vertices, edges)
-    # The smallest vertex id is also the smallest core key: a dense cell is named by its minimum.
-    numbers = with_row_id(components.select("component").distinct(), ["component"], "clusters")
-    number_of = materialize(
-        components.join(broadcast_if_small(materialize(numbers, "numbers")), "component").select(
-            "v", F.col("row_id").cast("int").alias("cluster")
-        ),
-        "vertex-clusters",
-    )
+def _solid(lo: str, hi: str, dims: int, eps: float) -> Column:
+    return tree.norm([F.col(hi)[i] - F.col(lo)[i] for i in range(dims)]) <= eps
 
-    # Each loose point: its own cluster when core, else the smallest adjacent one, else noise.
-    core_cluster = loose_core.join(number_of.withColumnRenamed("v", "id"), "id")
-    adjacent = (
-        inside.join(number_of, "v")
-        .select("id", "cluster")
-        .unionByName(
-            loose_pairs.join(core_cluster.withColumnRenamed("id", "other"), "other").select(
-                "id", "cluster"
-            )
-        )
-        .groupBy("id")
-        .agg(F.min("cluster").alias("_adjacent"))
-    )
-    loose_result = (
-        loose.select("id")
-        .join(core_cluster, "id", "left")
-        .join(adjacent, "id", "left")
-        .select("id", F.coalesce("cluster", "_adjacent", F.lit(0)).alias("cluster"))
-    )
-    cell_cluster = materialize(
-        dense.select("cell", "v").join(number_of, "v").select("cell", "cluster"), "cell-clusters"
-    )
-    crowded_result = points.join(broadcast_if_small(cell_cluster), "cell").select("id", "cluster")
-    return crowded_result.unionByName(loose_result).select(F.col("id").alias(key), "cluster")
-
-
-def _counts_within(
-    touching: DataFrame,
-    crowded: DataFrame,
-    dims: int,
-    side: float,
-    eps: float,
-    enough: int,
-    pair_budget: int,
-) -> DataFrame:
-    """(id, v, n): points of dense cell ``v`` within eps of point ``id``, where there are any.
-
-    Counting may stop at ``enough``: the callers ask for "at least that many" and "at least one".
+
+def _core_links(boxes: tree.Boxes, eps: float) -> DataFrame:
+    """(src, dst): vertices of core points that have points within ``eps`` of each other.
+
+    A pair of solid nodes needs one link, whatever the number of its points, and leaves when it has
+    one; where nodes are not solid, their points are vertices.
     """
-    x = F.col("x")
-    level, found = 0, None
-    frontier = touching
-    while True:
-        near = nearest(x, x, F.col("lo"), F.col("hi"), dims)
-        far = farthest(x, x, F.col("lo"), F.col("hi"), dims)
-        judged = materialize(
-            frontier.where(near <= eps).withColumn("_all", far <= eps), "reach"
-        )
-        whole = judged.where("_all").select("id", "v", "n")
-        found = whole if found is None else found.unionByName(whole)
-        satisfied = (
-            found.groupBy("id", "v").agg(F.sum("n").alias("_n")).where(F.col("_n") >= enough)
+    dims = boxes.tree.dims
+
+    def vertex(side: str) -> Column:
+        own = F.when(_solid(f"{side}_box.lo", f"{side}_box.hi", dims, eps), F.col(f"{side}_box.v"))
+        return F.coalesce(f"{side}_v", own)
+
+    def judge(expanded: DataFrame) -> DataFrame:
+        named = expanded.select(
+            "q", "r", vertex("q").alias("q_v"), vertex("r").alias("r_v"), tree.near(dims).alias("_near"), tree.far(dims).alias("_far")
         )
-        open_pairs = judged.where(~F.col("_all"))
-        if level:
-            open_pairs = open_pairs.join(satisfied.select("id", "v"), ["id", "v"], "left_anti")
-        left = open_pairs.agg(F.sum("n")).first()[0] or 0
-        if left == 0:
-            break
-        if left <= pair_budget or level >= MAX_LEVEL:
-            located = crowded.select(_node_id(x, dims, side, level).alias("node"), F.col("x").alias("y"))
-            close = distance(F.col("x"), F.col("y"), dims) <= eps
-            exact = (
-                located.join(_hinted(open_pairs.select("id", "v", "x", "node"), left), "node")
-                .where(close)
-                .groupBy("id", "v")
-                .agg(F.count(F.lit(1)).alias("n"))
-            )
-            found = found.unionByName(exact)
-            break
-        level += 1
-        children = broadcast_if_small(materialize(_nodes(crowded, dims, side, level), "nodes"))
-        frontier = (
-            open_pairs.select("id", "v", "x", F.col("node").alias("_up"))
-            .join(children.withColumn("_up", _parent(F.col("node"), dims)), "_up")
-            .drop("_up")
+        # A null on one side means no solid node yet: such pairs go on.
+        return named.where(
+            (F.col("q") <= F.col("r")) & (F.col("_near") <= eps) & F.coalesce(F.col("q_v") != F.col("r_v"), F.lit(True))
         )
-    return found.groupBy("id", "v").agg(F.sum("n").alias("n"))
-
-
-def _linked_cells(
-    dense: DataFrame,
-    crowded: DataFrame,
-    dims: int,
-    side: float,
-    eps: float,
-    around: Column,
-    pair_budget: int,
-) -> DataFrame:
-    """(src, dst): dense cells with a pair of points, one of each, within eps."""
-    left = dense.select("cell", "v", "n", "lo", "hi").withColumn("near", around)
-    right = dense.select(
-        F.col("cell").alias("near"),
-        F.col("v").alias("dst"),
-        F.col("n").alias("n2"),
-        F.col("lo").alias("lo2"),
-        F.col("hi").alias("hi2"),
+
+    nothing = F.lit(None).cast(dict(boxes.all.dtypes)["v"])
+    pairs = tree.root_pair(boxes).withColumns({"q_v": nothing, "r_v": nothing})
+    if not boxes.tree.top:
+        own = boxes.level(0).select(*[F.struct(*boxes.columns).alias(f"{side}_box") for side in "qr"])
+        # One row on either side: a single leaf.
+        pairs = judge(pairs.join(F.broadcast(own), F.lit(True))).select("q", "r", "q_v", "r_v")
+    links = None
+    for level in range(boxes.tree.top - 1, -1, -1):
+        written = materialize(judge(tree.split(pairs, boxes, boxes, level)), "links")
+        sure = written.where((F.col("_far") <= eps) & F.col("q_v").isNotNull() & F.col("r_v").isNotNull())
+        ends = sure.select(F.least("q_v", "r_v").alias("src"), F.greatest("q_v", "r_v").alias("dst"))
+        links = (ends if links is None else links.unionByName(ends)).distinct()
+        links = materialize(links, "linked") if level else links
+        known = links.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+        same = (F.least("q_v", "r_v") == F.col("_a")) & (F.greatest("q_v", "r_v") == F.col("_b"))
+        both = F.col("q_v").isNotNull() & F.col("r_v").isNotNull()
+        undecided = written.where(both).join(known, same, "left_anti")
+        pairs = undecided.unionByName(written.where(~both)).select("q", "r", "q_v", "r_v")
+    met = tree.meet(pairs, boxes, boxes)
+    close = F.filter("r_members", lambda m: distance(F.col("p.x"), m["x"], dims) <= eps)
+    other = F.when(F.col("r_v").isNotNull(), F.array("r_v")).otherwise(F.transform("_close", lambda m: m["id"]))
+    exact = (
+        met.select(F.coalesce("q_v", "p.id").alias("src"), "r_v", close.alias("_close"))
+        .where(F.size("_close") > 0)
+        .select("src", F.explode(other).alias("dst"))
+        .where(F.col("src") != F.col("dst"))
     )
-    frontier = (
-        left.join(right, "near")
-        .where(F.col("v") < F.col("dst"))
-        .select(
-            F.col("v").alias("src"), "dst", F.col("cell").alias("node"), "n", "lo", "hi",
-            F.col("near").alias("node2"), "n2", "lo2", "hi2",
-        )
+    return (exact if links is None else links.unionByName(exact)).distinct()
+
+
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 1.5, min_pts: int = 5) -> DataFrame:
+    """(key, cluster): density clusters 1, 2, … by their smallest core key; 0 is noise.
+
+    Three descents of one tree: which points are core, which core vertices are linked, and which
+    clusters the other points touch.  A border point joins the smallest adjacent cluster.
+    """
+    dims = len(columns)
+    rows, points = _weighted(df, key, columns)
+    whole = tree.Tree(points, dims)
+    core = materialize(_core_points(whole.boxes(), eps, min_pts), "core")
+    core_boxes = whole.boxes(core, F.min("id").alias("v"))
+    placed = materialize(_vertices(core_boxes, core, eps), "vertices")
+    components = connected_components(placed.select("v").distinct(), _core_links(core_boxes, eps))
+    # The smallest vertex of a component is its smallest core key.
+    numbers = with_row_id(components.select("component").distinct(), ["component"], "clusters")
+    number_of = components.join(broadcast_if_small(materialize(numbers, "numbers")), "component")
+    clustered = materialize(
+        placed.join(number_of, "v").select("leaf", "x", "w", F.col("row_id").cast("int").alias("cluster")), "core-clusters"
+    )
+    other = whole.points.join(core.select("x"), "x", "left_anti")
+    others, clusters = whole.boxes(other), whole.boxes(clustered)
+    met = tree.meet(tree.close_leaves(others, clusters, eps), others, clusters)
+    close = F.filter("r_members", lambda m: distance(F.col("p.x"), m["x"], dims) <= eps)
+    touched = F.array_min(F.transform(close, lambda m: m["cluster"]))
+    border = met.groupBy("p.x").agg(F.min(touched).alias("cluster"))
+    found = clustered.select("x", "cluster").unionByName(border)
+    return rows.join(found, "x", "left").select(
+        F.col("id").alias(key), F.coalesce("cluster", F.lit(0)).alias("cluster")
     )
-    corners = [F.col(c) for c in ("lo", "hi", "lo2", "hi2")]
-    level, linked = 0, None
-    while True:
-        judged = materialize(
-            frontier.where(nearest(*corners, dims) <= eps).withColumn("_all", farthest(*corners, dims) <= eps),
-            "links",
-        )
-        sure = judged.where("_all").select("src", "dst")
-        linked = materialize(
-            (sure if linked is None else linked.unionByName(sure)).distinct(), "linked"
-        )
-        open_pairs = judged.where(~F.col("_all")).join(linked, ["src", "dst"], "left_anti")
-        work = open_pairs.agg(F.sum(F.col("n").cast("double") * F.col("n2"))).first()[0] or 0
-        if work == 0:
-            return linked
-        if work <= pair_budget or level >= MAX_LEVEL:
-            located = crowded.select(_node_id(F.col("x"), dims, side, level).alias("node"), "x")
-            close = distance(F.col("x"), F.col("y"), dims) <= eps
-            exact = (
-                located.join(_hinted(open_pairs.select("src", "dst", "node", "node2"), work), "node")
-                .join(
-                    located.select(F.col("node").alias("node2"), F.col("x").alias("y")), "node2"
-                )
-                .where(close)
-                .select("src", "dst")
-            )
-            return linked.unionByName(exact).distinct()
-        level += 1
-        children = materialize(_nodes(crowded, dims, side, level), "nodes").withColumn(
-            "_up", _parent(F.col("node"), dims)
-        )
-        small = broadcast_if_small(children)
-        other = small.select(
-            F.col("_up").alias("_up2"),
-            F.col("node").alias("node2"),
-            F.col("n").alias("n2"),
-            F.col("lo").alias("lo2"),
-            F.col("hi").alias("hi2"),
-        )
-        frontier = (
-            open_pairs.select(
-                "src", "dst", F.col("node").alias("_up"), F.col("node2").alias("_up2")
-            )
-            .join(small, "_up")
-            .join(other, "_up2")
-            .drop("_up", "_up2")
-        )
 
 
 # --- noise report ----------------------------------------------------------------------------

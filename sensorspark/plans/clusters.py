@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.functions.scores import silhouette_band
-from sensorspark.operators import cluster, profile, rollup, smooth
+from sensorspark.operators import cluster, profile, rollup, smooth, ward
 from sensorspark.operators.stats import long_form, standardize
 from sensorspark.plans import adapters as a
 from sensorspark.plans.anomalies import METRICS
-from sensorspark.plans.registry import query, r
+from sensorspark.plans.registry import query, r, rs
 from sensorspark.session import materialize
 
 HOUR_COLUMNS = ["avg_traffic", "avg_aqi", "avg_energy"]
@@ -62,7 +62,7 @@ def scaled_hour_profile(spark: SparkSession, d: str) -> DataFrame:
 )
 def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     scaled = standardize(hour_profile(spark, d), HOUR_COLUMNS)
-    return cluster.profile_distances(scaled, "hour", [f"{c}_z" for c in HOUR_COLUMNS])
+    return cluster.pairwise_distances(scaled, "hour", [f"{c}_z" for c in HOUR_COLUMNS])
 
 
 @query("elbow")
@@ -97,19 +97,65 @@ def kmeans_days(spark: SparkSession, d: str) -> DataFrame:
     return cluster.day_cluster_summary(materialize(clustered_days(spark, d), "day-clusters"))
 
 
-@query("ward_weekdays")
+WEEKDAY_COLUMNS = ["avg_traffic", "avg_aqi", "avg_energy", "traffic_variability"]
+_SUNDAY_FIRST = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
+
+
+def _weekdays(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(rollup.weekday_patterns(materialize(a.hourly(spark, d), "master")), "weekdays")
+
+
+def _sunday_first() -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in _SUNDAY_FIRST]), F.col("weekday"))
+
+
+# One merge per step: all pairs of the list of clusters, the least rise first.
+_PAIR_SQL = """list_sort(flatten(list_transform(range(1, len(cl) + 1), lambda i: list_transform(range(i + 1, len(cl) + 1),
+  lambda j: {'rise': 2.0 * cl[i].w * cl[j].w / (cl[i].w + cl[j].w) * list_sum(list_transform(range(1, len(cl[i].x) + 1),
+    lambda t: power(cl[i].x[t] - cl[j].x[t], 2))), 'i': i, 'j': j}))))[1]"""
+WARD = f"""{a.HOURLY}, wd AS (
+  SELECT strftime(timestamp, '%a') AS weekday, avg(total_vehicles) AS avg_traffic, avg(avg_AQI) AS avg_aqi,
+         avg(total_energy_kwh) AS avg_energy, stddev_samp(total_vehicles) AS traffic_variability
+  FROM hourly GROUP BY 1),
+wz AS (SELECT weekday, avg_traffic, avg_energy, list_position({list(_SUNDAY_FIRST)!r}, weekday) AS pos, [{', '.join(
+    f'coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)' for c in WEEKDAY_COLUMNS)}] AS x
+  FROM wd WHERE {' AND '.join(f'{c} IS NOT NULL' for c in WEEKDAY_COLUMNS)}),
+wr AS (SELECT *, CAST(row_number() OVER (ORDER BY pos) AS BIGINT) AS id FROM wz),
+st(cl, m) AS (
+  SELECT list({{'id': id, 'w': 1, 'x': x, 'ids': [id], 'h': 0.0::DOUBLE}} ORDER BY id),
+         NULL::STRUCT(l BIGINT, r BIGINT, rise DOUBLE, w INTEGER) FROM wr
+  UNION ALL
+  SELECT list_sort(list_filter(cl, lambda c: c.id <> cl[p.i].id AND c.id <> cl[p.j].id) || [{{
+           'id': cl[p.i].id, 'w': cl[p.i].w + cl[p.j].w, 'x': list_transform(range(1, len(cl[p.i].x) + 1), lambda t:
+             (cl[p.i].w * cl[p.i].x[t] + cl[p.j].w * cl[p.j].x[t]) / (cl[p.i].w + cl[p.j].w)),
+           'ids': cl[p.i].ids || cl[p.j].ids, 'h': sqrt(p.rise)}}]),
+         {{'l': cl[p.i].id, 'r': cl[p.j].id, 'rise': p.rise, 'w': cl[p.i].w + cl[p.j].w}}
+  FROM (SELECT cl, {_PAIR_SQL} AS p FROM st WHERE len(cl) > 1))"""
+
+
+@query(
+    "ward_merges",
+    f"WITH RECURSIVE {WARD} SELECT m.l AS \"left\", m.r AS \"right\", {r('sqrt(m.rise)', 'height')}, "
+    "CAST(m.w AS BIGINT) AS size FROM st WHERE m IS NOT NULL",
+)
+def ward_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The merge table of the weekday tree: clusters are named by their first weekday, Sunday being 1."""
+    merges, _ = ward.ward_merges(_weekdays(spark, d), "weekday", WEEKDAY_COLUMNS, _sunday_first())
+    return merges.drop("round")
+
+
+@query(
+    "ward_weekdays",
+    f"""WITH RECURSIVE {WARD}, last AS (SELECT cl FROM st WHERE len(cl) = 2),
+cut AS (SELECT CAST(i AS INT) AS cluster, cl[i].h AS height, unnest(cl[i].ids) AS id FROM (
+  SELECT cl, unnest(range(1, 3)) AS i FROM last))
+SELECT weekday, {rs('avg_traffic', 'avg_energy')}, cluster, {r('height', 'height')} FROM cut JOIN wr ON cut.id = wr.id""",
+)
 def ward_weekdays(spark: SparkSession, d: str) -> DataFrame:
-    weekdays = rollup.weekday_patterns(materialize(a.hourly(spark, d), "master"))
-    sunday_first = F.array_position(
-        F.array(*[F.lit(x) for x in ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")]),
-        F.col("weekday"),
-    )
-    columns = ["avg_traffic", "avg_aqi", "avg_energy", "traffic_variability"]
-    labels = cluster.ward_cut(weekdays, "weekday", columns, k=2, order=sunday_first)
-    # One row per weekday.
-    return weekdays.select("weekday", "avg_traffic", "avg_energy").join(
-        F.broadcast(labels), "weekday"
-    )
+    """Two groups of weekdays."""
+    weekdays = _weekdays(spark, d)
+    labels = ward.ward_cut(weekdays, "weekday", WEEKDAY_COLUMNS, k=2, order=_sunday_first())
+    return weekdays.select("weekday", "avg_traffic", "avg_energy").join(labels, "weekday")
 
 
 def _components(spark: SparkSession, d: str) -> cluster.PrincipalComponents:

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -79,6 +79,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and aggregates of the written rows, taken while they are written."""
+    seen = Observation()
+    observed = df.observe(seen, *[c.alias(n) for n, c in measures.items()])
+    return materialize(observed, name), seen.get
+
+
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 

@@ -1,4 +1,4 @@
-"""k-means restarts, labels, Ward, principal components, silhouettes and smoothing."""
+"""k-means restarts, labels, principal components, silhouettes and smoothing."""
 
 import numpy as np
 import pytest
@@ -56,34 +56,6 @@ def test_day_labels(spark):
                    3: ("High Activity Days", 50.0, 2)}
 
 
-def brute_ward(x, k):
-    """Merge the two groups whose union raises the within sum of squares least."""
-    groups = [[i] for i in range(len(x))]
-
-    def rise(a, b):
-        gap = x[a].mean(0) - x[b].mean(0)
-        return 2 * len(a) * len(b) / (len(a) + len(b)) * (gap @ gap)
-
-    while len(groups) > k:
-        pairs = [(rise(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        _, i, j = min(pairs)
-        groups[i] += groups.pop(j)
-    return {frozenset(g) for g in groups}
-
-
-@pytest.mark.parametrize("k", [2, 3])
-def test_ward(spark, k):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(7, 2))
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "d int, a double, b double")
-    got = {}
-    for r in cluster.ward_cut(df, "d", ["a", "b"], k=k).collect():
-        got.setdefault(r["cluster"], set()).add(int(r["d"]))
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
-    assert {frozenset(g) for g in got.values()} == brute_ward(z, k)
-    assert 0 in got[1] and sorted(got) == list(range(1, k + 1))
-
-
 def test_principal_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
@@ -143,3 +115,14 @@ def test_local_regression(spark):
         w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
         coef = np.polyfit(x - r["x0"], y, 2, w=np.sqrt(w))
         assert r["fitted"] == pytest.approx(coef[-1], rel=1e-6, abs=1e-8)
+
+
+@pytest.mark.parametrize("block_rows", [256, 5])
+def test_pairwise_distances(spark, block_rows):
+    x = np.random.default_rng(3).normal(size=(30, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double")
+    got = cluster.pairwise_distances(df, "id", ["a", "b"], block_rows).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(got) == len({(r["i"], r["j"]) for r in got}) == 435
+    assert all(r["i"] < r["j"] and r["distance"] == pytest.approx(d[r["i"], r["j"]]) for r in got)
+    assert cluster.pairwise_distances(df.limit(0), "id", ["a", "b"]).collect() == []

@@ -13,9 +13,12 @@ def quantile_map(df, by):
     }
 
 
-@pytest.mark.parametrize("accuracy", [50_000, 50])
-def test_grouped_quantiles_equal_numpy(spark, accuracy):
-    """Accuracy 50 puts every group beyond the bracket limit, so the narrow path is used."""
+@pytest.mark.parametrize("limit,cuts,accuracy", [(50_000, 1024, 10_000), (20, 16, 40)])
+def test_grouped_quantiles_equal_numpy(spark, monkeypatch, limit, cuts, accuracy):
+    """With a limit of 20 rows most groups take several rounds, and the coarse sketch also misses."""
+    monkeypatch.setattr(stats, "BRACKET_ROWS", limit)
+    monkeypatch.setattr(stats, "CUTS", cuts)
+    monkeypatch.setattr(stats, "CUT_ACCURACY", accuracy)
     rng = np.random.default_rng(1)
     groups = {
         "plain": rng.normal(size=4000),
@@ -28,12 +31,34 @@ def test_grouped_quantiles_equal_numpy(spark, accuracy):
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("plain", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = quantile_map(stats.grouped_quantiles(df, ["g"], "v", probs, accuracy=accuracy), ["g"])
+    got = quantile_map(stats.grouped_quantiles(df, ["g"], "v", probs), ["g"])
     for g, vs in groups.items():
         for p in probs:
             assert got[(g,), p] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12), (g, p)
 
 
+def test_no_sort_grows_with_the_group(spark):
+    """Ten million distinct values in one group, beside a value that fills a third of another."""
+    n = 10**7
+    v = (F.col("id") * 7919 % n).cast("double")
+    df = spark.range(n).select(
+        (F.col("id") % 4 == 0).alias("g"), F.when((F.col("id") % 4 == 0) & (F.col("id") % 3 == 0), 5.5).otherwise(v).alias("_v")
+    )
+    found = stats._Brackets(df, ["g"], [0.25, 0.5], stats.linear_position, True)
+    rounds = 0
+    while found.open:
+        found.narrow()
+        rounds += 1
+    assert rounds <= 2 and found.table.agg(F.max("_left")).first()[0] <= stats.BRACKET_ROWS
+    got = quantile_map(stats.grouped_quantiles(df, ["g"], "_v", [0.25, 0.5], few_groups=True), ["g"])
+    ids = np.arange(n)
+    values = (ids * 7919 % n).astype(float)
+    values[(ids % 12) == 0] = 5.5
+    for g in (True, False):
+        part = values[(ids % 4 == 0) == g]
+        assert [got[(g,), p] for p in (0.25, 0.5)] == list(np.quantile(part, [0.25, 0.5]))
+
+
 def test_ungrouped_and_null_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
     whole = quantile_map(stats.grouped_quantiles(df, [], "v", [0.5]), [])
