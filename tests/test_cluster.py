@@ -103,18 +103,26 @@ def test_silhouette_by_k_marks_the_true_k(hours):
     assert [r["k"] for r in out if r["is_best"]] == [4] and len(out) == 4
 
 
-def test_local_regression(spark):
+@pytest.mark.parametrize("shape", ["spread", "steps", "lumped"])
+def test_local_regression(spark, shape):
     rng = np.random.default_rng(9)
-    x = np.sort(rng.uniform(0, 10, 60))
-    y = np.sin(x) + rng.normal(scale=0.1, size=60)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = smooth.local_regression(df, F.col("x"), F.col("y"), grid_points=11).orderBy("grid").collect()
+    x = np.sort({
+        "spread": rng.uniform(0, 10, 400),
+        "steps": rng.integers(0, 24, 400).astype(float),
+        "lumped": np.concatenate([rng.normal(3, 1e-4, 200), rng.uniform(0, 10, 200)]),
+    }[shape])
+    y = np.sin(x) + rng.normal(scale=0.1, size=400)
+    df = spark.createDataFrame([("s", float(a), float(b)) for a, b in zip(x, y)] + [("flat", 1.0, 2.0)],
+                               "g string, x double, y double")
+    out = smooth.local_regression(df, F.col("x"), F.col("y"), by=F.col("g"), grid_points=11)
+    got = out.orderBy("grid").collect()
+    assert [r["grid"] for r in got] == list(range(11))
     for r in got:
         d = np.abs(x - r["x0"])
-        h = np.sort(d)[int(0.75 * 60) - 1]
+        h = np.sort(d)[int(0.75 * 400) - 1]
         w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
-        coef = np.polyfit(x - r["x0"], y, 2, w=np.sqrt(w))
-        assert r["fitted"] == pytest.approx(coef[-1], rel=1e-6, abs=1e-8)
+        coef = np.polyfit((x - r["x0"]) / 10, y, 2, w=np.sqrt(w))
+        assert r["fitted"] == pytest.approx(coef[-1], rel=1e-8, abs=1e-8)
 
 
 @pytest.mark.parametrize("block_rows", [256, 5])
