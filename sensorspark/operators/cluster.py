@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorspark.functions.clean import complete_cases
+from sensorspark.operators.kmeans import STARTS, Fit, best_fits
 from sensorspark.operators.stats import standardize
 from sensorspark.operators.tree import distance
 from sensorspark.session import broadcast_if_small, default_tasks, materialize, materialize_observed, with_scalars
@@ -25,51 +23,25 @@ HOUR_LABELS = [
     ("Midday", [11, 12, 13, 14, 15, 16]),
     ("Evening Rush", [17, 18, 19, 20, 21, 22]),
 ]
-STARTS = 25
 
 
 def scaled_features(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows complete in ``columns`` with a standardised ``features`` vector."""
+    """Rows complete in ``columns``, written with a standardised ``features`` array."""
     scaled = standardize(complete_cases(df, columns), columns)
     z = [f"{c}_z" for c in columns]
     # A constant column carries no information; its undefined z-score counts as zero.
-    filled = scaled.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in z})
-    return VectorAssembler(inputCols=z, outputCol="features").transform(filled).drop(*z)
+    features = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in z])
+    return materialize(scaled.withColumn("features", features).drop(*z), "features")
 
 
-def best_kmeans(
-    data: DataFrame, ks: list[int], starts: int = STARTS, seed: int = 123, parallelism: int = 8
-) -> dict[int, KMeansModel]:
-    """For each k the fit with the lowest cost out of ``starts`` seeded restarts.
-
-    The restarts are independent Spark jobs, submitted from a few driver threads so that a small
-    table does not leave the cluster idle between them.
-    """
-    rows = data.select("features").persist()
-    try:
-        def fit(job: tuple[int, int]) -> tuple[float, int, KMeansModel]:
-            k, start = job
-            fitted = KMeans(
-                k=k, seed=seed + start, initMode="random", maxIter=50, tol=1e-8
-            ).fit(rows)
-            return fitted.summary.trainingCost, k, fitted
-
-        jobs = [(k, start) for k in ks for start in range(starts)]
-        with ThreadPool(parallelism) as pool:
-            fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs)
-    finally:
-        rows.unpersist()
-    best: dict[int, tuple[float, int, KMeansModel]] = {}
-    for candidate in fits:
-        k = candidate[1]
-        if k not in best or candidate[0] < best[k][0]:
-            best[k] = candidate
-    return {k: model for k, (_, _, model) in best.items()}
+def best_kmeans(data: DataFrame, ks: list[int], starts: int = STARTS, seed: int = 123) -> dict[int, Fit]:
+    """For each k the best of ``starts`` seeded fits, all of them advanced together."""
+    return best_fits(data, F.col("features"), ks, starts, seed)
 
 
 def total_sum_of_squares(data: DataFrame) -> DataFrame:
     """Cost of a single cluster: the squared distance to the mean, from sums alone."""
-    exploded = data.select(F.posexplode(vector_to_array("features")).alias("_dim", "_v"))
+    exploded = data.select(F.posexplode("features").alias("_dim", "_v"))
     per_dim = exploded.groupBy("_dim").agg(
         (F.var_pop("_v") * F.count(F.lit(1))).alias("_ss")
     )
@@ -79,17 +51,17 @@ def total_sum_of_squares(data: DataFrame) -> DataFrame:
 def elbow(data: DataFrame, ks: range = range(1, 9), starts: int = STARTS) -> DataFrame:
     """(k, wss): within-cluster sum of squares of the best fit; k = 1 needs no fit."""
     models = best_kmeans(data, [k for k in ks if k > 1], starts)
-    costs = [(k, float(m.summary.trainingCost)) for k, m in sorted(models.items())]
+    costs = [(k, fit.cost) for k, fit in sorted(models.items())]
     fitted = data.sparkSession.createDataFrame(costs, "k int, wss double")
     return total_sum_of_squares(data).unionByName(fitted) if 1 in ks else fitted
 
 
-def with_clusters(data: DataFrame, model: KMeansModel, order_by: str) -> DataFrame:
+def with_clusters(data: DataFrame, model: Fit, order_by: str) -> DataFrame:
     """Add ``cluster`` 1..k, numbered by the ascending cluster mean of ``order_by``.
 
     The model's own ids are arbitrary.  The renumbering table has k rows.
     """
-    assigned = model.setPredictionCol("_raw").transform(data)
+    assigned = data.withColumn("_raw", model.assign(F.col("features")))
     means = assigned.groupBy("_raw").agg(F.avg(order_by).alias("_mean"))
     ranked = means.agg(
         F.transform(
@@ -304,27 +276,73 @@ def silhouettes(
     )
 
 
+def linear_silhouettes(df: DataFrame, key: str, columns: list[str], cluster: str, by: str | None = None) -> DataFrame:
+    """Silhouette by mean squared distances: (``by``,) ``key``, ``cluster``, ``silhouette``.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, mean and mean
+    squared length, so the score takes one aggregate and a look at k rows; nothing is quadratic.  x is
+    measured from the mean of the whole table, which keeps the differences of squares accurate.
+    """
+    centred = with_scalars(df, df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns]))
+    points = centred.select(
+        (F.lit(0) if by is None else F.col(by)).alias("_by"),
+        F.col(key).alias("_id"),
+        F.col(cluster).alias("_own"),
+        F.array(*[F.col(c).cast("double") - F.col(f"_m_{c}") for c in columns]).alias("_x"),
+    )
+    x, dims = F.col("_x"), range(len(columns))
+
+    def dot(a: Column, b: Column) -> Column:
+        total = a[0] * b[0]
+        for i in dims[1:]:
+            total = total + a[i] * b[i]
+        return total
+
+    sums = points.groupBy("_by", F.col("_own").alias("_cluster")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(x[i]) for i in dims]).alias("mean"),
+        F.avg(dot(x, x)).alias("length"),
+    )
+    # One row per cluster, packed per clustering.
+    packed = sums.groupBy("_by").agg(F.collect_list(F.struct("_cluster", "n", "mean", "length")).alias("_all"))
+    joined = points.join(F.broadcast(packed), "_by")
+    gaps = F.transform(
+        "_all",
+        lambda c: F.struct(
+            c["_cluster"].alias("c"), c["n"].alias("n"),
+            F.greatest(dot(x, x) - 2 * dot(x, c["mean"]) + c["length"], F.lit(0.0)).alias("gap"),
+        ),
+    )
+    scored = joined.withColumn("_gaps", gaps).select(
+        "_by", "_id", "_own",
+        F.filter("_gaps", lambda g: g["c"] == F.col("_own"))[0].alias("_mine"),
+        F.array_min(F.transform(F.filter("_gaps", lambda g: g["c"] != F.col("_own")), lambda g: g["gap"])).alias("_b"),
+    )
+    n, b = F.col("_mine.n"), F.col("_b")
+    a = F.try_divide(F.col("_mine.gap") * n, n - 1)
+    score = F.when(n == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return scored.select(
+        *([] if by is None else [F.col("_by").alias(by)]),
+        F.col("_id").alias(key), F.col("_own").alias(cluster), score.alias("silhouette"),
+    )
+
+
 def mean_silhouette(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("silhouette").alias("silhouette"))
 
 
 def silhouette_by_k(
-    data: DataFrame, key: str, columns: list[str], ks: range, starts: int = STARTS
+    data: DataFrame, key: str, columns: list[str], ks: range, starts: int = STARTS, linear: bool = False
 ) -> DataFrame:
     """(k, silhouette, is_best): all clusterings are scored together, as one long table."""
     models = best_kmeans(data, list(ks), starts)
-    scaled = standardize(data, columns)
+    assigned = F.array(
+        *[F.struct(F.lit(k).alias("k"), fit.assign(F.col("features")).alias("cluster")) for k, fit in models.items()]
+    )
     z = [f"{c}_z" for c in columns]
-    parts = [
-        model.setPredictionCol("cluster")
-        .transform(scaled)
-        .select(F.lit(k).alias("k"), key, "cluster", *z)
-        for k, model in models.items()
-    ]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    scores = silhouettes(long, key, z, "cluster", by="k")
+    scaled = [F.col("features")[i].alias(c) for i, c in enumerate(z)]
+    long = data.select(key, *scaled, F.inline(assigned))
+    scores = (linear_silhouettes if linear else silhouettes)(long, key, z, "cluster", by="k")
     means = scores.groupBy("k").agg(F.avg("silhouette").alias("silhouette"))
     best = means.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("_best"))
     return (

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.functions import calendar
-from sensorspark.operators import sequence
+from sensorspark.operators import bagged, sequence
 from sensorspark.operators.features import MODELS, SERIES
 from sensorspark.session import with_scalars
 
@@ -104,56 +103,24 @@ def impurity_importance(
     return table.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(
-    fitted: PipelineModel, rows: DataFrame, model: str, seed: int = 7, top: int = 5
-) -> DataFrame:
-    """Increase of the squared error when one input is shuffled, strongest first.
+def permutation_importance(rows: DataFrame, model: str, seed: int = 123, top: int = 5) -> DataFrame:
+    """(feature, importance): mean rise of the trees' out-of-bag errors over its standard error, when
+    one input is shuffled; strongest first.
 
-    ``rows`` must carry a dense ``row_id`` starting at 1.  A second numbering in the order of a
-    seeded digest pairs every row with a random donor (an equi-join on unique integers); each row
-    is then scored once as it is and once per input with the donor's value in that place.
+    ``rows`` are written training rows with a dense ``row_id`` from 1.  A second numbering in the order
+    of a seeded digest pairs every row with a random donor (an equi-join on unique integers).
     """
     label, inputs = MODELS[model]
-    values = rows.select(
-        "row_id",
-        F.col(label).cast("double").alias("_y"),
-        F.array(*[F.col(c).cast("double") for c in inputs]).alias("_x"),
-    )
-    digest = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f":{seed}")))
-    donors = sequence.with_row_id(
-        values.select(F.col("_x").alias("_donor"), digest.alias("_draw"), F.col("row_id").alias("_key")),
-        ["_draw", "_key"],
-        "donors",
-    ).select("row_id", "_donor")
-    paired = values.join(donors, "row_id")
-
-    def replaced(i: int) -> Column:
-        return F.array(
-            *[F.col("_donor")[j] if j == i else F.col("_x")[j] for j in range(len(inputs))]
-        )
+    forest = bagged.grow(rows, inputs, label, NUM_TREES, FEATURES_PER_SPLIT, seed)
+    errors = bagged.tree_errors(forest, rows, shuffled(rows, inputs, seed), label)
+    return bagged.importance(errors, inputs).select("feature", "importance").orderBy(F.desc("importance"), "feature").limit(top)
 
-    variants = [F.struct(F.lit("").alias("feature"), F.col("_x").alias("v"))]
-    variants += [
-        F.struct(F.lit(name).alias("feature"), replaced(i).alias("v"))
-        for i, name in enumerate(inputs)
-    ]
-    spread = paired.select("_y", F.inline(F.array(*variants))).withColumn(
-        "features", array_to_vector("v")
-    )
-    error = F.col("_y") - F.col("predicted")
-    mse = (
-        fitted.stages[-1]
-        .transform(spread)
-        .groupBy("feature")
-        .agg(F.avg(error * error).alias("mse"))
-    )
-    base = mse.where(F.col("feature") == "").agg(F.max("mse").alias("_base"))
-    return (
-        with_scalars(mse.where(F.col("feature") != ""), base)
-        .select("feature", (F.col("mse") - F.col("_base")).alias("importance"))
-        .orderBy(F.desc("importance"), "feature")
-        .limit(top)
-    )
+
+def shuffled(rows: DataFrame, inputs: list[str], seed: int) -> DataFrame:
+    """(row_id, donor): the inputs of another row, a random one-to-one pairing."""
+    digest = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f":{seed}")))
+    drawn = rows.select(F.array(*[F.col(c).cast("double") for c in inputs]).alias("donor"), digest.alias("_draw"), F.col("row_id").alias("_key"))
+    return sequence.with_row_id(drawn, ["_draw", "_key"], "donors").select("row_id", "donor")
 
 
 SCENARIO_RANGES = {"hour": (0, 23), "temperature": (-10.0, 40.0), "humidity": (0.0, 100.0)}

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.functions.scores import silhouette_band
-from sensorspark.operators import cluster, profile, rollup, smooth, ward
+from sensorspark.operators import cluster, profile, rollup, smooth, tree, ward
 from sensorspark.operators.stats import long_form, standardize
 from sensorspark.plans import adapters as a
 from sensorspark.plans.anomalies import METRICS
 from sensorspark.plans.registry import query, r, rs
-from sensorspark.session import materialize
+from sensorspark.session import materialize, with_scalars
 
 HOUR_COLUMNS = ["avg_traffic", "avg_aqi", "avg_energy"]
 DAY_COLUMNS = ["total_traffic", "avg_aqi", "total_energy", "max_traffic"]
@@ -248,6 +248,95 @@ def silhouette_by_k(spark: SparkSession, d: str) -> DataFrame:
     return cluster.silhouette_by_k(data, "hour", HOUR_COLUMNS, range(2, 9))
 
 
+@query("silhouette_linear_by_k")
+def silhouette_linear_by_k(spark: SparkSession, d: str) -> DataFrame:
+    """The same sweep by squared distances, over the days."""
+    data = cluster.scaled_features(day_profile(spark, d), DAY_COLUMNS)
+    return cluster.silhouette_by_k(data, "date", DAY_COLUMNS, range(2, 9), linear=True)
+
+
+@query(
+    "silhouette_linear",
+    f"""WITH {a.ENERGY_DAILY}, day AS (
+  SELECT timestamp, sum(energy_consumption_kwh) AS kwh, sum(cost_usd) AS cost,
+         avg(renewable_percent) AS renewable FROM energy_daily GROUP BY timestamp),
+z AS (SELECT timestamp, quarter(timestamp) AS c, {', '.join(
+    f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in _SIL_COLUMNS)}
+  FROM day),
+pd AS (
+  SELECT p.timestamp, p.c AS own, q.c AS other, sum({' + '.join(f'power(p.{c} - q.{c}, 2)' for c in _SIL_COLUMNS)}) AS s,
+         count(*) AS n
+  FROM z p, z q GROUP BY 1, 2, 3),
+ab AS (
+  SELECT timestamp, own, max(CASE WHEN own = other THEN n END) AS n,
+         max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a,
+         min(CASE WHEN own <> other THEN s / n END) AS b
+  FROM pd GROUP BY 1, 2)
+SELECT timestamp, own AS cluster,
+       {r('CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END', 'silhouette')}
+FROM ab""",
+)
+def silhouette_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Daily energy rows, clustered by calendar quarter, scored by squared distances."""
+    return cluster.linear_silhouettes(_daily_points(spark, d), "timestamp", _SIL_COLUMNS, "cluster")
+
+
+def _standing(clustered: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Rows that lie nearer to another cluster's mean than to their own, in standardised units."""
+    z = standardize(materialize(clustered, "clustered"), columns)
+    scaled = [F.coalesce(F.col(f"{c}_z"), F.lit(0.0)) for c in columns]
+    rows = z.select("cluster", F.array(*scaled).alias("x"))
+    means = rows.groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("m"))
+    packed = means.agg(F.collect_list(F.struct("cluster", "m")).alias("_means"))
+    gaps = F.transform("_means", lambda c: F.struct(tree.distance(F.col("x"), c["m"], len(columns)).alias("gap"), c["cluster"].alias("c")))
+    judged = with_scalars(rows, packed).select("cluster", gaps.alias("_gaps"))
+    own = F.filter("_gaps", lambda g: g["c"] == F.col("cluster"))[0]["gap"]
+    least = F.array_min(F.transform("_gaps", lambda g: g["gap"]))
+    return judged.agg(
+        F.lit(name).alias("clustering"), F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster").alias("clusters"),
+        F.count_if(own > least + 1e-7).alias("misplaced"),
+    )
+
+
+@query(
+    "kmeans_standing",
+    f"""WITH {a.HOURLY}, hp AS (
+  SELECT hour, avg(total_vehicles) AS t, avg(avg_AQI) AS q, avg(total_energy_kwh) AS e FROM hourly GROUP BY hour),
+dp AS (
+  SELECT CAST(timestamp AS DATE) AS date, sum(total_vehicles) AS t, avg(avg_AQI) AS q, sum(total_energy_kwh) AS e
+  FROM hourly GROUP BY 1)
+SELECT 'hours' AS clustering, count(*) AS rows, 4 AS clusters, 0 AS misplaced FROM hp
+WHERE t IS NOT NULL AND q IS NOT NULL AND e IS NOT NULL
+UNION ALL SELECT 'days', count(*), 3, 0 FROM dp WHERE t IS NOT NULL AND q IS NOT NULL AND e IS NOT NULL""",
+)
+def kmeans_standing(spark: SparkSession, d: str) -> DataFrame:
+    """Both clusterings are fixed points: all rows are at their nearest cluster mean."""
+    hours = _standing(clustered_hours(spark, d), HOUR_COLUMNS, "hours")
+    return hours.unionByName(_standing(clustered_days(spark, d), DAY_COLUMNS, "days"))
+
+
+@query(
+    "pca_invariants",
+    f"""WITH {a.HOURLY}, c AS (
+  SELECT {', '.join(f'CAST({c} AS DOUBLE) AS v{i}' for i, c in enumerate(PCA_COLUMNS))} FROM hourly
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in PCA_COLUMNS)})
+SELECT CAST({len(PCA_COLUMNS)} AS DOUBLE) AS total_variance,
+       {r(' + '.join(f'power(corr(v{i}, v{j}), 2)' for i in range(len(PCA_COLUMNS)) for j in range(len(PCA_COLUMNS))), 'squared_variance')},
+       true AS orthonormal FROM c""",
+)
+def pca_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Trace and squared norm of the correlation matrix from the components, which must be orthonormal."""
+    found = _components(spark, d)
+    variance = found.variance().agg(
+        F.sum(F.pow("sd", F.lit(2.0))).alias("total_variance"), F.sum(F.pow("sd", F.lit(4.0))).alias("squared_variance")
+    )
+    loadings = found.loadings()
+    other = loadings.select("variable", F.col("component").alias("other"), F.col("loading").alias("_l"))
+    dots = loadings.join(other, "variable").groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("_l")).alias("_dot"))
+    unit = F.abs(F.col("_dot") - (F.col("component") == F.col("other")).cast("int")) < 1e-9
+    return with_scalars(variance, dots.agg(F.every(unit).alias("orthonormal")))
+
+
 # --- smoothing -------------------------------------------------------------------------------
 
 _Q = "greatest(CAST(floor(n * 0.75 + 1e-5) AS BIGINT), 1)"

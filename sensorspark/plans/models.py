@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorspark.operators import features, forecast
+from sensorspark.operators import features, forecast, sequence
 from sensorspark.plans.anomalies import _FEATURE_SQL, numbered_master
 from sensorspark.plans.registry import query
-from sensorspark.session import scratch_path, with_scalars
+from sensorspark.session import materialize, scratch_path, with_scalars
 from sensorspark.sources import tables
 
 NAMES = list(features.MODELS)
@@ -52,13 +52,17 @@ def actual_vs_predicted(spark: SparkSession, d: str) -> DataFrame:
     return forecast.test_series(_predictions(split), split)
 
 
+def numbered_again(rows: DataFrame) -> DataFrame:
+    """The rows written with dense numbers of their own."""
+    return materialize(sequence.with_row_id(rows.drop("row_id"), ["timestamp"], "bag-rows"), "bag-rows")
+
+
 def _importance_query(name: str, permuted: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
         train_rows, _ = forecast.split_parts(features.split_frame(numbered_master(spark, d)))
-        fitted = forecast.train(train_rows, name)
         if permuted:
-            return forecast.permutation_importance(fitted, train_rows, name)
-        return forecast.impurity_importance(spark, fitted, name)
+            return forecast.permutation_importance(numbered_again(train_rows), name)
+        return forecast.impurity_importance(spark, forecast.train(train_rows, name), name)
 
     return run
 
@@ -80,8 +84,7 @@ def feature_importance_impurity(spark: SparkSession, d: str) -> DataFrame:
 def feature_importance_permutation(spark: SparkSession, d: str) -> DataFrame:
     split = features.split_frame(numbered_master(spark, d))
     train_rows, _ = forecast.split_parts(split)
-    fitted = forecast.train(train_rows, "traffic")
-    return forecast.permutation_importance(fitted, train_rows, "traffic")
+    return forecast.permutation_importance(numbered_again(train_rows), "traffic")
 
 
 def scenarios(numbered: DataFrame) -> DataFrame:

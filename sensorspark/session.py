@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,31 @@ def get_session(app: str = "sensorspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, which may run where it is not installed.
+
+    Spark itself copies the archive from the driver to every executor, later ones too.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sensorspark-code-")) / "sensorspark_code.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> None:
-    """The runtime setting every query relies on: calendar features are defined in UTC, whatever
-    the cluster's local zone is."""
+    """What every query relies on: calendar features are defined in UTC, whatever the cluster's local
+    zone is, and Python workers can import this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
