@@ -179,10 +179,10 @@ def grow(
         for first in range(0, len(frontier), NODES_AT_ONCE):
             active = frontier[first : first + NODES_AT_ONCE]
             partial = data.mapInArrow(
-                lambda batches, active=active: _histograms(batches, trees, active, cuts, seed), "node int, hist array<double>"
+                lambda batches: _histograms(batches, trees, active, cuts, seed), "node int, hist array<double>"
             )
             chosen = partial.groupBy("node").applyInArrow(
-                lambda table, active=active: _choose(table, len(inputs), tried, seed, active), _SPLIT
+                lambda table: _choose(table, len(inputs), tried, seed, active), _SPLIT
             )
             # One row per active node.
             for r in chosen.collect():

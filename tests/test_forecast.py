@@ -55,7 +55,7 @@ def test_forest_importance_and_series(spark, split):
     assert [r["time"] for r in series] == list(range(1, 11))
     impurity = forecast.impurity_importance(spark, fitted, "traffic").collect()
     assert len(impurity) == 5
-    shuffled = forecast.permutation_importance(fitted, train_rows, "traffic", top=12).collect()
+    shuffled = forecast.permutation_importance(train_rows, "traffic", top=12).collect()
     assert len(shuffled) == 12 and shuffled[0]["importance"] > 0
     noise = {r["feature"]: r["importance"] for r in shuffled}
     assert noise["precipitation_mm"] < shuffled[0]["importance"]
