@@ -81,6 +81,39 @@ def performance_table(metric_rows: DataFrame) -> DataFrame:
     )
 
 
+UNITS = {"energy": " kWh"}
+
+
+def performance_lines(metric_rows: DataFrame, split: DataFrame) -> DataFrame:
+    """(position, value): the text report on the models, numbers of rows first."""
+    rows = split.agg(F.count_if("is_train").alias("_train"), F.count_if(~F.col("is_train")).alias("_test"))
+    head = rows.select(
+        F.posexplode(
+            F.array(
+                F.lit("MODEL PERFORMANCE SUMMARY"), F.lit("=" * 60), F.lit(""),
+                F.concat(F.lit("Training Records: "), F.col("_train")), F.concat(F.lit("Test Records: "), F.col("_test")), F.lit(""),
+            )
+        ).alias("position", "value")
+    )
+    table = performance_table(metric_rows)
+    parts = [head]
+    for place, name in enumerate(MODELS, 1):
+        unit = UNITS.get(name, "")
+        lines = F.array(
+            F.lit(f"{place}. {name.upper()} MODEL"),
+            F.concat(F.lit("  RMSE: "), F.format_string("%.2f", "rmse"), F.lit(unit)),
+            F.concat(F.lit("  MAE: "), F.format_string("%.2f", "mae"), F.lit(unit)),
+            F.concat(F.lit("  R²: "), F.coalesce(F.format_string("%.4f", "r_squared"), F.lit("NA"))),
+            F.lit(""),
+        )
+        own = table.where(F.col("model") == name).select(F.posexplode(lines).alias("position", "value"))
+        parts.append(own.withColumn("position", F.col("position") + 10 * place))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def test_series(predictions: DataFrame, split: DataFrame, n: int = 500) -> DataFrame:
     """The first ``n`` test rows per model with a 1-based time index."""
     first = split.agg(F.min(F.when(~F.col("is_train"), F.col("row_id"))).alias("_first"))

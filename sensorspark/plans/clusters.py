@@ -158,7 +158,7 @@ def ward_weekdays(spark: SparkSession, d: str) -> DataFrame:
     return weekdays.select("weekday", "avg_traffic", "avg_energy").join(labels, "weekday")
 
 
-def _components(spark: SparkSession, d: str) -> cluster.PrincipalComponents:
+def components(spark: SparkSession, d: str) -> cluster.PrincipalComponents:
     master = a.hourly(spark, d).withColumn("is_weekend", F.col("is_weekend").cast("int"))
     return cluster.PrincipalComponents(
         materialize(master.select("timestamp", *PCA_COLUMNS), "pca"), PCA_COLUMNS
@@ -167,17 +167,17 @@ def _components(spark: SparkSession, d: str) -> cluster.PrincipalComponents:
 
 @query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d).variance()
+    return components(spark, d).variance()
 
 
 @query("pca_loadings")
 def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d).loadings()
+    return components(spark, d).loadings()
 
 
 @query("pca_scores")
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d).scores(["timestamp", "is_weekend"])
+    return components(spark, d).scores(["timestamp", "is_weekend"])
 
 
 # --- silhouettes -----------------------------------------------------------------------------
@@ -326,7 +326,7 @@ SELECT CAST({len(PCA_COLUMNS)} AS DOUBLE) AS total_variance,
 )
 def pca_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Trace and squared norm of the correlation matrix from the components, which must be orthonormal."""
-    found = _components(spark, d)
+    found = components(spark, d)
     variance = found.variance().agg(
         F.sum(F.pow("sd", F.lit(2.0))).alias("total_variance"), F.sum(F.pow("sd", F.lit(4.0))).alias("squared_variance")
     )

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sensorspark.operators import anomaly, marts, profile, stats
+from sensorspark.operators import anomaly, cluster, marts, profile, rollup, stats
 from sensorspark.plans import adapters as a
+from sensorspark.plans import clusters, densities
 from sensorspark.plans.anomalies import RECORDS_SQL, SCORED, scored_master
+from sensorspark.plans.clusters import PCA_COLUMNS
+from sensorspark.plans.densities import DBSCAN
 from sensorspark.plans.registry import query, rs
 from sensorspark.plans.relational import CORR_COLUMNS, MASTER_OUT
 from sensorspark.session import materialize, scratch_path, with_scalars
@@ -69,6 +72,35 @@ def csv_plain_scan(spark: SparkSession, d: str) -> DataFrame:
     return with_scalars(tables.read_raw(spark, "traffic", path), unread)
 
 
+@query(
+    "csv_rejected_rows",
+    f"""WITH {a.READINGS}, t AS (SELECT CASE event_id % 7 WHEN 0 THEN '5 columns' WHEN 1 THEN 'vehicle_count: int'
+    WHEN 2 THEN '5 columns' WHEN 3 THEN 'timestamp: timestamp,average_speed: double' ELSE 'accepted' END AS outcome FROM readings)
+SELECT outcome, count(*) AS n, (SELECT count(*) FROM readings) AS read, true AS complete FROM t GROUP BY outcome""",
+)
+def csv_rejected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A traffic feed with short lines, text in a number column, stray quotes and unreadable stamps."""
+    case = F.col("event_id") % 7
+    stamp = F.when(case == 3, "soon").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    count = F.when(case == 1, "many").otherwise(F.col("vehicle_count").cast("int").cast("string"))
+    zone = F.when(case == 2, F.concat(F.lit('"'), F.col("zone"))).otherwise(F.col("zone"))
+    speed = F.when(case == 3, "fast").otherwise(F.col("average_speed").cast("string"))
+    cells = [stamp, zone, F.coalesce(count, F.lit("NA")), F.coalesce(speed, F.lit("NA")), F.col("congestion_level")]
+    line = F.when(case == 0, F.concat_ws(",", *cells[:3])).otherwise(F.concat_ws(",", *cells))
+    path = scratch_path(spark, "rough-csv")
+    a.traffic_of(a.readings(spark, d)).select(line.alias("value")).write.text(path)
+    checked = tables.read_checked(spark, path, RAW_SCHEMAS["traffic"], header=False)
+    named = F.transform("reasons", lambda p: F.concat_ws(": ", p["column"], p["expected"]))
+    outcomes = checked.rejected.select(F.array_join(named, ",").alias("outcome")).unionByName(
+        checked.accepted.select(F.lit("accepted").alias("outcome"))
+    )
+    counted = outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    totals = checked.counts.agg(
+        F.sum("read").alias("read"), F.every(F.col("read") == F.col("accepted") + F.col("rejected")).alias("complete")
+    )
+    return with_scalars(counted, totals)
+
+
 @query("table_roundtrip", f"WITH {a.HOURLY} SELECT {MASTER_OUT} FROM hourly")
 def table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Build the hourly table only when absent, then read the stored one twice."""
@@ -110,18 +142,32 @@ def mart_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_csv(spark, f"{prefix}/csv/anomaly_records", records.schema)
 
 
+def _compared(spark: SparkSession, members: dict[str, DataFrame], prefix: str) -> DataFrame:
+    """(member, n, differing) of a bundle that is written, read back and compared row by row."""
+    given = {name: materialize(df, name) for name, df in members.items()}
+    tables.write_bundle(given, prefix)
+    stored = tables.read_bundle(spark, prefix).tables
+    parts = []
+    for name, df in given.items():
+        found = stored[name]
+        differing = df.exceptAll(found).unionByName(found.exceptAll(df)).agg(F.count(F.lit(1)).alias("differing"))
+        rows = found.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("member"), "n")
+        parts.append(with_scalars(rows, differing))
+    return marts.combine(parts)
+
+
 @query(
     "bundle_roundtrip",
     f"""WITH {a.HOURLY}
-SELECT 'hourly_patterns' AS member, count(DISTINCT hour) AS n FROM hourly
-UNION ALL SELECT 'weekday_patterns', count(DISTINCT weekday) FROM hourly
-UNION ALL SELECT 'zone_stats', count(DISTINCT event_type) FROM events
-UNION ALL SELECT 'station_stats', count(DISTINCT o_orderpriority) FROM orders
-UNION ALL SELECT 'building_stats', count(DISTINCT l_returnflag) FROM lineitem
-UNION ALL SELECT 'correlation_matrix', {len(CORR_COLUMNS) ** 2}""",
+SELECT 'hourly_patterns' AS member, count(DISTINCT hour) AS n, 0 AS differing FROM hourly
+UNION ALL SELECT 'weekday_patterns', count(DISTINCT weekday), 0 FROM hourly
+UNION ALL SELECT 'zone_stats', count(DISTINCT event_type), 0 FROM events
+UNION ALL SELECT 'station_stats', count(DISTINCT o_orderpriority), 0 FROM orders
+UNION ALL SELECT 'building_stats', count(DISTINCT l_returnflag), 0 FROM lineitem
+UNION ALL SELECT 'correlation_matrix', {len(CORR_COLUMNS) ** 2}, 0""",
 )
 def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The exploratory result bundle, written and read back; returns rows per member."""
+    """The exploratory result bundle, written, read back and compared."""
     master = materialize(a.hourly(spark, d), "master")
     members = {
         "hourly_patterns": profile.mean_profile(master, ["hour"], profile.THREE_MEANS),
@@ -131,15 +177,48 @@ def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         "building_stats": profile.building_stats(a.energy_daily(spark, d)),
         "correlation_matrix": stats.correlation_matrix(master, CORR_COLUMNS),
     }
-    prefix = scratch_path(spark, "bundle")
-    tables.write_bundle(members, prefix)
-    stored = tables.read_bundle(spark, prefix, list(members))
-    return marts.combine(
-        [
-            df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("member"), "n")
-            for name, df in stored.items()
-        ]
-    )
+    return _compared(spark, members, scratch_path(spark, "bundle"))
+
+
+_DAYS = "(SELECT count(DISTINCT CAST(timestamp AS DATE)) FROM hourly)"
+
+
+@query(
+    "clustering_bundle",
+    f"""WITH RECURSIVE {DBSCAN}
+SELECT 'hourly_patterns' AS member, count(DISTINCT hour) AS n, 0 AS differing FROM hourly
+UNION ALL SELECT 'hourly_cluster_summary', 4, 0
+UNION ALL SELECT 'daily_patterns', {_DAYS}, 0
+UNION ALL SELECT 'daily_cluster_summary', 3, 0
+UNION ALL SELECT 'weekday_patterns', count(DISTINCT weekday), 0 FROM hourly
+UNION ALL SELECT 'correlation_matrix', {len(CORR_COLUMNS) ** 2}, 0
+UNION ALL SELECT 'pca_result', count(*), 0 FROM hourly WHERE {' AND '.join(f'{c} IS NOT NULL' for c in PCA_COLUMNS)}
+UNION ALL SELECT 'pca_variance', {len(PCA_COLUMNS)}, 0
+UNION ALL SELECT 'dbscan_result', count(*), 0 FROM db
+UNION ALL SELECT 'dbscan_data', count(*), 0 FROM db
+UNION ALL SELECT 'anomalies', count(*), 0 FROM db WHERE cluster = 0""",
+)
+def clustering_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """All results of the clustering step as one bundle, written, read back and compared."""
+    master = materialize(a.hourly(spark, d), "master")
+    hours = materialize(clusters.clustered_hours(spark, d), "hours")
+    days = materialize(clusters.clustered_days(spark, d), "days")
+    components = clusters.components(spark, d)
+    dense = materialize(densities.clustered_rows(spark, d), "dbscan")
+    members = {
+        "hourly_patterns": clusters.hour_profile(spark, d),
+        "hourly_cluster_summary": cluster.hour_cluster_summary(hours),
+        "daily_patterns": clusters.day_profile(spark, d),
+        "daily_cluster_summary": cluster.day_cluster_summary(days),
+        "weekday_patterns": rollup.weekday_patterns(master),
+        "correlation_matrix": stats.correlation_matrix(master, CORR_COLUMNS),
+        "pca_result": components.scores(["timestamp"]),
+        "pca_variance": components.variance(),
+        "dbscan_result": dense.select("timestamp", "cluster"),
+        "dbscan_data": dense,
+        "anomalies": dense.where(F.col("cluster") == 0),
+    }
+    return _compared(spark, members, scratch_path(spark, "clustering"))
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:

@@ -137,3 +137,47 @@ def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("test_rows"),
         F.count_if(F.col("predicted") != F.col("reloaded")).alias("differing"),
     )
+
+
+@query(
+    "model_bundle",
+    f"""WITH {_FEATURE_SQL}, n AS (SELECT count(*) AS n FROM model)
+SELECT unnest({NAMES!r}) AS model, least(100, n - CAST(floor(0.8 * n) AS BIGINT)) AS predictions, 0 AS differing, true AS has_metrics FROM n""",
+)
+def model_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Three models with their metrics and first 100 predictions, written as one bundle; the models that
+    are read back have to predict what the bundle says."""
+    split = materialize(features.split_frame(numbered_master(spark, d)), "split")
+    _, test_rows = forecast.split_parts(split)
+    fitted = _fit_all(split)
+    members = {}
+    for name, model in fitted.items():
+        predictions = materialize(forecast.predict(model, test_rows, name), "predictions")
+        members[f"{name}_metrics"] = forecast.metrics(predictions)
+        members[f"{name}_predictions"] = predictions.orderBy("row_id").limit(100)
+    path = scratch_path(spark, "models")
+    tables.write_bundle(members, path, fitted)
+    stored = tables.read_bundle(spark, path)
+    parts = []
+    for name in NAMES:
+        again = forecast.predict(stored.models[name], test_rows, name).select("row_id", F.col("predicted").alias("again"))
+        joined = stored.tables[f"{name}_predictions"].join(again, "row_id", "left")
+        off = joined.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("predictions"),
+            F.count_if(~F.col("predicted").eqNullSafe(F.col("again"))).alias("differing"),
+        )
+        metrics = stored.tables[f"{name}_metrics"].agg(
+            ((F.count(F.lit(1)) == 1) & F.every(F.col("rmse") >= F.col("mae"))).alias("has_metrics")
+        )
+        parts.append(with_scalars(off, metrics))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("model_report")
+def model_report(spark: SparkSession, d: str) -> DataFrame:
+    """The text report on the models, written and read back line by line."""
+    split = materialize(features.split_frame(numbered_master(spark, d)), "split")
+    lines = forecast.performance_lines(materialize(forecast.metrics(_predictions(split)), "metrics"), split)
+    path = scratch_path(spark, "model-report")
+    tables.write_lines(lines, path)
+    return spark.read.text(path)

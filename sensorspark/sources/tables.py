@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -40,6 +42,61 @@ def unreadable_stamps(spark: SparkSession, path: str, schema: StructType) -> Dat
     )
 
 
+@dataclass(frozen=True)
+class CheckedCsv:
+    """``accepted`` has the schema's columns; ``rejected`` has file, line and reasons, an array of
+    (column, value, expected); ``counts`` has read, accepted and rejected rows per file."""
+
+    accepted: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+
+
+def read_checked(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> CheckedCsv:
+    """CSV of which every line ends up in exactly one of two tables.
+
+    A line is rejected when its number of columns is wrong (short and long lines, and lines in which
+    a stray quote swallows the rest) or when a cell cannot be read as its column's type; all such cells
+    of a line are reported.  ``NA`` and empty cells are missing values, not errors.  Blank lines are no
+    lines.
+    """
+    corrupt = "_corrupt"
+    while corrupt in schema.fieldNames():
+        corrupt = "_" + corrupt
+    text = StructType([*[StructField(f.name, StringType()) for f in schema.fields], StructField(corrupt, StringType())])
+    # Without pruning every read sees all columns, hence the same lines as wrong.
+    options = CSV_OPTIONS | {
+        "header": str(header).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "columnPruning": "false",
+    }
+    lines = spark.read.schema(text).options(**options).csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
+
+    def typed(f: StructField) -> Column:
+        cell = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, TimestampType):
+            return parse_timestamp(cell)
+        return cell if isinstance(f.dataType, StringType) else F.trim(cell).try_cast(f.dataType)
+
+    def problem(f: StructField) -> Column:
+        cell = F.col(f"`{f.name}`")
+        told = F.struct(F.lit(f.name).alias("column"), cell.alias("value"), F.lit(f.dataType.simpleString()).alias("expected"))
+        return F.when(cell.isNotNull() & typed(f).isNull(), told)
+
+    shape = F.struct(
+        F.lit(None).cast("string").alias("column"), F.col(corrupt).alias("value"), F.lit(f"{len(schema)} columns").alias("expected")
+    )
+    cells = F.filter(F.array(*[problem(f) for f in schema.fields]), lambda p: p.isNotNull())
+    judged = lines.withColumn("_reasons", F.when(F.col(corrupt).isNotNull(), F.array(shape)).otherwise(cells))
+    good = F.size("_reasons") == 0
+    whole = F.coalesce(F.col(corrupt), F.to_csv(F.struct(*[f"`{f.name}`" for f in schema.fields]), {"nullValue": "NA"}))
+    return CheckedCsv(
+        judged.where(good).select(*[typed(f).alias(f.name) for f in schema.fields]),
+        judged.where(~good).select(F.col("_file").alias("file"), whole.alias("line"), F.col("_reasons").alias("reasons")),
+        judged.groupBy(F.col("_file").alias("file")).agg(
+            F.count(F.lit(1)).alias("read"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected")
+        ),
+    )
+
+
 def read_raw(spark: SparkSession, feed: str, path: str) -> DataFrame:
     """One of the raw feeds (``traffic``, ``air_quality``, ``energy``, ``weather``) from CSV."""
     return read_csv(spark, path, RAW_SCHEMAS[feed])
@@ -85,14 +142,83 @@ def ensure(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(path)
 
 
-def write_bundle(tables: Mapping[str, DataFrame], prefix: str) -> None:
-    """A named set of result tables: one parquet table per member under ``prefix``."""
-    for name, df in tables.items():
-        write_table(df, f"{prefix}/{name}")
+class BundleError(ValueError):
+    """A bundle that is absent, half-written or not what its manifest says."""
+
+
+@dataclass(frozen=True)
+class Bundle:
+    version: int
+    tables: dict[str, DataFrame]
+    models: dict[str, PipelineModel]
+
 
+MANIFEST = "version bigint, member string, kind string, schema string, n bigint, digest string"
 
-def read_bundle(spark: SparkSession, prefix: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: read_table(spark, f"{prefix}/{name}") for name in names}
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row (n, digest): rows and a sum of row hashes, which no order of rows changes."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def _manifest(spark: SparkSession, prefix: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(MANIFEST).json(f"{prefix}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_bundle(tables: Mapping[str, DataFrame], prefix: str, models: Mapping[str, PipelineModel] | None = None) -> int:
+    """A named set of result tables and models under ``prefix``; returns its version.
+
+    Every version has a folder of its own.  Its manifest (names, schemas, row counts and digests of
+    the tables as read back) is appended last, in one committed write: a bundle whose writing broke off
+    has no manifest, and readers go on seeing the version before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    known = _manifest(spark, prefix)
+    version = 1 if known is None else (known.agg(F.max("version")).first()[0] or 0) + 1
+    told = []
+    for name, df in tables.items():
+        path = f"{prefix}/{version}/{name}"
+        write_table(df, path)
+        stored = read_table(spark, path, df.schema)
+        n, digest = content_digest(stored).first()
+        told.append((version, name, "table", df.schema.json(), n, digest))
+    for name, model in (models or {}).items():
+        write_model(model, f"{prefix}/{version}/{name}")
+        told.append((version, name, "model", None, None, None))
+    # One row per member.
+    spark.createDataFrame(told, MANIFEST).coalesce(1).write.mode("append").json(f"{prefix}/manifest")
+    return version
+
+
+def read_bundle(spark: SparkSession, prefix: str, version: int | None = None, verify: bool = True) -> Bundle:
+    """The latest (or a given) complete version; ``verify`` compares its tables with the manifest."""
+    known = _manifest(spark, prefix)
+    latest = None if known is None else known.agg(F.max("version")).first()[0]
+    version = version or latest
+    told = [] if latest is None else known.where(F.col("version") == version).collect()
+    if not told:
+        raise BundleError(f"no complete bundle at {prefix}")
+    found, models = {}, {}
+    for r in told:
+        path = f"{prefix}/{version}/{r['member']}"
+        if r["kind"] == "model":
+            models[r["member"]] = read_model(path)
+            continue
+        try:
+            df = read_table(spark, path, StructType.fromJson(json.loads(r["schema"])))
+            same = not verify or tuple(content_digest(df).first()) == (r["n"], r["digest"])
+        except AnalysisException as error:
+            raise BundleError(f"member {r['member']} of {prefix} is missing") from error
+        if not same:
+            raise BundleError(f"member {r['member']} of {prefix} differs from the manifest")
+        found[r["member"]] = df
+    return Bundle(version, found, models)
 
 
 def write_anomaly_marts(marts: Mapping[str, DataFrame], prefix: str) -> None:
@@ -120,6 +246,11 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings_lines(findings).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(position, value) as a text file in order; a report has a fixed, small number of lines."""
+    lines.orderBy("position").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def preview(df: DataFrame, order_by: list[Column], n: int = 1000) -> DataFrame:
     """The first ``n`` rows in a stated order (a top-n heap per task, not a full sort)."""
     return df.orderBy(*order_by).limit(n)

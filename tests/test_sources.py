@@ -50,3 +50,54 @@ def test_times_without_a_date_are_no_stamps(spark):
     df = spark.createDataFrame([("12:30:00",), ("2025",), (" 2025-1-2 ",)], ["t"])
     got = [r.t for r in df.select(calendar.parse_timestamp(F.col("t")).cast("string").alias("t")).collect()]
     assert got == [None, None, "2025-01-02 00:00:00"]
+
+
+ROUGH = """timestamp,zone,vehicle_count,average_speed,congestion_level
+2025-01-01 01:00:00,A,5,31.5,Low
+2025-01-01 01:00:00,A,5
+2025-01-01 01:00:00,A,many,31.5,Low
+soon,A,5,fast,Low
+2025-01-01 01:00:00,"A,5,31.5,Low
+2025-01-01,NA,NA,,High,more
+
+NA,"B, west", 7 ,1e2,"said ""hi\"""
+"""
+
+
+def test_every_line_is_accepted_or_rejected(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(ROUGH)
+    (tmp_path / "two.csv").write_text(ROUGH.splitlines()[0] + "\n2025-01-02,C,1,2,Low\n")
+    checked = tables.read_checked(spark, str(tmp_path), RAW_SCHEMAS["traffic"])
+    assert checked.accepted.schema.simpleString() == RAW_SCHEMAS["traffic"].simpleString()
+    good = {(r.zone, r.vehicle_count, r.average_speed) for r in checked.accepted.collect()}
+    assert good == {("A", 5, 31.5), ("B, west", 7, 100.0), ("C", 1, 2.0)}
+    bad = {r.line: [(p.column, p.value, p.expected) for p in r.reasons] for r in checked.rejected.collect()}
+    lines = ROUGH.splitlines()
+    assert bad[lines[3]] == [("vehicle_count", "many", "int")]
+    assert bad[lines[4]] == [("timestamp", "soon", "timestamp"), ("average_speed", "fast", "double")]
+    for k in (2, 5, 6):
+        assert [p[2] for p in bad[lines[k]]] == ["5 columns"]
+    counts = {r.file.rsplit("/", 1)[1]: (r.read, r.accepted, r.rejected) for r in checked.counts.collect()}
+    assert counts == {"one.csv": (7, 2, 5), "two.csv": (1, 1, 0)}
+
+
+def test_bundles_are_complete_or_absent(spark, tmp_path):
+    prefix = str(tmp_path / "bundle")
+    with pytest.raises(tables.BundleError):
+        tables.read_bundle(spark, prefix)
+    one, two = spark.range(5).toDF("a"), spark.createDataFrame([(1, [2.0, None])], "k int, v array<double>")
+    assert tables.write_bundle({"one": one, "two": two}, prefix) == 1
+
+    with pytest.raises(Exception):
+        failing = spark.range(3).select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+        tables.write_bundle({"one": one.limit(1), "two": failing}, prefix)
+    found = tables.read_bundle(spark, prefix)
+    assert found.version == 1 and found.tables["one"].count() == 5
+    assert found.tables["two"].collect() == two.collect()
+    assert tables.write_bundle({"one": one.limit(2)}, prefix) == 2
+    assert tables.read_bundle(spark, prefix).tables["one"].count() == 2
+    assert tables.read_bundle(spark, prefix, version=1).tables["one"].count() == 5
+    spark.range(9).toDF("a").write.mode("append").parquet(f"{prefix}/2/one")
+    with pytest.raises(tables.BundleError):
+        tables.read_bundle(spark, prefix)
+    assert tables.read_bundle(spark, prefix, verify=False).version == 2
