@@ -33,28 +33,67 @@ def by_timestamp(df: DataFrame, *aggregates: Column) -> DataFrame:
     return grouped.select("timestamp", *calendar.hourly_keys(), *grouped.columns[1:])
 
 
+AIR_MEASURES = ["PM25", "PM10", "NO2", "O3", "AQI", "temperature", "humidity"]
+
+
+def _measure(feed: str | None, name: str) -> Column:
+    """A feed's column: of its own table, or a field of its struct in a mixed one."""
+    return F.col(name) if feed is None else F.col(feed)[name]
+
+
+def _traffic_measures(feed: str | None = None) -> list[Column]:
+    return [
+        sum_or_zero(_measure(feed, "vehicle_count")).alias("total_vehicles"),
+        F.avg(_measure(feed, "average_speed")).alias("avg_speed"),
+        F.count_if(_measure(feed, "congestion_level") == "High").alias("high_congestion_zones"),
+    ]
+
+
+def _air_measures(feed: str | None = None) -> list[Column]:
+    return [F.avg(_measure(feed, c)).alias(f"avg_{c}") for c in AIR_MEASURES]
+
+
+def _energy_measures(feed: str | None = None) -> list[Column]:
+    return [
+        sum_or_zero(_measure(feed, "energy_consumption_kwh")).alias("total_energy_kwh"),
+        F.avg(_measure(feed, "peak_demand_kw")).alias("avg_peak_demand"),
+        F.avg(_measure(feed, "renewable_percent")).alias("avg_renewable_percent"),
+        sum_or_zero(_measure(feed, "cost_usd")).alias("total_cost"),
+    ]
+
+
 def traffic_hourly(traffic: DataFrame) -> DataFrame:
-    return by_timestamp(
-        traffic,
-        sum_or_zero("vehicle_count").alias("total_vehicles"),
-        F.avg("average_speed").alias("avg_speed"),
-        F.count_if(F.col("congestion_level") == "High").alias("high_congestion_zones"),
-    )
+    return by_timestamp(traffic, *_traffic_measures())
 
 
 def air_quality_hourly(air: DataFrame) -> DataFrame:
-    measures = ["PM25", "PM10", "NO2", "O3", "AQI", "temperature", "humidity"]
-    return by_timestamp(air, *[F.avg(c).alias(f"avg_{c}") for c in measures])
+    return by_timestamp(air, *_air_measures())
 
 
 def energy_hourly(energy: DataFrame) -> DataFrame:
-    return by_timestamp(
-        energy,
-        sum_or_zero("energy_consumption_kwh").alias("total_energy_kwh"),
-        F.avg("peak_demand_kw").alias("avg_peak_demand"),
-        F.avg("renewable_percent").alias("avg_renewable_percent"),
-        sum_or_zero("cost_usd").alias("total_cost"),
+    return by_timestamp(energy, *_energy_measures())
+
+
+def mixed_hourly(readings: DataFrame, *more: Column) -> DataFrame:
+    """The wide table of one mixed feed, by one aggregate in place of rollups and joins.
+
+    ``readings`` has timestamp and the structs ``traffic``, ``air`` and ``energy`` with their feeds'
+    measures; a struct is null where the reading has none of that kind.  Like the joined table it has the
+    hours with traffic, and null in a feed's columns where the hour has none of its readings.
+    ``more`` are further aggregates.
+    """
+    energy = _energy_measures("energy")
+    grouped = by_timestamp(
+        readings,
+        *_traffic_measures("traffic"),
+        *_air_measures("air"),
+        *energy,
+        F.count("traffic").alias("_traffic"),
+        F.count("energy").alias("_energy"),
+        *more,
     )
+    sums = {c: F.when(F.col("_energy") > 0, F.col(c)) for c in ("total_energy_kwh", "total_cost")}
+    return grouped.where(F.col("_traffic") > 0).withColumns(sums).drop("_traffic", "_energy")
 
 
 def master_join(

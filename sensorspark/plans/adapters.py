@@ -73,11 +73,9 @@ def traffic_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def air_of(rows: DataFrame) -> DataFrame:
+def _air_fields() -> list[Column]:
     x, k = F.col("x"), F.col("k")
-    return rows.select(
-        "timestamp",
-        F.col("entity").alias("station_id"),
+    return [
         (x / 2).alias("PM25"),
         (x * 0.75).alias("PM10"),
         k.alias("NO2"),
@@ -85,7 +83,12 @@ def air_of(rows: DataFrame) -> DataFrame:
         (k / 4).alias("temperature"),
         k.alias("humidity"),
         x.alias("AQI"),
-        aqi_category(x).alias("AQI_category"),
+    ]
+
+
+def air_of(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "timestamp", F.col("entity").alias("station_id"), *_air_fields(), aqi_category(F.col("x")).alias("AQI_category")
     )
 
 
@@ -106,32 +109,42 @@ def air_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def energy_of(rows: DataFrame) -> DataFrame:
+def _energy_fields() -> list[Column]:
     x = F.col("x")
-    return rows.select(
-        "timestamp",
-        F.col("entity").alias("building_type"),
+    return [
         x.alias("energy_consumption_kwh"),
         (x / 10).alias("peak_demand_kw"),
         F.col("k").alias("renewable_percent"),
         (x * 0.12).alias("cost_usd"),
-    )
+    ]
 
 
-def weather_of(rows: DataFrame) -> DataFrame:
+def energy_of(rows: DataFrame) -> DataFrame:
+    return rows.select("timestamp", F.col("entity").alias("building_type"), *_energy_fields())
+
+
+def _weather_measures() -> list[Column]:
     """Hourly weather from two event types: one gives temperature and humidity, one the rest."""
     x, k = F.col("x"), F.col("k")
     warm, wet = F.col("entity") == "signup", F.col("entity") == "error"
-    grouped = rows.groupBy("timestamp").agg(
+    return [
         F.avg(F.when(warm, x)).alias("temperature"),
         F.avg(F.when(warm, k)).alias("humidity"),
         F.avg(F.when(wet, k)).alias("wind_speed"),
         F.avg(F.when(wet, x)).alias("precipitation_mm"),
         (F.avg(F.when(wet, k)) / 10 + 1000).alias("pressure_hpa"),
-    )
-    return grouped.withColumn(
-        "condition", F.when(F.col("precipitation_mm") >= 40, "Rainy").otherwise("Clear")
-    )
+        F.count_if(warm | wet).alias("_weather"),
+    ]
+
+
+def _with_condition(grouped: DataFrame) -> DataFrame:
+    """Hours without weather readings have no condition."""
+    condition = F.when(F.col("precipitation_mm") >= 40, "Rainy").when(F.col("_weather") > 0, "Clear")
+    return grouped.withColumn("condition", condition).drop("_weather")
+
+
+def weather_of(rows: DataFrame) -> DataFrame:
+    return _with_condition(rows.groupBy("timestamp").agg(*_weather_measures()))
 
 
 def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +179,26 @@ def hourly_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide hourly table."""
+    """The wide hourly table, from one scan and one aggregate of the events.
+
+    It equals ``joined_hourly``, which rolls the feeds up one by one.
+    """
+    rows = readings(spark, sf_dir).withColumn("timestamp", F.date_trunc("hour", "timestamp"))
+    x, k = F.col("x"), F.col("k")
+    mixed = rows.select(
+        "timestamp",
+        "entity",
+        "x",
+        "k",
+        F.struct(x.alias("vehicle_count"), k.alias("average_speed"), congestion(x).alias("congestion_level")).alias("traffic"),
+        F.struct(*_air_fields()).alias("air"),
+        F.when(F.col("entity") == "purchase", F.struct(*_energy_fields())).alias("energy"),
+    )
+    return _with_condition(rollup.mixed_hourly(mixed, *_weather_measures()))
+
+
+def joined_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table by joining the four feeds' rollups."""
     parts = hourly_parts(spark, sf_dir)
     return rollup.master_join(parts["traffic"], parts["air"], parts["energy"], parts["weather"])
 

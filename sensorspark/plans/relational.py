@@ -266,6 +266,12 @@ def energy_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("master_join", f"WITH {a.HOURLY} SELECT {MASTER_OUT} FROM hourly")
 def master_join(spark: SparkSession, d: str) -> DataFrame:
+    return a.joined_hourly(spark, d)
+
+
+@query("mixed_master", f"WITH {a.HOURLY} SELECT {MASTER_OUT} FROM hourly")
+def mixed_master(spark: SparkSession, d: str) -> DataFrame:
+    """The same table from one mixed feed."""
     return a.hourly(spark, d)
 
 
