@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import sensorspark
 from sensorspark.session import prepare as prepare_session
 
 # Bounds on one Arrow batch, so that a Python worker holds few whole texts at a time.
@@ -17,29 +12,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the Python workers, which may run where it is not installed.
-
-    Spark itself copies the archive from the driver to every executor, later ones too.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(sensorspark.__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="sensorspark-code-")) / "sensorspark_code.zip"
-    with zipfile.ZipFile(archive, "w") as file:
-        for path in sorted(root.rglob("*.py")):
-            file.write(path, path.relative_to(root.parent).as_posix())
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
 def prepare(spark: SparkSession) -> None:
     prepare_session(spark)
-    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
