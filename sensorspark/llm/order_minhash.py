@@ -4,17 +4,21 @@ A document's five-word shingles are numbered by occurrence, so that a repeated s
 time.  For every hash function the smallest ``PICK`` numbered shingles are kept in the order in
 which they stand in the text; two documents agree on such a sketch with a probability that falls
 when shingles differ and when their order differs.  Two sketches form a band, and documents that
-share a band are candidates.  At a share s of common shingles a sketch of three agrees with a
-probability of about s^3, so that of the thirty bands at least one agrees in all but one of 10,000
-pairs for s of 0.8, in two of 100 for 0.3 (a long passage in common), and hardly ever below.
-
-Byte-identical texts are one node from the start.  Inside a band's bucket no pairs are listed:
-members are compared with pivots, and a bucket needs further pivots only while members that have
-not been a pivot lie in different components, so that no link between components can be missed.  A
-candidate pair is a link if the edit similarity of the word sequences (one minus distance over the
-longer length, by alignment in a band) reaches 0.8.  Two texts whose five-word shingles have a
-Jaccard similarity of 0.8, in the same order, reach it too.  Classes are the connected components
-of the links.
+share a band are candidates.
+
+A candidate pair is a link if the edit similarity of the two shingle sequences (one minus distance
+over the longer length, by alignment in a band) reaches 0.8.  Such texts have at least four fifths of
+the longer one's shingles in common, hence a Jaccard similarity of 0.67 or more, and a sketch of three
+agrees with a probability of about its cube: one of the thirty bands at least does so in 94 of 100
+pairs at the threshold and in all but one of 10,000 at a Jaccard similarity of 0.8.  Classes are the
+connected components of the links; byte-identical texts are one node from the start.
+
+Inside a band's bucket no pairs are listed: all members are compared with one pivot, and the rest of
+a bucket pairwise if it is no more than ``FEW`` texts in several components.  Larger rests are mostly
+texts with a passage in common that are not alike.  Their shingles are ordered by rarity among all
+such texts; a link needs a common shingle among the rarest of both, as many as may differ and one
+more (prefix filter), so that equal rare shingles are the buckets that replace the rest without
+losing a link.  A text whose own shingles outnumber what may differ is done without a comparison.
 
 Defined results: texts without words (null counts as empty) are alike only if byte-identical; texts
 of fewer than five words are one shingle; a class is named by its smallest ``doc_id``, null if none
@@ -28,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorspark.llm.common import text_of
@@ -43,6 +47,8 @@ SKETCHES = ROWS * BANDS
 # Bands are searched in waves; what earlier waves have connected needs no comparison later.
 WAVES = (6, BANDS)
 SIMILARITY = 0.8
+# Texts of a bucket that are compared with each other once its pivot is done.
+FEW = 8
 SEED = 20_240_601
 # Shingles hashed at a time, which bounds a worker's memory on very long texts.
 BLOCK = 1 << 15
@@ -68,15 +74,21 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
-def numbered_shingles(words: list[bytes]) -> np.ndarray:
-    """A hash of every shingle together with its occurrence number, in text order."""
+def shingles(words: list[bytes]) -> np.ndarray:
+    """A hash of every shingle, in text order; a text of fewer words is one shingle."""
     hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(SHINGLE, len(words))
     n = len(words) - k + 1
     codes = np.zeros(n, np.uint64)
     for j in range(k):
         codes = codes * np.uint64(0xD6E8FEB86659FD93) + hashes[j : n + j]
-    codes = _mix(codes)
+    return _mix(codes)
+
+
+def numbered_shingles(words: list[bytes]) -> np.ndarray:
+    """A hash of every shingle together with its occurrence number, in text order."""
+    codes = shingles(words)
+    n = len(codes)
     order = np.argsort(codes, kind="stable")
     ranked = codes[order]
     fresh = np.ones(n, bool)
@@ -131,7 +143,7 @@ def band_keys(words: list[bytes]) -> list[int]:
 def sketch(texts: pd.Series) -> pd.DataFrame:
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     return pd.DataFrame(
-        {"n_words": [len(w) for w in words], "bands": [np.array(band_keys(w), np.int64) for w in words]}
+        {"n": [max(len(w) - SHINGLE + 1, min(len(w), 1)) for w in words], "bands": [np.array(band_keys(w), np.int64) for w in words]}
     )
 
 
@@ -184,23 +196,32 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 
 @lru_cache(maxsize=64)
-def _words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
+def _shingles_of(text: str) -> list[int]:
+    words = text.encode("utf-8", "surrogatepass").split()
+    return shingles(words).tolist() if words else []
+
+
+def may_differ(n: int) -> int:
+    """The edits that leave two sequences, the longer one of ``n`` shingles, alike."""
+    return int((1 - SIMILARITY) * n + 1e-9)
 
 
 def alike(a: str, b: str) -> bool:
-    """Whether the edit similarity reaches ``SIMILARITY``."""
-    wa, wb = _words_of(a), _words_of(b)
-    longer = max(len(wa), len(wb))
-    if not wa or not wb:
-        return False
-    return distance_within(wa, wb, int((1 - SIMILARITY) * longer + 1e-9)) is not None
+    """Whether the edit similarity of the shingle sequences reaches ``SIMILARITY``."""
+    sa, sb = _shingles_of(a), _shingles_of(b)
+    return bool(sa and sb) and distance_within(sa, sb, may_differ(max(len(sa), len(sb)))) is not None
 
 
 def judge(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def numbered(texts: pd.Series) -> pd.Series:
+    """The numbered shingles of each text."""
+    split = (t.encode("utf-8", "surrogatepass").split() for t in texts)
+    return pd.Series([numbered_shingles(w).view(np.int64) if w else np.empty(0, np.int64) for w in split])
+
+
 def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -238,9 +259,11 @@ def _settled(known: DataFrame, links: DataFrame) -> DataFrame:
     A component first takes the lowest name it is linked with; only the few links that still join
     different names are then followed to the end.
     """
-    lower = links.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("low"))
+    lower = materialize(
+        links.groupBy(F.col("high").alias("component")).agg(F.min("low").alias("low")), "lower-names"
+    )
     known = materialize(
-        known.join(lower, "component", "left").select("v", F.coalesce("low", "component").alias("component")),
+        known.join(broadcast_if_small(lower, SMALL_ROWS), "component", "left").select("v", F.coalesce("low", "component").alias("component")),
         "text-components",
     )
     ends = links
@@ -261,52 +284,102 @@ def _settled(known: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _searched(
+    state: DataFrame, known: DataFrame | None, involved: DataFrame, texts: DataFrame, few: int | None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components after comparing the (key, v, n) members of buckets, and what is left undone.
+
+    With ``few``, each bucket takes one pivot and then all pairs of what is still apart, if that is
+    no more than ``few`` texts; the texts of larger rests are returned.  Without, pivots are drawn by
+    hash, eight times as many each turn, until nothing is apart.
+    """
+    state, turn = state.withColumn("used", F.lit(False)), 0
+    while True:
+        # Every text starts as a component of its own.
+        placed = state.withColumn("component", F.col("v")) if known is None else state.join(known, "v")
+        drawn = F.pmod(F.xxhash64("v", "key", F.lit(turn)), F.col("fresh")) < F.lit((1 << 3 * turn) - 1)
+        if few is not None:
+            drawn = F.lit(turn > 0) & (F.col("fresh") <= few)
+        opened = materialize(
+            _apart(placed).withColumn("lead", ~F.col("used") & ((F.col("v") == F.col("pivot")) | drawn)),
+            "open-buckets",
+        )
+        rest = None
+        if few is not None and turn > 0:
+            rest = opened.where((F.col("fresh") > few) & ~F.col("used")).select("v")
+            opened = opened.where(F.col("fresh") <= few)
+        turn += 1
+        if opened.isEmpty():
+            return known, rest
+        leads = opened.where("lead").select(
+            "key", F.col("v").alias("dst"), F.col("component").alias("other"), F.col("n").alias("n_dst")
+        )
+        pairs = (
+            opened.where("not used")
+            .join(leads, "key")
+            .where((F.col("component") != F.col("other")) & (~F.col("lead") | (F.col("v") > F.col("dst"))))
+            .where(F.least("n", "n_dst") >= SIMILARITY * F.greatest("n", "n_dst") - 1e-9)
+            .select(
+                F.least("v", "dst").alias("src"), F.greatest("v", "dst").alias("dst"),
+                F.least("component", "other").alias("low"), F.greatest("component", "other").alias("high"),
+            )
+            .distinct()
+        )
+        found = _verified(pairs, texts)
+        if not found.isEmpty():
+            known = _settled(involved.withColumn("component", F.col("v")) if known is None else known, found)
+        if rest is not None:
+            return known, rest
+        state = opened.select("key", "v", "n", (F.col("used") | F.col("lead")).alias("used"))
+
+
+def rare_buckets(texts: DataFrame) -> DataFrame:
+    """(key, v, n): the shingles of each (v, text) that a text alike to it has to share one of.
+
+    Numbered shingles are ordered by the number of texts that hold them, then by hash.  Two alike
+    texts lack at most ``may_differ`` of each other's shingles, hence share one of so many and one
+    more of their first ones.  Shingles of one text only come first and need no row.
+    """
+    coded = F.pandas_udf(numbered, "array<bigint>")
+    whole = materialize(texts.select("v", coded("text").alias("codes")), "rest-shingles")
+    held = whole.select("v", F.size("codes").cast("long").alias("n"), F.explode("codes").alias("key"))
+    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    of_text = Window.partitionBy("v")
+    needed = F.col("n") - F.floor((1 - SIMILARITY) * F.col("n") + 1e-9)
+    return materialize(
+        held.join(common, "key")
+        .withColumn("shared", F.count(F.lit(1)).over(of_text))
+        .where(F.col("shared") >= needed)
+        .withColumn("place", F.row_number().over(of_text.orderBy("texts", "key")))
+        .where(F.col("place") <= F.col("shared") - needed + 1)
+        .select("key", "v", "n"),
+        "rare-buckets",
+    )
+
+
 def linked(nodes: DataFrame, texts_of) -> DataFrame | None:
-    """(v, component) for the (v, n_words, bands) nodes that share a band; None if none do.
+    """(v, component) for the (v, n, bands) nodes that share a band; None if none do.
 
     ``texts_of`` gives (v, text) for a table of v.
     """
-    keyed = nodes.select("v", "n_words", F.posexplode("bands").alias("wave", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = nodes.select("v", "n", F.posexplode("bands").alias("wave", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
     members = materialize(keyed.join(shared.select("key"), "key"), "buckets")
     involved = materialize(members.select("v").distinct(), "involved")
     if involved.isEmpty():
         return None
     texts = texts_of(involved)
-    known, first = None, 0
+    known, first, rests = None, 0, None
     for end in WAVES:
-        state = members.where(F.col("wave").between(first, end - 1)).withColumn("used", F.lit(False))
-        first, turn = end, 0
-        while True:
-            # The first wave starts with every text a component of its own.
-            placed = state.withColumn("component", F.col("v")) if known is None else state.join(known, "v")
-            # Further pivots, eight times as many each turn, are drawn by hash, so that few turns are needed.
-            drawn = F.pmod(F.xxhash64("v", "key", F.lit(turn)), F.col("fresh")) < F.lit((1 << 3 * turn) - 1)
-            turn += 1
-            opened = materialize(
-                _apart(placed).withColumn("lead", ~F.col("used") & ((F.col("v") == F.col("pivot")) | drawn)),
-                "open-buckets",
-            )
-            if opened.isEmpty():
-                break
-            leads = opened.where("lead").select(
-                "key", F.col("v").alias("dst"), F.col("component").alias("other"), F.col("n_words").alias("n_dst")
-            )
-            pairs = (
-                opened.where("not used")
-                .join(leads, "key")
-                .where((F.col("component") != F.col("other")) & (~F.col("lead") | (F.col("v") > F.col("dst"))))
-                .where(F.least("n_words", "n_dst") >= SIMILARITY * F.greatest("n_words", "n_dst"))
-                .select(
-                    F.least("v", "dst").alias("src"), F.greatest("v", "dst").alias("dst"),
-                    F.least("component", "other").alias("low"), F.greatest("component", "other").alias("high"),
-                )
-                .distinct()
-            )
-            found = _verified(pairs, texts)
-            if not found.isEmpty():
-                known = _settled(involved.withColumn("component", F.col("v")) if known is None else known, found)
-            state = opened.select("key", "v", "n_words", (F.col("used") | F.col("lead")).alias("used"))
+        wave = members.where(F.col("wave").between(first, end - 1)).select("key", "v", "n")
+        known, rest = _searched(wave, known, involved, texts, FEW)
+        if rest is not None:
+            rests = rest if rests is None else rests.unionByName(rest)
+        first = end
+    if rests is not None:
+        undone = materialize(rests.distinct(), "rest")
+        if not undone.isEmpty():
+            known, _ = _searched(rare_buckets(texts.join(undone, "v", "left_semi")), known, involved, texts, None)
     return involved.withColumn("component", F.col("v")) if known is None else known
 
 
@@ -314,26 +387,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: rows (doc_id, fp) of ``docs``, and (fp, class_id, doc, copies, keeper) for
     every distinct text: its class, its smallest id, how many rows have both, and whether that row
     stands for the class."""
-    sketched = F.pandas_udf(sketch, "n_words bigint, bands array<bigint>")
+    sketched = F.pandas_udf(sketch, "n bigint, bands array<bigint>")
     rows = materialize(
         docs.select("doc_id", text_of(docs).alias("t"))
         .select("doc_id", digest(F.col("t")).alias("fp"), sketched("t").alias("s"))
-        .select("doc_id", "fp", "s.n_words", "s.bands"),
+        .select("doc_id", "fp", "s.n", "s.bands"),
         "sketch-rows",
     )
     # Null ids come last, so that a row with an id stands for its text.
     first = rows.groupBy("fp", "doc_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     nodes = materialize(
         first.groupBy("fp")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copies")).alias("m"),
-            F.first("n_words").alias("n_words"),
+            F.first("n").alias("n"),
             F.first("bands").alias("bands"),
         )
         .select(
-            "fp", F.col("m.doc_id").alias("doc"), F.col("m.copies").alias("copies"), "n_words", "bands",
+            "fp", F.col("m.doc_id").alias("doc"), F.col("m.copies").alias("copies"), "n", "bands",
             F.monotonically_increasing_id().alias("v"),
         ),
         "texts",

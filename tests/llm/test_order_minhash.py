@@ -54,6 +54,73 @@ def test_repeated_shingles_are_numbered():
     assert len(set(swapped) & set(plain)) < 15
 
 
+@pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.99)])
+def test_alike_texts_share_a_band(share, least):
+    # Words are replaced one by one until the shingle sequences have no more than the share in common.
+    draw, met, pairs = random.Random(11), 0, 150
+    for _ in range(pairs):
+        base = [w.encode() for w in words(draw, 300)]
+        other, order = list(base), draw.sample(range(300), 300)
+        for i in order:
+            before = other[i]
+            other[i] = b"y%d" % draw.randrange(10**6)
+            if (o.shingles(other) == o.shingles(base)).mean() < share:
+                other[i] = before
+                break
+        assert o.distance_within(list(o.shingles(base)), list(o.shingles(other)), o.may_differ(296)) is not None
+        met += bool(set(o.band_keys(base)) & set(o.band_keys(other)))
+    assert met >= least * pairs
+
+
+def alignments(docs, monkeypatch):
+    """The number of pairs that are aligned, and the classes."""
+    listed, plain = [], o._verified
+
+    def counted(pairs, texts):
+        listed.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(o, "_verified", counted)
+    classes = {r.doc_id: r.class_id for r in o.class_ids(docs).collect()}
+    monkeypatch.setattr(o, "_verified", plain)
+    return sum(listed), classes
+
+
+def test_texts_with_a_common_passage_cost_few_alignments(spark, partitions, monkeypatch):
+    draw = random.Random(12)
+    partitions(8)
+    passage, per_text = words(draw, 60), []
+    for n in (300, 1200):
+        texts = []
+        for _ in range(n):
+            at = draw.randrange(41)
+            own = words(draw, 40)
+            texts.append(own[:at] + passage + own[at:])
+        # Two near copies among them have to be found in the crowd.
+        texts.append(changed(draw, texts[n // 2], 2))
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        cost, classes = alignments(docs, monkeypatch)
+        assert classes == {i: n // 2 if i == n else i for i in range(n + 1)}
+        per_text.append(cost / n)
+    assert per_text[1] < 1.5 * per_text[0] + 10 and per_text[1] < 40
+
+
+def test_rare_shingles_lose_no_link(spark, partitions):
+    draw = random.Random(13)
+    partitions(4)
+    base = words(draw, 120)
+    texts = [changed(draw, base, draw.randint(1, 9)) for _ in range(40)]
+    texts += [base[:70] + words(draw, draw.randint(20, 60)) for _ in range(30)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "v bigint, text string")
+    keys = {}
+    for r in o.rare_buckets(table).collect():
+        keys.setdefault(r.v, set()).add(r.key)
+    links = [(i, j) for i in range(70) for j in range(i) if o.alike(" ".join(texts[i]), " ".join(texts[j]))]
+    assert len(links) > 50
+    for i, j in links:
+        assert keys[i] & keys[j]
+
+
 def test_long_texts_are_searched_in_blocks(monkeypatch):
     draw = random.Random(2)
     text = [w.encode() for w in words(draw, 3000)]
@@ -81,11 +148,12 @@ def test_classes_equal_brute_force(spark, partitions, parts):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
     got = {r.doc_id: r.class_id for r in o.class_ids(docs).collect()}
     label = list(range(len(rows)))
+    grams = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in texts]
     for i in range(len(rows)):
         for j in range(i):
-            longer = max(len(texts[i]), len(texts[j]))
-            if abs(len(texts[i]) - len(texts[j])) <= 0.2 * longer and texts[i][0][0] in "wx":
-                near = o.distance_within(texts[i], texts[j], int(0.2 * longer + 1e-9)) is not None
+            longer = max(len(grams[i]), len(grams[j]))
+            if abs(len(grams[i]) - len(grams[j])) <= 0.2 * longer:
+                near = o.distance_within(grams[i], grams[j], int(0.2 * longer + 1e-9)) is not None
                 if near and label[i] != label[j]:
                     low, high = sorted((label[i], label[j]))
                     label = [low if x == high else x for x in label]
