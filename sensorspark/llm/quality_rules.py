@@ -10,6 +10,10 @@ of the tests needs no further correction, since climbing stops at the first step
 accepted steps the one that separates bad from good documents best is used.  A stratum with too few
 labels accepts no step and so rejects nothing beyond the base rules.
 
+A trial is a distinct text: labelled rows with the same text count once, with their smallest label,
+since copies are no independent evidence.  The guarantee thus is that of the good distinct texts of a
+stratum no more than ``alpha`` are rejected, with probability 1 - ``delta`` for all strata at once.
+
 Defined results: a null or empty text has no words and fails the base rule; rows repeat in the
 output as they repeat in the input; a null ``doc_id`` is measured like any other but has no label;
 without labels only the base rules reject; an empty table gives an empty table.
@@ -156,14 +160,15 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def calibrate(
     measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05
 ) -> list[Cutoff]:
-    """Cutoffs from (doc_id, m) rows and their ``quality`` labels.
+    """Cutoffs from (doc_id, fp, m) rows and their ``quality`` labels; ``fp`` tells texts apart.
 
     The counts per stratum, rule and step are one aggregate of fixed size, whatever the number of
     labelled rows; only that aggregate reaches the driver.
     """
-    holdout = measured.join(
+    labelled = measured.join(
         labels_of(labels, "quality"), F.col("doc_id") == F.col("label_key")
     ).where(~base_failed("m"))
+    holdout = labelled.groupBy("fp").agg(F.min("label").alias("label"), F.first("m").alias("m"))
     stats = ratios("m")
     counted = holdout.groupBy(stratum("m").alias("stratum"), "label").agg(
         F.count(F.lit(1)).alias("n"),
@@ -173,7 +178,12 @@ def calibrate(
             for step, value in enumerate(ladder)
         ],
     )
-    by = {(row["stratum"], row["label"]): row for row in counted.collect()}
+    return chosen({(row["stratum"], row["label"]): row for row in counted.collect()}, alpha, delta)
+
+
+def chosen(by: dict, alpha: float, delta: float) -> list[Cutoff]:
+    """The best certified step of each ladder, from counts by (stratum, label): ``n`` texts, and how
+    many of them each ``rule_step`` rejects."""
     tests = (len(BANDS) + 1) * len(LADDERS)
     found = []
     for band in range(len(BANDS) + 1):
@@ -205,7 +215,8 @@ def rejected(m: str, cutoffs: list[Cutoff]) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs``."""
     measured = materialize(
-        docs.select("doc_id", measures(text_of(docs)).alias("m")), "quality-measures"
+        docs.select("doc_id", F.md5(text_of(docs)).alias("fp"), measures(text_of(docs)).alias("m")),
+        "quality-measures",
     )
     cutoffs = calibrate(measured, labels)
     return measured.select(
@@ -224,7 +235,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     labelled = labels_of(labels, "quality")
     ids = docs.select("doc_id", text_of(docs).alias("t"))
-    measured = materialize(ids.select("doc_id", measures(F.col("t")).alias("m")), "quality-measures")
+    measured = materialize(
+        ids.select("doc_id", F.md5("t").alias("fp"), measures(F.col("t")).alias("m")), "quality-measures"
+    )
     cutoffs = calibrate(measured, labelled.select(F.col("label_key").alias("doc_id"), F.col("label").alias("quality")))
     m = free_name(docs, "measures")
     return (

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 from math import comb
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sensorspark.llm import quality_rules as q
 from sensorspark.llm.common import text_of
@@ -38,8 +40,6 @@ def test_counts_equal_brute_force():
 
 
 def test_many_distinct_words_use_the_wide_codes():
-    import numpy as np
-
     ids = np.array([1, 2, 3, 9, 1, 2, 3, 8])
     assert q.repeated_words(ids, 1 << 22) == q.repeated_words(ids, 10) == 6
 
@@ -51,13 +51,16 @@ def test_binomial_tail_is_exact():
     assert q.binomial_tail(5, 5, 0.1) == 1.0
 
 
-def rows_with_symbols(spark, good, bad, lost):
-    """Documents of 100 words; bad ones, and ``lost`` good ones, are full of symbols."""
+def rows_with_symbols(spark, good, bad, lost, copies=1):
+    """Documents of 101 words; bad ones, and ``lost`` good ones, are full of symbols."""
     clean = " ".join(f"w{i}" for i in range(100))
     noisy = " ".join(f"##$$%%{i}" for i in range(100))
-    rows = [(i, noisy if i < lost else clean, 1) for i in range(good)] + [(10**6 + i, noisy, 0) for i in range(bad)]
+    rows = [(i, f"{noisy if i < lost else clean} {i}", 1) for i in range(good)]
+    rows += [(10**6 + i, f"{noisy} bad{i}", 0) for i in range(bad)]
+    rows = [(doc_id + 10**7 * k, text, label) for doc_id, text, label in rows for k in range(copies)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
-    return table.select("doc_id", q.measures(text_of(table)).alias("m")), table.select("doc_id", "quality")
+    measured = table.select("doc_id", F.md5("text").alias("fp"), q.measures(text_of(table)).alias("m"))
+    return measured, table.select("doc_id", "quality")
 
 
 def test_cutoffs_need_proof(spark):
@@ -71,6 +74,40 @@ def test_cutoffs_need_proof(spark):
         assert q.binomial_tail(c.rejected_good, c.good, 0.05 / len(q.LADDERS)) <= 0.05 / 15
 
 
+def test_copies_are_one_trial(spark):
+    # Ten copies of each of too few texts prove nothing; a proof counts distinct texts only.
+    assert q.calibrate(*rows_with_symbols(spark, 300, 50, 0, copies=10)) == []
+    sure = q.calibrate(*rows_with_symbols(spark, 1000, 50, 0, copies=3))
+    assert sure and {c.good for c in sure} == {1000}
+
+
+def test_rejection_stays_below_alpha():
+    # Holdouts drawn from a population whose true rejection rates are known.
+    draw, alpha, delta, draws = np.random.default_rng(5), 0.05, 0.05, 400
+    cells = [(band, rule) for band in range(len(q.BANDS) + 1) for rule in q.LADDERS]
+    truth = {}
+    for band, rule in cells:
+        # Steps reject ever more; the rates cross the rule's share of alpha part of the way.
+        truth[band, rule] = np.linspace(0.001, 0.03, len(q.LADDERS[rule]))
+    broken = used = 0
+    for _ in range(draws):
+        n, by = 2000, {}
+        for band in range(len(q.BANDS) + 1):
+            by[band, 1], by[band, 0] = {"n": n}, {"n": n}
+            for rule in q.LADDERS:
+                # One level per text, so that the steps of a ladder nest.
+                level = draw.random(n)
+                for step, rate in enumerate(truth[band, rule]):
+                    by[band, 1][f"{rule}_{step}"] = int((level < rate).sum())
+                    by[band, 0][f"{rule}_{step}"] = int(n * min(1.0, 0.3 + 0.6 * step / 13))
+        cutoffs = q.chosen(by, alpha, delta)
+        used += len(cutoffs)
+        broken += any(
+            truth[c.stratum, c.rule][q.LADDERS[c.rule].index(c.value)] > alpha / len(q.LADDERS) for c in cutoffs
+        )
+    assert used > 10 * draws and broken <= delta * draws
+
+
 def test_report_on_odd_rows(spark, odd_docs, no_docs, no_labels):
     got = q.report(odd_docs, no_labels).collect()
     assert len(got) == odd_docs.count()
@@ -84,7 +121,8 @@ def test_keep_good_keeps_columns_and_rows(spark, odd_docs, no_docs, no_labels):
     kept = q.keep_good(odd_docs, no_labels)
     assert kept.columns == odd_docs.columns
     # Only the long text has enough words without repeating itself too much.
-    assert [r.doc_id for r in kept.collect()] == [] or {r.doc_id for r in kept.collect()} <= {7}
+    measured = q.report(odd_docs, no_labels).where("kept").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in measured)
     assert q.keep_good(no_docs, no_labels).count() == 0
 
 
