@@ -6,9 +6,10 @@ which they stand in the text; two documents agree on such a sketch with a probab
 when shingles differ and when their order differs.  Two sketches form a band, and documents that
 share a band are candidates.
 
-A candidate pair is a link if the edit similarity of the two shingle sequences (one minus distance
-over the longer length, by alignment in a band) reaches 0.8.  Such texts have at least four fifths of
-the longer one's shingles in common, hence a Jaccard similarity of 0.67 or more, and a sketch of three
+A candidate pair is a link if the edit similarity of the two word sequences (one minus distance over
+the longer length, by alignment in a band) reaches 0.8.  All links are promised, at the rates below,
+where the shingle sequences align at 0.8 as well; others are found where a band happens to agree.
+Texts whose shingle sequences align have at least four fifths of the longer one's shingles in common, hence a Jaccard similarity of 0.67 or more, and a sketch of three
 agrees with a probability of about its cube: one of the thirty bands at least does so in 94 of 100
 pairs at the threshold and in all but one of 10,000 at a Jaccard similarity of 0.8.  Classes are the
 connected components of the links; byte-identical texts are one node from the start.
@@ -18,7 +19,7 @@ a bucket pairwise if it is no more than ``FEW`` texts in several components.  La
 texts with a passage in common that are not alike.  Their shingles are ordered by rarity among all
 such texts; a link needs a common shingle among the rarest of both, as many as may differ and one
 more (prefix filter), so that equal rare shingles are the buckets that replace the rest without
-losing a link.  A text whose own shingles outnumber what may differ is done without a comparison.
+losing a promised link.  A text whose own shingles outnumber what may differ is done without a comparison.
 
 Defined results: texts without words (null counts as empty) are alike only if byte-identical; texts
 of fewer than five words are one shingle; a class is named by its smallest ``doc_id``, null if none
@@ -196,20 +197,19 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 
 @lru_cache(maxsize=64)
-def _shingles_of(text: str) -> list[int]:
-    words = text.encode("utf-8", "surrogatepass").split()
-    return shingles(words).tolist() if words else []
+def _words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def may_differ(n: int) -> int:
-    """The edits that leave two sequences, the longer one of ``n`` shingles, alike."""
+    """The edits that leave two sequences, the longer one of ``n`` elements, alike."""
     return int((1 - SIMILARITY) * n + 1e-9)
 
 
 def alike(a: str, b: str) -> bool:
-    """Whether the edit similarity of the shingle sequences reaches ``SIMILARITY``."""
-    sa, sb = _shingles_of(a), _shingles_of(b)
-    return bool(sa and sb) and distance_within(sa, sb, may_differ(max(len(sa), len(sb)))) is not None
+    """Whether the edit similarity of the word sequences reaches ``SIMILARITY``."""
+    wa, wb = _words_of(a), _words_of(b)
+    return bool(wa and wb) and distance_within(wa, wb, may_differ(max(len(wa), len(wb)))) is not None
 
 
 def judge(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -318,7 +318,7 @@ def _searched(
             opened.where("not used")
             .join(leads, "key")
             .where((F.col("component") != F.col("other")) & (~F.col("lead") | (F.col("v") > F.col("dst"))))
-            .where(F.least("n", "n_dst") >= SIMILARITY * F.greatest("n", "n_dst") - 1e-9)
+            .where(F.least("n", "n_dst") + SHINGLE - 1 >= SIMILARITY * (F.greatest("n", "n_dst") + SHINGLE - 1) - 1e-9)
             .select(
                 F.least("v", "dst").alias("src"), F.greatest("v", "dst").alias("dst"),
                 F.least("component", "other").alias("low"), F.greatest("component", "other").alias("high"),
