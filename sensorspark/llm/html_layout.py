@@ -2,10 +2,18 @@
 
 A tree is built from the tags, with the ones that authors leave out implied (a paragraph ends where a
 block begins, a list item at the next one, a cell at the next cell or row, the head at the first
-visible element).  Scripts, styles, the head, elements hidden by attribute or style, and the parts of
-drawings and formulas that are never drawn (``UNDRAWN``) are left out; all other text is kept.  Blocks start on new lines, paragraphs, headings, lists and tables are set
-apart by a blank line, list items carry their bullet or number and are indented by depth, tables are
-laid out in aligned columns, and preformatted text keeps its blanks.
+visible element).  Scripts, styles, the head, closed dialogs, what a closed ``details`` folds away, what
+stands in for media, elements hidden by attribute or style, and the parts of drawings and formulas that
+are never drawn (``UNDRAWN``) are left out; all other text is kept.  ``display`` hides a whole element;
+``visibility`` is inherited, so that an element inside may be shown again.  Blocks start on new lines,
+paragraphs, headings, lists and tables are set apart by a blank line, list items carry their bullet or
+number and are indented by depth, tables are laid out in aligned columns, and preformatted text keeps its
+blanks.
+
+A cell is wrapped at ``CELL_WIDTH`` characters unless its column is the last one; a longer word stays
+whole and pushes the rest of its line on.  No column starts beyond ``TABLE_WIDTH`` and no line is indented
+by more than ``LEVELS`` lists, so that a line holds a bounded number of blanks a table level, however wide
+or deep a page is.
 
 Nothing recurses on the page's depth except tables inside tables, which are laid out as plain blocks
 beyond ``MAX_TABLES`` levels.  Work is linear in the page but for padding.
@@ -25,12 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TABLES = 20
-MAX_SPAN = 1000
+CELL_WIDTH, TABLE_WIDTH = 60, 240
+LEVELS = 20
+# Fixed values of the markup language: the largest numbers of columns and rows of a cell.
+MAX_COLUMNS, MAX_ROWS = 1000, 65_534
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title noscript template iframe noembed noframes object datalist".split())
+HIDDEN = frozenset(
+    "head script style title noscript template iframe noembed noframes object datalist audio video canvas meter"
+    " progress rp".split()
+)
 # Inside svg and math: what is never drawn, where markup of the page begins again, and what ends the drawing.
 UNDRAWN = frozenset(
     "title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter"
@@ -131,16 +145,16 @@ def number(attrs: dict[str, str], name: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def styled_away(style: str) -> bool:
-    """Whether the declarations that win say that nothing is shown."""
+def declared(style: str) -> dict[str, str]:
+    """The values of ``display`` and ``visibility`` that win."""
     won: dict[str, tuple[bool, str]] = {}
     for declaration in ARGUMENTS.sub(" ", ASIDE.sub(" ", unescape(style))).lower().split(";"):
         name, _, value = declaration.partition(":")
         value, mark, _ = value.partition("!")
         name, important = name.strip(), bool(mark)
-        if important or not won.get(name, (False,))[0]:
+        if name in ("display", "visibility") and (important or not won.get(name, (False,))[0]):
             won[name] = (important, value.strip())
-    return won.get("display", (0, ""))[1] == "none" or won.get("visibility", (0, ""))[1] == "hidden"
+    return {name: value for name, (_, value) in won.items()}
 
 
 class Builder:
@@ -276,9 +290,16 @@ class Writer:
 
     def _prefix(self) -> str:
         out = ""
-        for level in self.prefixes:
+        for level in self.prefixes[:LEVELS]:
             out += level[1] if level[2] else level[0]
             level[2] = True
+        # Deeper levels show their markers only; those still to be shown are the last ones.
+        fresh = len(self.prefixes)
+        while fresh > LEVELS and not self.prefixes[fresh - 1][2]:
+            fresh -= 1
+        for level in self.prefixes[max(fresh, LEVELS) :]:
+            out += level[0].lstrip()
+            level[2] = True
         return out
 
     def put(self, line: str) -> None:
@@ -306,69 +327,89 @@ class Writer:
             self.parts[:] = [line]
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or node.foreign and node.tag in UNDRAWN or "hidden" in node.attrs:
-        return False
+def shown(node: Node, seen: bool) -> bool | None:
+    """Whether an element's own text is seen, given that of its parent; None if it has no box at all."""
+    if node.tag in HIDDEN or node.foreign and node.tag in UNDRAWN:
+        return None
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
-        return False
-    return not ("style" in node.attrs and styled_away(node.attrs["style"]))
+        return None
+    won = declared(node.attrs["style"]) if "style" in node.attrs else {}
+    if node.foreign:
+        won = {k: node.attrs[k].strip().lower() for k in ("display", "visibility") if k in node.attrs} | won
+    display = won.get("display")
+    closed = "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
+    if display == "none" or closed and not display:
+        return None
+    return {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(won.get("visibility", ""), seen)
+
+
+def unfolded(node: Node) -> list:
+    """An element's children; of a closed ``details`` its first summary only."""
+    if node.tag != "details" or "open" in node.attrs:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
 
 
-def _write(root: Node, tables: int) -> list[str]:
+def _write(root: Node, tables: int, seen: bool = True) -> list[str]:
     out = Writer()
-    # (node, next child, list counter); a counter is None outside ordered lists.
-    stack: list[list] = [[root, 0, None]]
+    # (node, its children, next child, list counter, whether text is seen); a counter is None outside ordered lists.
+    stack: list[list] = [[root, root.children, 0, None, seen]]
     pre = 0
     while stack:
         frame = stack[-1]
-        node, k, _ = frame
-        if k == len(node.children):
+        node, children, k, _, seen = frame
+        if k == len(children):
             stack.pop()
             if node is not root:
                 pre -= _leave(out, node)
             continue
-        frame[1] += 1
-        child = node.children[k]
+        frame[2] += 1
+        child = children[k]
         if isinstance(child, str):
-            if pre:
+            if not seen:
+                out.parts.append(" ")
+            elif pre:
                 out.kept(child)
             else:
                 out.parts.append(child)
-        elif visible(child):
-            if child.tag == "table" and tables < MAX_TABLES:
-                out.breaks(2)
-                for line in table_lines(child, tables + 1):
-                    out.put(line)
-                out.breaks(2)
-                continue
-            if child.tag == "br":
-                if out.parts:
-                    out.flush()
-                else:
-                    out.gap = max(out.gap, 2 if out.lines else 0)
-                continue
-            pre += _enter(out, child, frame)
-            counter = None
-            if child.tag == "ol":
-                start = number(child.attrs, "start")
-                counter = 1 if start is None else start
-            stack.append([child, 0, counter])
+            continue
+        own = shown(child, seen)
+        if own is None:
+            continue
+        if child.tag == "table" and tables < MAX_TABLES:
+            out.breaks(2)
+            for line in table_lines(child, tables + 1, own):
+                out.put(line)
+            out.breaks(2)
+            continue
+        if child.tag == "br":
+            if out.parts:
+                out.flush()
+            else:
+                out.gap = max(out.gap, 2 if out.lines else 0)
+            continue
+        pre += _enter(out, child, frame, own)
+        counter = None
+        if child.tag == "ol":
+            start = number(child.attrs, "start")
+            counter = 1 if start is None else start
+        stack.append([child, unfolded(child), 0, counter, own])
     out.flush()
     return out.lines
 
 
-def _enter(out: Writer, node: Node, parent: list) -> int:
+def _enter(out: Writer, node: Node, parent: list, seen: bool) -> int:
     if node.tag in BLOCK:
         nested = node.tag in LISTS and out.prefixes
         out.breaks(2 if node.tag in APART and not nested else 1)
     if node.tag == "li":
         marker = "- "
-        if parent[2] is not None:
+        if parent[3] is not None:
             value = number(node.attrs, "value")
-            parent[2] = parent[2] if value is None else value
-            marker = f"{parent[2]}. "
-            parent[2] += 1
-        out.prefixes.append([marker, " " * len(marker), False])
+            parent[3] = parent[3] if value is None else value
+            marker = f"{parent[3]}. "
+            parent[3] += 1
+        out.prefixes.append([marker, " " * len(marker), not seen])
     elif node.tag in ("dd", "blockquote"):
         out.prefixes.append(["    ", "    ", False])
     elif node.tag in ("td", "th") or node.foreign and node.tag in PLACED:
@@ -394,74 +435,122 @@ def _leave(out: Writer, node: Node) -> int:
     return node.tag == "pre"
 
 
-def table_lines(table: Node, tables: int) -> list[str]:
+def table_lines(table: Node, tables: int, seen: bool = True) -> list[str]:
     """Caption, rows in aligned columns; what stands between the cells comes before the rows."""
-    loose, caption, rows = Node("div"), [], []
-    stack = [iter(table.children)]
+    loose, caption, groups = Node("div"), [], [[]]
+    stack = [(iter(table.children), seen)]
     while stack:
-        child = next(stack[-1], None)
+        children, seen = stack[-1]
+        child = next(children, None)
         if child is None:
             stack.pop()
-        elif isinstance(child, str):
-            loose.children.append(child)
-        elif not visible(child):
             continue
-        elif child.tag == "caption":
-            caption += _write(child, tables)
+        if isinstance(child, str):
+            if seen:
+                loose.children.append(child)
+            continue
+        own = shown(child, seen)
+        if own is None:
+            continue
+        if child.tag == "caption":
+            caption += _write(child, tables, own)
         elif child.tag in ("thead", "tbody", "tfoot"):
-            stack.append(iter(child.children))
+            groups.append([])
+            stack.append((iter(child.children), own))
         elif child.tag == "tr":
-            rows.append([])
-            stack.append(iter(child.children))
+            groups[-1].append([])
+            stack.append((iter(child.children), own))
         elif child.tag in ("td", "th"):
-            if not rows:
-                rows.append([])
-            span = min(max(number(child.attrs, "colspan") or 1, 1), MAX_SPAN)
-            deep = min(max(number(child.attrs, "rowspan") or 1, 1), MAX_SPAN)
-            rows[-1].append((_write(child, tables), span, deep))
+            if not groups[-1]:
+                groups[-1].append([])
+            wide = min(max(number(child.attrs, "colspan") or 1, 1), MAX_COLUMNS)
+            deep = number(child.attrs, "rowspan")
+            deep = 1 if deep is None or deep < 0 else min(deep, MAX_ROWS)
+            groups[-1][-1].append((_write(child, tables, own), wide, deep))
         elif child.tag not in ("colgroup", "col"):
-            loose.children.append(child)
-    return caption + _write(loose, tables) + aligned(rows)
-
-
-def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Cells (lines, columns, rows) as lines whose columns start at the same place."""
-    placed, busy = [], {}
-    for cells in rows:
-        column, own = 0, []
-        for lines, span, deep in cells:
-            while busy.get(column):
-                column += 1
-            own.append((column, span, lines))
-            for c in range(column, column + span):
-                busy[c] = deep
-            column += span
-        placed.append(own)
-        busy = {c: n - 1 for c, n in busy.items() if n > 1}
+            # Shown or not by its own place in the tree.
+            loose.children.append(child if seen else Node("span", {"style": "visibility:hidden"}))
+            if not seen:
+                loose.children[-1].children.append(child)
+    return caption + _write(loose, tables) + aligned(groups)
+
+
+def wrapped(line: str) -> list[str]:
+    """A line in pieces of at most ``CELL_WIDTH`` characters, longer words whole."""
+    out, at, end = [], 0, len(line)
+    while end - at > CELL_WIDTH:
+        lead = at
+        while line[lead] == " ":
+            lead += 1
+        cut = line.rfind(" ", lead, at + CELL_WIDTH + 1)
+        if cut < 0:
+            cut = line.find(" ", max(lead, at + CELL_WIDTH))
+        if cut < 0:
+            break
+        out.append(line[at:cut].rstrip())
+        at = cut + 1
+        while at < end and line[at] == " ":
+            at += 1
+    return [*out, line[at:]] if at < end or not out else out
+
+
+def aligned(groups: list[list[list[tuple[list[str], int, int]]]]) -> list[str]:
+    """Groups of rows of cells (lines, columns, rows) as lines whose columns start at the same place.
+
+    A cell of zero rows reaches to the end of its group, and no cell reaches beyond it.
+    """
+    placed = []
+    for rows in groups:
+        # Columns taken by a cell of a row above: the row that is free again, and the column after the cell.
+        taken: dict[int, tuple[int, int]] = {}
+        for r, cells in enumerate(rows):
+            column, own = 0, []
+            for lines, wide, deep in cells:
+                while column in taken and taken[column][0] > r:
+                    column = taken[column][1]
+                own.append((column, wide, lines))
+                if deep != 1:
+                    free = r + deep if deep else len(rows)
+                    for c in range(column, column + wide):
+                        taken[c] = (free, column + wide)
+                column += wide
+            placed.append(own)
+    last = max((column + wide for own in placed for column, wide, _ in own), default=0)
+    placed = [
+        [
+            (column, wide, lines if column + wide == last else [x for line in lines for x in wrapped(line)])
+            for column, wide, lines in own
+        ]
+        for own in placed
+    ]
     widths: dict[int, int] = {}
     for own in placed:
-        for column, span, lines in own:
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+        for column, wide, lines in own:
+            if wide == 1:
+                longest = min(max(map(len, lines), default=0), CELL_WIDTH)
+                widths[column] = max(widths.get(column, 0), longest)
     for own in placed:
-        for column, span, lines in own:
-            held = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-            lacking = max(map(len, lines), default=0) - held
-            if span > 1 and lacking > 0:
-                widths[column + span - 1] = widths.get(column + span - 1, 0) + lacking
-    used = sorted({c for own in placed for column, span, _ in own for c in range(column, column + span)})
+        for column, wide, lines in own:
+            if wide > 1:
+                held = sum(widths.get(c, 0) for c in range(column, column + wide)) + 2 * (wide - 1)
+                lacking = min(max(map(len, lines), default=0), CELL_WIDTH) - held
+                if lacking > 0:
+                    widths[column + wide - 1] = widths.get(column + wide - 1, 0) + lacking
+    used = sorted({c for own in placed for column, wide, _ in own for c in range(column, column + wide)})
     starts, at = {}, 0
     for c in used:
-        starts[c] = at
+        starts[c] = min(at, TABLE_WIDTH)
         at += widths.get(c, 0) + 2
     out = []
     for own in placed:
         for k in range(max((len(lines) for _, _, lines in own), default=0)):
-            line = ""
+            parts, size = [], 0
             for column, _, lines in own:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[column]) + lines[k]
-            out.append(line.rstrip())
+                    pad = max(starts[column] - size, 2 if size else 0)
+                    parts += [" " * pad, lines[k]]
+                    size += pad + len(lines[k])
+            out.append("".join(parts).rstrip())
     return out
 
 

@@ -106,3 +106,52 @@ def test_on_tables(spark):
     odd = spark.createDataFrame([(1, None), (None, "<p>x"), (1, None), (2, "")], "page_id bigint, html string")
     assert sorted(r.text for r in h.extract(odd).collect()) == ["", "", "", "x"]
     assert h.extract(odd.limit(0)).count() == 0
+
+
+def test_visibility_is_inherited_and_switched_on_again():
+    hide, show = "style='visibility:hidden'", "style='visibility:visible'"
+    assert h.render(f"<div {hide}>a<p {show}>SHOWN</p>b</div>") == "SHOWN"
+    assert h.render(f"<div {hide}><p>a<b {show}>x</b>c</p><div style='visibility:inherit'>d</div></div>e") == "x\n\ne"
+    assert h.render(f"<ul><li {hide}>a<i {show}>x</i><li>b</ul>") == "  x\n- b"
+    assert h.render(f"<table {hide}><tr><td>a<td {show}>x<tr {show}><td>y<td {hide}>z</table>") == "   x\ny"
+    assert h.render(f"<table><tr {hide}><td>a<td><b {show}>x</b></table>") == "  x"
+    assert h.render(f"<pre {hide}>a\n<b {show}>x</b></pre>") == "x"
+    assert h.render(f"<div style='display:none'><p {show}>x</p></div>a") == "a"
+    assert h.render("<svg visibility=hidden><text>x</text><text visibility=visible>y</text></svg>") == "y"
+
+
+def test_closed_widgets_and_fallbacks_are_left_out():
+    assert h.render("a<dialog>x</dialog>") == "a" and h.render("a<dialog open>x</dialog>") == "a\nx"
+    assert h.render("<details>x<summary>s</summary>y<summary>z</summary></details>") == "s"
+    assert h.render("<details open><summary>s</summary>y</details>") == "s\ny"
+    for tag in ("video", "audio", "canvas", "meter", "progress"):
+        assert h.render(f"a<{tag}>x<p>y</p></{tag}>b") == "ab", tag
+    assert h.render("<p hidden style='display:block'>x") == "x"
+
+
+def test_rows_reach_to_the_end_of_their_group():
+    page = "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>"
+    assert h.render(page) == "a  b\n   c\n   d\ne  f"
+    assert h.render("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a  b\nc  d"
+
+
+def test_wide_cells_are_wrapped_and_no_text_is_lost():
+    words = [f"w{i}" for i in range(40)]
+    got = h.render(f"<table><tr><td>{' '.join(words)}<td>x<tr><td>y<td>z</table>").split("\n")
+    assert got[-1].split() == ["y", "z"] and len(got[-1]) <= h.CELL_WIDTH + 3 and "x" in got[0]
+    assert " ".join(" ".join(got[:-1]).replace("  x", "").split()) == " ".join(words)
+    long = "v" * 20_000
+    page = f"<table><tr><td>{long}<td>q" + "<tr><td>1<td>2" * 2000 + "</table>"
+    assert len(h.render(page)) < 4 * len(page) and long in h.render(page)
+    draw = random.Random(2)
+    for _ in range(50):
+        line = " ".join("u" * draw.randint(1, 90) for _ in range(draw.randint(0, 30)))
+        pieces = h.wrapped(line)
+        assert " ".join(pieces) == line and all(len(p) <= h.CELL_WIDTH or " " not in p for p in pieces)
+
+
+def test_padding_is_bounded():
+    wide = "<table><tr>" + f"<td>{'x' * 60}" * 1000 + "<tr><td colspan=999><td>y" * 2000 + "</table>"
+    deep = "<ul><li>x" * 5000
+    for page in (wide, deep, "<table><tr><td>a<td>" * 2000 + "x"):
+        assert len(h.render(page)) < 20 * len(page)
