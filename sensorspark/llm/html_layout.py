@@ -366,12 +366,10 @@ def _write(root: Node, tables: int, seen: bool = True) -> list[str]:
         frame[2] += 1
         child = children[k]
         if isinstance(child, str):
-            if not seen:
-                out.parts.append(" ")
-            elif pre:
+            if pre and seen:
                 out.kept(child)
-            else:
-                out.parts.append(child)
+            elif not pre:
+                out.parts.append(child if seen else " ")
             continue
         own = shown(child, seen)
         if own is None:
