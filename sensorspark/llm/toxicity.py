@@ -1,18 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as characters, read by a small recurrent network in both directions, and as a word: a
-hashed embedding and two numbers that say how much more often the word and its beginnings stand in
-toxic than in other training documents.  A second network reads windows of ``WINDOW`` words in both
-directions, attention pools its states, and a logistic unit scores the window.  Every window of a
-text is scored (``STRIDE`` apart, half a window, so that every passage of up to half a window's words
-lies whole in one); a document's score is its worst window's.
-
-Training: labels hold for documents, so each round takes the worst windows of toxic documents as
-toxic, and the worst and some other windows of clean documents as clean.  The numbers of a training
-document come from the other half of the training documents.  At the end a logistic line turns worst
-windows into documents' odds.  At most ``SAMPLE_DOCS`` labelled
-documents of class 0 and 1, of at most ``SAMPLE_CHARS`` characters each, are learned from, drawn by a
-hash of the id; they are all that reaches the driver.  Scoring reads whole texts in Arrow batches.
+A word enters as characters, read by a small recurrent network in both directions, and as a word: the sum
+of learned, hashed embeddings of the word and its beginnings.  A second network reads windows of
+``WINDOW`` words in both directions, attention pools its states, and a logistic unit scores the window.
+Every window of a text is scored (``STRIDE`` apart, half a window, so that every passage of up to half a
+window's words lies whole in one); a document's score is its worst window's.
+
+Training: everything is learned by gradients from the two inputs; no counts of words enter.  Labels hold
+for documents, so the first round takes some windows of each document under its label, and later
+rounds the worst windows of toxic documents as toxic, and the worst and some other windows of clean
+documents as clean.  Characters or embedding of a word are hidden now and then, so that either can do
+without the other.  At the end a logistic line turns worst windows into documents' odds.  At most
+``SAMPLE_DOCS`` labelled documents of class 0 and 1, of at most ``SAMPLE_CHARS`` characters each, are
+learned from, drawn by a hash of the id; they are all that reaches the driver.  Scoring reads whole texts
+in Arrow batches.
 
 Defined results: a null or empty text has no window and scores zero; without labels, or with one class
 only, every text scores the smoothed share of label 1; words of more than ``WORD_CHARS``
@@ -24,8 +25,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,11 +42,14 @@ CUT = 0.3
 WINDOW, STRIDE = 48, 24
 WORD_CHARS = 24
 CHARS, CHAR_DIM, CHAR_HIDDEN = 64, 8, 8
-BUCKETS, WORD_DIM, HIDDEN = 4096, 8, 8
-ROUNDS, STEPS, BATCH, RATE = 3, 80, 96, 8e-3
-WORD_RATE = 1e-3
-# Share of words whose characters and embedding are hidden in a training step, and weight decay.
-HIDDEN_SHARE, DECAY = 0.5, 2e-3
+BUCKETS, WORD_DIM, HIDDEN = 16_384, 8, 8
+# Lengths of the beginnings that a word's embedding is the sum of, beside its own row.
+STARTS = (4, 6)
+# Training steps of each round, windows a step, windows of clean and toxic documents in the first round.
+STEPS, BATCH, FIRST = (400, 200, 200), 96, (4, 12)
+RATE, WORD_RATE, DECAY, FLOOR = 8e-3, 3e-2, 5e-4, 1e-4
+# Shares of words whose characters or embedding are hidden in a training step.
+HIDE_CHARS, HIDE_WORDS = 0.3, 0.3
 CACHE_WORDS = 150_000
 CHUNK = 1024
 SEED = 11
@@ -84,33 +88,13 @@ class CharTable(dict):
 _chars = CharTable()
 
 
-def marks(word: str) -> tuple[str, list[str]]:
-    """What the counts are kept for: the bare word and its beginnings."""
+@lru_cache(CACHE_WORDS)
+def parts_of(word: str) -> list[int]:
+    """Rows of the embedding that make up a word: the bare word and its beginnings; 0 fills up."""
     bare = word.strip(EDGE)
-    return bare, ["^" + bare[:k] for k in (3, 4, 5) if len(bare) >= k]
-
-
-def evidence(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Log odds of words and beginnings that stand out in toxic documents."""
-    counts = (Counter(), Counter())
-    for words, label in zip(docs, labels, strict=True):
-        seen = set()
-        for w in set(words):
-            bare, starts = marks(w)
-            seen.update([bare, *starts])
-        counts[int(label)].update(seen)
-    many = np.bincount(labels.astype(int), minlength=2)
-    out = {}
-    for mark, n in counts[1].items():
-        odds = math.log((n + 1) / (many[1] + 2)) - math.log((counts[0][mark] + 1) / (many[0] + 2))
-        if mark and n >= 3 and odds > 1.5:
-            out[mark] = min(odds, 6.0) / 3.0
-    return out
-
-
-def word_numbers(word: str, known: dict[str, float]) -> tuple[float, float]:
-    bare, starts = marks(word)
-    return known.get(bare, 0.0), max((known.get(s, 0.0) for s in starts), default=0.0)
+    parts = [bare, *("^" + bare[:k] for k in STARTS if len(bare) >= k)] if bare else []
+    rows = [1 + zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in parts]
+    return rows + [0] * (1 + len(STARTS) - len(rows))
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -129,42 +113,53 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def recur(gates: np.ndarray, mask: np.ndarray, u: np.ndarray, reverse: bool, trace: list | None = None) -> np.ndarray:
-    """States (T, B, H) of a gated recurrent layer whose inputs are already projected (T, B, 3H).
+    """States (T, H, B) of a gated recurrent layer whose inputs are already projected (T, 3H, B).
 
-    Where the mask (T, B, 1) is zero the state stays as it is.
+    Where the mask (T, B) is zero the state stays as it is.  The batch is the last axis, so that every gate is
+    one contiguous block.
     """
-    steps, batch, size = len(gates), gates.shape[1], u.shape[0]
-    out = np.empty((steps, batch, size), np.float32)
-    h = np.zeros((batch, size), np.float32)
-    for t in reversed(range(steps)) if reverse else range(steps):
-        own = h @ u
-        both = _sigmoid(gates[t, :, : 2 * size] + own[:, : 2 * size])
-        z, r = both[:, :size], both[:, size:]
-        inner = own[:, 2 * size :]
-        n = np.tanh(gates[t, :, 2 * size :] + r * inner)
-        new = h + mask[t] * (1 - z) * (n - h)
+    size, across = u.shape[0], np.ascontiguousarray(u.T)
+    out = np.empty((len(gates), size, gates.shape[2]), gates.dtype)
+    h = np.zeros(out.shape[1:], gates.dtype)
+    full = mask.all(1)
+    for t in reversed(range(len(gates))) if reverse else range(len(gates)):
+        own = across @ h
+        both = gates[t, : 2 * size] + own[: 2 * size]
+        both *= 0.5
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        z, r = both[:size], both[size:]
+        inner = own[2 * size :]
+        n = r * inner
+        n += gates[t, 2 * size :]
+        np.tanh(n, out=n)
+        move = n - h
+        move *= 1 - z
+        if not full[t]:
+            move *= mask[t]
         if trace is not None:
             trace.append((t, h, z, r, inner, n))
-        out[t] = h = new
+        h = np.add(h, move, out=out[t])
     return out
 
 
 def unroll(grad: np.ndarray, mask: np.ndarray, u: np.ndarray, trace: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of ``recur`` with respect to the projected inputs and to ``u``."""
     size = u.shape[0]
-    d_gates = np.zeros((*grad.shape[:2], 3 * size), np.float32)
+    d_gates = np.zeros((len(grad), 3 * size, grad.shape[2]), grad.dtype)
     d_u = np.zeros_like(u)
-    d_h = np.zeros(grad.shape[1:], np.float32)
+    d_h = np.zeros(grad.shape[1:], grad.dtype)
     for t, h, z, r, inner, n in reversed(trace):
         d_new = d_h + grad[t]
         m = mask[t]
         d_n = d_new * m * (1 - z) * (1 - n * n)
         d_z = -d_new * m * (n - h) * z * (1 - z)
         d_r = d_n * inner * r * (1 - r)
-        d_gates[t] = np.concatenate([d_z, d_r, d_n], 1)
-        d_own = np.concatenate([d_z, d_r, d_n * r], 1)
-        d_u += h.T @ d_own
-        d_h = d_new * (1 - m * (1 - z)) + d_own @ u.T
+        d_gates[t] = np.concatenate([d_z, d_r, d_n])
+        d_own = np.concatenate([d_z, d_r, d_n * r])
+        d_u += h @ d_own.T
+        d_h = d_new * (1 - m * (1 - z)) + u @ d_own
     return d_gates, d_u
 
 
@@ -174,15 +169,13 @@ def start_weights() -> dict[str, np.ndarray]:
     def normal(*shape: int, scale: float) -> np.ndarray:
         return (draw.standard_normal(shape) * scale).astype(np.float32)
 
-    inputs = 2 * CHAR_HIDDEN + WORD_DIM + 2
-    w = {"chars": normal(CHARS, CHAR_DIM, scale=0.5), "words": np.zeros((BUCKETS, WORD_DIM), np.float32)}
-    for name, size, hidden in (("c", CHAR_DIM, CHAR_HIDDEN), ("w", inputs, HIDDEN)):
+    w = {"chars": normal(CHARS, CHAR_DIM, scale=0.5), "words": normal(BUCKETS + 1, WORD_DIM, scale=0.01)}
+    w["words"][0] = 0
+    for name, size, hidden in (("c", CHAR_DIM, CHAR_HIDDEN), ("w", 2 * CHAR_HIDDEN + WORD_DIM, HIDDEN)):
         for way in "fb":
             w[f"{name}{way}_in"] = normal(size, 3 * hidden, scale=0.4)
             w[f"{name}{way}_u"] = normal(hidden, 3 * hidden, scale=0.3)
             w[f"{name}{way}_b"] = np.zeros(3 * hidden, np.float32)
-    for way in "fb":
-        w[f"w{way}_in"][-2:] *= 3
     w["att"] = normal(2 * HIDDEN, HIDDEN, scale=0.4)
     w["att_v"] = normal(HIDDEN, scale=0.4)
     w["out"] = normal(2 * HIDDEN, scale=0.4)
@@ -191,92 +184,111 @@ def start_weights() -> dict[str, np.ndarray]:
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes (T, B) and their mask (T, B, 1)."""
+    """Character classes (T, B) and their mask (T, B)."""
     width = max(map(len, words), default=1)
     flat = "".join([w.ljust(width, "\0") for w in words]).translate(_chars)
     codes = np.frombuffer(flat.encode("latin-1"), np.uint8).reshape(len(words), width).T.astype(np.int64)
-    return codes, (codes > 0).astype(np.float32)[:, :, None]
+    return codes, (codes > 0).astype(np.float32)
 
 
-def encode_words(w: dict, words: list[str], numbers: np.ndarray, trace: dict | None = None) -> np.ndarray:
-    """Input vectors of words: states after the last character each way, embedding, two numbers."""
-    codes, mask = spelled(words)
-    embedded = w["chars"][codes]
-    ends = []
-    for way, reverse in (("f", False), ("b", True)):
-        steps = [] if trace is not None else None
-        states = recur(embedded @ w[f"c{way}_in"] + w[f"c{way}_b"], mask, w[f"c{way}_u"], reverse, steps)
-        ends.append(states[0] if reverse else states[-1])
+def encode_words(w: dict, words: list[str], trace: list | None = None) -> np.ndarray:
+    """Input vectors of words (B, D): states after the last character each way, and the embedding.
+
+    Words of about one length are read together.
+    """
+    parts = np.array([parts_of(x) for x in words], np.int64)
+    ends = np.empty((len(words), 2 * CHAR_HIDDEN), w["chars"].dtype)
+    projected = [w["chars"] @ w[f"c{way}_in"] + w[f"c{way}_b"] for way in "fb"]
+    sizes = np.array([-(-len(x) // 3) for x in words])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        codes, mask = spelled([words[k] for k in own])
+        steps: list[list | None] = [None if trace is None else [] for _ in "fb"]
+        for k, way in enumerate("fb"):
+            gates = np.ascontiguousarray(projected[k][codes].transpose(0, 2, 1))
+            states = recur(gates, mask, w[f"c{way}_u"], way == "b", steps[k])
+            ends[own, k * CHAR_HIDDEN : (k + 1) * CHAR_HIDDEN] = states[0 if way == "b" else -1].T
         if trace is not None:
-            trace[f"c{way}"] = steps
-    buckets = np.array([zlib.crc32(x.strip(EDGE).encode("utf-8", "replace")) % BUCKETS for x in words], np.int64)
-    if trace is not None:
-        trace.update(codes=codes, char_mask=mask, embedded=embedded, buckets=buckets)
-    return np.concatenate([*ends, w["words"][buckets], numbers], 1, dtype=np.float32)
+            trace.append((own, codes, mask, steps))
+    return np.concatenate([ends, w["words"][parts].sum(1)], 1)
 
 
 def attend(w: dict, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden attention layer, weights (T, B, 1) and pooled states (B, 2H)."""
-    hidden = np.tanh(states @ w["att"])
-    raw = (hidden @ w["att_v"])[:, :, None]
-    raw = np.exp(np.minimum(raw, 30)) * mask
-    weights = raw / np.maximum(raw.sum(0, keepdims=True), 1e-12)
-    return hidden, weights, (weights * states).sum(0)
+    """Hidden attention layer (T, H, B), weights (T, B) and pooled states (2H, B)."""
+    hidden = np.tanh(w["att"].T @ states)
+    raw = np.exp(np.minimum(np.tensordot(hidden, w["att_v"], (1, 0)), 30)) * mask
+    weights = raw / np.maximum(raw.sum(0), 1e-12)
+    return hidden, weights, np.einsum("tb,thb->hb", weights, states)
 
 
 def _product(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sum over steps and rows of the outer products."""
-    return x.reshape(-1, x.shape[-1]).T @ d.reshape(-1, d.shape[-1])
+    """Sum over steps and rows of the outer products of (T, I, B) and (T, J, B)."""
+    return np.matmul(x, d.transpose(0, 2, 1)).sum(0)
 
 
-def gradients(w: dict, index: np.ndarray, mask: np.ndarray, words: list[str], numbers: np.ndarray, y: np.ndarray, count=1.0, shown=1.0):
+def gradients(w: dict, index: np.ndarray, mask: np.ndarray, words: list[str], y: np.ndarray, count=1.0, shown=None):
     """Loss and gradients for windows given as word indexes (T, B), each counted ``count`` times.
 
-    ``shown`` is zero for words of which only the numbers are to be seen.
+    ``shown`` (B, 2) says of which words the characters and the embedding are to be seen.
     """
-    trace: dict = {}
-    vectors = encode_words(w, words, numbers, trace)
-    vectors[:, :-2] *= shown
-    x = vectors[index]
+    trace: list = []
+    vectors = encode_words(w, words, trace)
+    seen = np.ones_like(vectors)
+    if shown is not None:
+        seen[:, : 2 * CHAR_HIDDEN], seen[:, 2 * CHAR_HIDDEN :] = shown[:, :1], shown[:, 1:]
+    vectors *= seen
+    x = vectors[index].transpose(0, 2, 1)
     ways, halves = {}, []
     for way, reverse in (("f", False), ("b", True)):
         ways[way] = []
-        halves.append(recur(x @ w[f"w{way}_in"] + w[f"w{way}_b"], mask, w[f"w{way}_u"], reverse, ways[way]))
-    states = np.concatenate(halves, 2)
+        gates = w[f"w{way}_in"].T @ x + w[f"w{way}_b"][:, None]
+        halves.append(recur(gates, mask, w[f"w{way}_u"], reverse, ways[way]))
+    states = np.concatenate(halves, 1)
     hidden, weights, pooled = attend(w, states, mask)
-    p = _sigmoid(pooled @ w["out"] + w["out_b"])
+    p = _sigmoid(w["out"] @ pooled + w["out_b"])
     g: dict[str, np.ndarray] = {}
-    d_logit = (count * (p - y) / len(y)).astype(np.float32)
-    g["out"], g["out_b"] = pooled.T @ d_logit, d_logit.sum(keepdims=True)
-    d_pooled = d_logit[:, None] * w["out"]
-    d_weights = (d_pooled[None] * states).sum(2, keepdims=True)
-    d_raw = weights * (d_weights - (weights * d_weights).sum(0, keepdims=True))
-    g["att_v"] = np.einsum("tbh,tb->h", hidden, d_raw[:, :, 0])
-    d_hidden = d_raw * w["att_v"] * (1 - hidden**2)
+    d_logit = (count * (p - y) / len(y)).astype(vectors.dtype)
+    g["out"], g["out_b"] = pooled @ d_logit, d_logit.sum(keepdims=True)
+    d_pooled = w["out"][:, None] * d_logit
+    d_weights = np.einsum("hb,thb->tb", d_pooled, states)
+    d_raw = weights * (d_weights - (weights * d_weights).sum(0))
+    g["att_v"] = np.einsum("thb,tb->h", hidden, d_raw)
+    d_hidden = d_raw[:, None] * w["att_v"][:, None] * (1 - hidden**2)
     g["att"] = _product(states, d_hidden)
-    d_states = weights * d_pooled[None] + d_hidden @ w["att"].T
+    d_states = weights[:, None] * d_pooled + w["att"] @ d_hidden
     d_x = np.zeros_like(x)
     for k, way in enumerate("fb"):
-        own = d_states[:, :, k * HIDDEN : (k + 1) * HIDDEN]
+        own = d_states[:, k * HIDDEN : (k + 1) * HIDDEN]
         d_gates, g[f"w{way}_u"] = unroll(own, mask, w[f"w{way}_u"], ways[way])
         g[f"w{way}_in"] = _product(x, d_gates)
-        g[f"w{way}_b"] = d_gates.sum((0, 1))
-        d_x += d_gates @ w[f"w{way}_in"].T
+        g[f"w{way}_b"] = d_gates.sum((0, 2))
+        d_x += w[f"w{way}_in"] @ d_gates
+    # Each word's share over all places where it stands.
+    order = np.argsort(index, axis=None, kind="stable")
+    flat = d_x.transpose(0, 2, 1).reshape(-1, d_x.shape[1])[order]
+    at = index.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     d_vectors = np.zeros_like(vectors)
-    np.add.at(d_vectors, index.ravel(), d_x.reshape(-1, d_x.shape[2]))
-    d_vectors[:, :-2] *= shown
+    d_vectors[at[first]] = np.add.reduceat(flat, first)
+    d_vectors *= seen
     g["words"] = np.zeros_like(w["words"])
-    np.add.at(g["words"], trace["buckets"], d_vectors[:, 2 * CHAR_HIDDEN : 2 * CHAR_HIDDEN + WORD_DIM])
-    d_embedded = np.zeros_like(trace["embedded"])
-    for k, way in enumerate("fb"):
-        grad = np.zeros((*trace["codes"].shape, CHAR_HIDDEN), np.float32)
-        grad[0 if way == "b" else -1] = d_vectors[:, k * CHAR_HIDDEN : (k + 1) * CHAR_HIDDEN]
-        d_gates, g[f"c{way}_u"] = unroll(grad, trace["char_mask"], w[f"c{way}_u"], trace[f"c{way}"])
-        g[f"c{way}_in"] = _product(trace["embedded"], d_gates)
-        g[f"c{way}_b"] = d_gates.sum((0, 1))
-        d_embedded += d_gates @ w[f"c{way}_in"].T
+    np.add.at(g["words"], np.array([parts_of(x) for x in words]), d_vectors[:, None, 2 * CHAR_HIDDEN :])
+    g["words"][0] = 0
     g["chars"] = np.zeros_like(w["chars"])
-    np.add.at(g["chars"], trace["codes"].ravel(), (d_embedded * trace["char_mask"]).reshape(-1, CHAR_DIM))
+    for k, way in enumerate("fb"):
+        g[f"c{way}_u"] = np.zeros_like(w[f"c{way}_u"])
+        # What reaches each character's projection, whatever its place.
+        by_char = np.zeros((CHARS, 3 * CHAR_HIDDEN), vectors.dtype)
+        for own, codes, char_mask, steps in trace:
+            grad = np.zeros((len(codes), CHAR_HIDDEN, len(own)), vectors.dtype)
+            grad[0 if way == "b" else -1] = d_vectors[own, k * CHAR_HIDDEN : (k + 1) * CHAR_HIDDEN].T
+            d_gates, d_u = unroll(grad, char_mask, w[f"c{way}_u"], steps[k])
+            g[f"c{way}_u"] += d_u
+            flat = (d_gates * char_mask[:, None]).transpose(1, 0, 2).reshape(3 * CHAR_HIDDEN, -1)
+            by_char += np.stack([np.bincount(codes.reshape(-1), row, CHARS) for row in flat], 1).astype(vectors.dtype)
+        g[f"c{way}_in"] = w["chars"].T @ by_char
+        g[f"c{way}_b"] = by_char.sum(0)
+        g["chars"] += by_char @ w[f"c{way}_in"].T
     loss = -np.mean(count * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)))
     return float(loss), g
 
@@ -296,12 +308,10 @@ def calibration(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Weights and counts, ready to score texts; ``share`` stands in where nothing was learned."""
+    """Weights, ready to score texts; ``share`` stands in where nothing was learned."""
 
-    def __init__(
-        self, weights: dict | None, known: dict[str, float], share: float, line: tuple[float, float] = (1.0, 0.0)
-    ):
-        self.weights, self.known, self.share, self.line = weights, known, share, line
+    def __init__(self, weights: dict | None, share: float, line: tuple[float, float] = (1.0, 0.0)):
+        self.weights, self.share, self.line = weights, share, line
         self._forget()
 
     def _forget(self) -> None:
@@ -309,7 +319,7 @@ class Model:
         self.inputs = np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "known": self.known, "share": self.share, "line": self.line}
+        return {"weights": self.weights, "share": self.share, "line": self.line}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -324,41 +334,35 @@ class Model:
         w = self.weights
         into = np.concatenate([w["wf_in"], w["wb_in"]], 1)
         bias = np.concatenate([w["wf_b"], w["wb_b"]])
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            numbers = np.array([word_numbers(x, self.known) for x in part], np.float32)
+        for at in range(0, len(fresh), CHUNK):
+            part = fresh[at : at + CHUNK]
             first = len(self.index) + 1
-            self.inputs[first : first + len(part)] = encode_words(w, part, numbers) @ into + bias
+            self.inputs[first : first + len(part)] = encode_words(w, part) @ into + bias
             self.index.update(zip(part, range(first, first + len(part)), strict=True))
 
     def window_scores(self, docs: list[list[str]]) -> list[np.ndarray]:
         """The scores of every window of each document."""
         self._learn_words({x for words in docs for x in words})
-        rows, owner = [], []
-        for d, words in enumerate(docs):
+        counts = [len(windows_of(len(words))) for words in docs]
+        rows: list[np.ndarray] = []
+        for words in docs:
             ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            for start, stop in windows_of(len(words)):
-                rows.append(ids[start:stop])
-                owner.append(d)
+            rows += [ids[start:stop] for start, stop in windows_of(len(words))]
         w, scores = self.weights, np.zeros(len(rows), np.float32)
+        order = np.argsort([len(ids) for ids in rows], kind="stable")
         for at in range(0, len(rows), CHUNK):
-            part = rows[at : at + CHUNK]
-            index = np.zeros((max(map(len, part)), len(part)), np.int64)
-            for j, ids in enumerate(part):
-                index[: len(ids), j] = ids
-            mask = (index > 0).astype(np.float32)[:, :, None]
-            gates = self.inputs[index]
-            states = np.concatenate(
-                [
-                    recur(gates[:, :, : 3 * HIDDEN], mask, w["wf_u"], False),
-                    recur(gates[:, :, 3 * HIDDEN :], mask, w["wb_u"], True),
-                ],
-                2,
-            )
-            pooled = attend(w, states, mask)[2]
-            logits = pooled @ w["out"] + w["out_b"]
-            scores[at : at + len(part)] = _sigmoid(self.line[0] * logits + self.line[1])
-        return np.split(scores, np.searchsorted(owner, np.arange(1, len(docs)))) if docs else []
+            part = order[at : at + CHUNK]
+            index = np.zeros((max(len(rows[k]) for k in part), len(part)), np.int64)
+            for j, k in enumerate(part):
+                index[: len(rows[k]), j] = rows[k]
+            mask = (index > 0).astype(np.float32)
+            gates = np.ascontiguousarray(self.inputs[index].transpose(0, 2, 1))
+            forth = recur(gates[:, : 3 * HIDDEN], mask, w["wf_u"], False)
+            back = recur(gates[:, 3 * HIDDEN :], mask, w["wb_u"], True)
+            pooled = attend(w, np.concatenate([forth, back], 1), mask)[2]
+            logits = w["out"] @ pooled + w["out_b"]
+            scores[part] = _sigmoid(self.line[0] * logits + self.line[1])
+        return np.split(scores, np.cumsum(counts)[:-1]) if docs else []
 
     def score(self, texts: list[str]) -> list[float]:
         if self.weights is None:
@@ -381,80 +385,60 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     ones = int(labels.sum())
     share = (ones + 1) / (len(labels) + 2)
     if ones in (0, len(labels)):
-        return Model(None, {}, share)
+        return Model(None, share)
     draw = np.random.default_rng(SEED)
     docs = [words_of(t) for t in texts]
-    half = draw.permutation(len(docs)) % 2
-    # Counts that a training document sees come from the other half.
-    seen = [evidence([d for d, h in zip(docs, half, strict=True) if h != k], labels[half != k]) for k in (0, 1)]
-    final = evidence(docs, labels)
     spans = [windows_of(len(d)) for d in docs]
+    full = [d for d in range(len(docs)) if spans[d]]
     weights = start_weights()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    # The first windows are chosen by the counts alone.
-    ranks = [
-        np.array([max((sum(word_numbers(x, seen[half[d]])) for x in docs[d][a:b]), default=0.0) for a, b in spans[d]])
-        for d in range(len(docs))
-    ]
-
-    def ranked() -> list[np.ndarray]:
-        out: list = [None] * len(docs)
-        for k in (0, 1):
-            own = np.flatnonzero(half == k)
-            for d, s in zip(own, Model(weights, seen[k], share).window_scores([docs[d] for d in own]), strict=True):
-                out[d] = s
-        return out
-
     step = 0
-    for turn in range(ROUNDS):
-        if turn:
-            ranks = ranked()
-        chosen = []
-        for d, rank in enumerate(ranks):
-            if not len(rank):
+    for turn, steps in enumerate(STEPS):
+        # Nothing is known of windows at first: some of every document, those of toxic ones as toxic.
+        ranks = Model(weights, share).window_scores([docs[d] for d in full]) if turn else None
+        chosen: list[tuple[int, int, float]] = []
+        for at, d in enumerate(full):
+            any_of = draw.permutation(len(spans[d]))
+            if ranks is None:
+                chosen += [(d, int(k), float(labels[d])) for k in any_of[: FIRST[int(labels[d])]]]
                 continue
-            order = np.argsort(-rank, kind="stable")
+            order = np.argsort(-ranks[at], kind="stable")
             if labels[d]:
-                top = [k for k in order[:3] if rank[k] > 0.6 * rank[order[0]]]
-                chosen += [(d, k, 1.0) for k in top]
+                chosen += [(d, int(k), 1.0) for k in order[:3] if ranks[at][k] > 0.6 * ranks[at][order[0]]]
             else:
-                other = draw.choice(len(rank), 1, replace=False)
-                chosen += [(d, k, 0.0) for k in {*order[:2].tolist(), *other.tolist()}]
+                chosen += [(d, int(k), 0.0) for k in {*order[:2].tolist(), *any_of[:1].tolist()}]
         toxic = sum(y for _, _, y in chosen)
         boost = min(max((len(chosen) - toxic) / max(toxic, 1.0), 1.0), 10.0)
-        for _ in range(-(-STEPS * BATCH // len(chosen))):
-            for at in range(0, len(chosen), BATCH):
-                if at == 0:
-                    draw.shuffle(chosen)
-                part = chosen[at : at + BATCH]
-                number: dict[tuple[str, int], int] = {}
-                index = np.zeros((WINDOW, len(part)), np.int64)
-                mask = np.zeros((WINDOW, len(part), 1), np.float32)
-                for j, (d, k, _) in enumerate(part):
-                    a, b = spans[int(d)][int(k)]
-                    own = docs[int(d)][a:b]
-                    index[: b - a, j] = [number.setdefault((x, half[int(d)]), len(number)) for x in own]
-                    mask[: b - a, j] = 1
-                words = [x for x, _ in number]
-                numbers = np.array([word_numbers(x, seen[h]) for x, h in number], np.float32)
-                y = np.array([float(p[2]) for p in part], np.float32)
-                # The first round learns what the numbers alone can tell.
-                hidden = HIDDEN_SHARE if turn else 1.0
-                shown = (draw.random((len(words), 1)) >= hidden).astype(np.float32)
-                _, grads = gradients(weights, index, mask, words, numbers, y, np.where(y > 0, boost, 1.0), shown)
-                size = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                step += 1
-                for k, g in grads.items():
-                    g = g * min(1.0, 1.0 / (size + 1e-9))
-                    m, v = moments[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    weights[k] *= 1 - DECAY
-                    weights[k] -= (WORD_RATE if k == "words" else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    ranks = ranked()
-    full = [d for d in range(len(docs)) if len(ranks[d])]
-    worst = np.array([ranks[d].max() for d in full], float).clip(1e-6, 1 - 1e-6)
-    return Model(weights, final, share, calibration(np.log(worst / (1 - worst)), labels[full]))
+        for number_of in range(steps):
+            at = number_of * BATCH % len(chosen)
+            if at < BATCH:
+                draw.shuffle(chosen)
+            part = chosen[at : at + BATCH]
+            number: dict[str, int] = {}
+            index = np.zeros((WINDOW, len(part)), np.int64)
+            mask = np.zeros((WINDOW, len(part)), np.float32)
+            for j, (d, k, _) in enumerate(part):
+                a, b = spans[d][k]
+                index[: b - a, j] = [number.setdefault(x, len(number)) for x in docs[d][a:b]]
+                mask[: b - a, j] = 1
+            y = np.array([p[2] for p in part], np.float32)
+            # Either input of a word is hidden now and then, never both, so that each learns to do without the other.
+            hidden = draw.random((len(number), 1))
+            shown = np.concatenate([hidden >= HIDE_CHARS, hidden < 1 - HIDE_WORDS], 1).astype(np.float32)
+            _, grads = gradients(weights, index, mask, list(number), y, np.where(y > 0, boost, 1.0), shown)
+            size = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            step += 1
+            for k, g in grads.items():
+                g = g * min(1.0, 1.0 / (size + 1e-9))
+                m, v = moments[k]
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                weights[k] *= 1 - DECAY
+                rate = WORD_RATE if k == "words" else RATE
+                weights[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + FLOOR)
+    ranks = Model(weights, share).window_scores([docs[d] for d in full])
+    worst = np.array([r.max() for r in ranks], float).clip(1e-6, 1 - 1e-6)
+    return Model(weights, share, calibration(np.log(worst / (1 - worst)), labels[full]))
 
 
 # --- on Spark ------------------------------------------------------------------------------------

@@ -10,10 +10,11 @@ from sensorspark.llm import toxicity as t
 def test_gradients_equal_differences():
     w = {k: v.astype(float) for k, v in t.start_weights().items()}
     draw = np.random.default_rng(0)
-    index, mask = draw.integers(0, 4, (5, 3)), np.ones((5, 3, 1))
+    w["words"][1:] += draw.normal(0, 0.5, w["words"][1:].shape)
+    index, mask = draw.integers(0, 4, (5, 3)), np.ones((5, 3))
     mask[3:, 1] = 0
-    shown = np.array([[1.0], [0.0], [1.0], [1.0]])
-    args = (index, mask, ["idiot", "the", "lowei,", "x"], draw.random((4, 2)), np.array([1.0, 0, 1]), 2.0, shown)
+    shown = np.array([[1.0, 1.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    args = (index, mask, ["idiot", "the", "lowei,", "x"], np.array([1.0, 0, 1]), 2.0, shown)
     _, grads = t.gradients(w, *args)
     for name, g in grads.items():
         flat, j = w[name].reshape(-1), int(np.argmax(np.abs(g)))
@@ -67,6 +68,61 @@ def test_learns_words_and_their_beginnings(model):
     assert model.score([long + " grobianisch " + long])[0] > 10 * model.score([long])[0]
 
 
+def ranking(model, texts, y):
+    """Share of pairs of a toxic and a clean text that are scored in the right order."""
+    s = np.array(model.score(texts))
+    return np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+
+
+def without(model, *names):
+    weights = model.weights | {name: np.zeros_like(model.weights[name]) for name in names}
+    return t.Model(weights, model.share, model.line)
+
+
+def test_both_inputs_carry_the_score(model):
+    texts, y = corpus(200, 2)
+    assert ranking(model, texts, y) > 0.95
+    assert ranking(without(model, "chars"), texts, y) > 0.9
+    assert ranking(without(model, "words"), texts, y) > 0.8
+    # With neither, only the numbers of words and characters are left.
+    assert ranking(without(model, "words", "chars"), texts, y) < 0.75
+
+
+def plain_score(model, words):
+    """A window's score word by word and letter by letter."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+
+    def walk(inputs, way, size):
+        h, states = np.zeros(size), []
+        for x in inputs:
+            own, into = h @ w[way + "_u"], x @ w[way + "_in"] + w[way + "_b"]
+            z, r = (1 / (1 + np.exp(-(into + own)[k * size : (k + 1) * size])) for k in (0, 1))
+            n = np.tanh(into[2 * size :] + r * own[2 * size :])
+            h = z * h + (1 - z) * n
+            states.append(h)
+        return states
+
+    vectors = []
+    for word in words:
+        letters = [w["chars"][t.char_class(c)] for c in word]
+        own = sum(w["words"][k] for k in t.parts_of(word))
+        forth, back = walk(letters, "cf", t.CHAR_HIDDEN)[-1], walk(letters[::-1], "cb", t.CHAR_HIDDEN)[-1]
+        vectors.append(np.concatenate([forth, back, own]))
+    both = zip(walk(vectors, "wf", t.HIDDEN), walk(vectors[::-1], "wb", t.HIDDEN)[::-1])
+    states = [np.concatenate(pair) for pair in both]
+    raw = np.exp([np.tanh(x @ w["att"]) @ w["att_v"] for x in states])
+    logit = sum(a * x for a, x in zip(raw / raw.sum(), states)) @ w["out"] + w["out_b"][0]
+    return 1 / (1 + np.exp(-(model.line[0] * logit + model.line[1])))
+
+
+def test_scores_equal_plain_recomputation(model):
+    texts = [*corpus(12, 5)[0], "one", "two (words)", "größe 12 x" * 30]
+    docs = [t.words_of(x) for x in texts]
+    for words, got in zip(docs, model.window_scores(docs), strict=True):
+        want = [plain_score(model, words[a:b]) for a, b in t.windows_of(len(words))]
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_scores_do_not_depend_on_company(model):
     texts, _ = corpus(40, 3)
     together = model.score(texts)
