@@ -24,9 +24,8 @@ from; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -53,6 +52,7 @@ HIDE_CHARS, HIDE_WORDS = 0.3, 0.3
 CACHE_WORDS = 150_000
 CHUNK = 1024
 SEED = 11
+BEGINS = crc32(b"^")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -88,13 +88,17 @@ class CharTable(dict):
 _chars = CharTable()
 
 
-@lru_cache(CACHE_WORDS)
-def parts_of(word: str) -> list[int]:
-    """Rows of the embedding that make up a word: the bare word and its beginnings; 0 fills up."""
-    bare = word.strip(EDGE)
-    parts = [bare, *("^" + bare[:k] for k in STARTS if len(bare) >= k)] if bare else []
-    rows = [1 + zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in parts]
-    return rows + [0] * (1 + len(STARTS) - len(rows))
+def parts_of(words: list[str]) -> np.ndarray:
+    """Rows of the embedding that make up each word: the bare word and its beginnings; 0 fills up."""
+    rows = np.zeros((len(words), 1 + len(STARTS)), np.int64)
+    for row, word in enumerate(words):
+        bare = word.strip(EDGE)
+        if bare:
+            rows[row, 0] = 1 + crc32(bare.encode("utf-8", "replace")) % BUCKETS
+            for j, k in enumerate(STARTS, 1):
+                if len(bare) >= k:
+                    rows[row, j] = 1 + crc32(bare[:k].encode("utf-8", "replace"), BEGINS) % BUCKETS
+    return rows
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -196,7 +200,7 @@ def encode_words(w: dict, words: list[str], trace: list | None = None) -> np.nda
 
     Words of about one length are read together.
     """
-    parts = np.array([parts_of(x) for x in words], np.int64)
+    parts = parts_of(words)
     ends = np.empty((len(words), 2 * CHAR_HIDDEN), w["chars"].dtype)
     projected = [w["chars"] @ w[f"c{way}_in"] + w[f"c{way}_b"] for way in "fb"]
     sizes = np.array([-(-len(x) // 3) for x in words])
@@ -272,7 +276,7 @@ def gradients(w: dict, index: np.ndarray, mask: np.ndarray, words: list[str], y:
     d_vectors[at[first]] = np.add.reduceat(flat, first)
     d_vectors *= seen
     g["words"] = np.zeros_like(w["words"])
-    np.add.at(g["words"], np.array([parts_of(x) for x in words]), d_vectors[:, None, 2 * CHAR_HIDDEN :])
+    np.add.at(g["words"], parts_of(words), d_vectors[:, None, 2 * CHAR_HIDDEN :])
     g["words"][0] = 0
     g["chars"] = np.zeros_like(w["chars"])
     for k, way in enumerate("fb"):
@@ -343,18 +347,18 @@ class Model:
     def window_scores(self, docs: list[list[str]]) -> list[np.ndarray]:
         """The scores of every window of each document."""
         self._learn_words({x for words in docs for x in words})
-        counts = [len(windows_of(len(words))) for words in docs]
-        rows: list[np.ndarray] = []
-        for words in docs:
-            ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            rows += [ids[start:stop] for start, stop in windows_of(len(words))]
-        w, scores = self.weights, np.zeros(len(rows), np.float32)
-        order = np.argsort([len(ids) for ids in rows], kind="stable")
-        for at in range(0, len(rows), CHUNK):
+        spans = [windows_of(len(words)) for words in docs]
+        flat = np.fromiter((self.index[x] for words in docs for x in words), np.int64)
+        firsts = np.cumsum([0, *map(len, docs)])
+        starts = np.array([a + first for own, first in zip(spans, firsts) for a, _ in own], np.int64)
+        sizes = np.array([b - a for own in spans for a, b in own], np.int64)
+        w, scores = self.weights, np.zeros(len(starts), np.float32)
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), CHUNK):
             part = order[at : at + CHUNK]
-            index = np.zeros((max(len(rows[k]) for k in part), len(part)), np.int64)
-            for j, k in enumerate(part):
-                index[: len(rows[k]), j] = rows[k]
+            places = np.arange(sizes[part].max())[:, None]
+            index = flat[np.minimum(starts[part] + places, len(flat) - 1)]
+            index[places >= sizes[part]] = 0
             mask = (index > 0).astype(np.float32)
             gates = np.ascontiguousarray(self.inputs[index].transpose(0, 2, 1))
             forth = recur(gates[:, : 3 * HIDDEN], mask, w["wf_u"], False)
@@ -362,7 +366,7 @@ class Model:
             pooled = attend(w, np.concatenate([forth, back], 1), mask)[2]
             logits = w["out"] @ pooled + w["out_b"]
             scores[part] = _sigmoid(self.line[0] * logits + self.line[1])
-        return np.split(scores, np.cumsum(counts)[:-1]) if docs else []
+        return np.split(scores, np.cumsum([len(own) for own in spans])[:-1]) if docs else []
 
     def score(self, texts: list[str]) -> list[float]:
         if self.weights is None:

@@ -88,6 +88,15 @@ def test_both_inputs_carry_the_score(model):
     assert ranking(without(model, "words", "chars"), texts, y) < 0.75
 
 
+def test_parts_depend_on_the_word_alone():
+    words = ["grobian", "(grobiane,", "gro", "x", "--", "größe", "v" * t.WORD_CHARS, "grob"]
+    together = t.parts_of(words)
+    assert all((t.parts_of([w])[0] == row).all() for w, row in zip(words, together))
+    assert (together[0][1:] == together[1][1:]).all() and together[0][0] != together[1][0]
+    assert (together[4] == 0).all() and (together[2][1:] == 0).all() and together[7][1] == together[0][1]
+    assert t.parts_of([]).shape == (0, 1 + len(t.STARTS))
+
+
 def plain_score(model, words):
     """A window's score word by word and letter by letter."""
     w = {k: v.astype(float) for k, v in model.weights.items()}
@@ -105,7 +114,7 @@ def plain_score(model, words):
     vectors = []
     for word in words:
         letters = [w["chars"][t.char_class(c)] for c in word]
-        own = sum(w["words"][k] for k in t.parts_of(word))
+        own = sum(w["words"][k] for k in t.parts_of([word])[0])
         forth, back = walk(letters, "cf", t.CHAR_HIDDEN)[-1], walk(letters[::-1], "cb", t.CHAR_HIDDEN)[-1]
         vectors.append(np.concatenate([forth, back, own]))
     both = zip(walk(vectors, "wf", t.HIDDEN), walk(vectors[::-1], "wb", t.HIDDEN)[::-1])
