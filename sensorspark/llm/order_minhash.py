@@ -20,6 +20,8 @@ texts with a passage in common that are not alike.  Their shingles are ordered b
 such texts; a link needs a common shingle among the rarest of both, as many as may differ and one
 more (prefix filter), so that equal rare shingles are the buckets that replace the rest without
 losing a promised link.  A text whose own shingles outnumber what may differ is done without a comparison.
+The most frequent shingles, of which a common passage is made, come last in that order: every task has
+their list, and a text gives away no more of them than its rarer ones leave room for.
 
 Defined results: texts without words (null counts as empty) are alike only if byte-identical; texts
 of fewer than five words are one shingle; a class is named by its smallest ``doc_id``, null if none
@@ -28,6 +30,7 @@ of its rows has one; repeated rows are copies of each other; an empty table give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +57,8 @@ SEED = 20_240_601
 # Shingles hashed at a time, which bounds a worker's memory on very long texts.
 BLOCK = 1 << 15
 WORD_CACHE = 200_000
+# Frequent shingles that every task may be handed: 8 bytes each.
+FREQUENT = 200_000
 # Rows of (digest, id) that may be broadcast: about 60 bytes each.
 SMALL_ROWS = 200_000
 
@@ -333,28 +338,77 @@ def _searched(
         state = opened.select("key", "v", "n", (F.col("used") | F.col("lead")).alias("used"))
 
 
+def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingles that several texts of a batch hold, and how many do."""
+    for batch in batches:
+        keys, texts = np.unique(np.concatenate([np.empty(0, np.int64), *batch["codes"]]), return_counts=True)
+        several = texts > 1
+        yield pd.DataFrame({"key": keys[several], "texts": texts[several]})
+
+
+def frequent_shingles(whole: DataFrame) -> np.ndarray:
+    """Shingles that more than ``FEW`` texts of (v, codes) hold, the rarest first, ``FREQUENT`` at most.
+
+    They are counted where several texts of one batch hold them.  That misses some texts and some
+    shingles, which costs time and no link: any order common to all texts will do.
+    """
+    counted = whole.select("codes").mapInPandas(repeated, "key bigint, texts bigint")
+    held = materialize(counted.groupBy("key").agg(F.sum("texts").alias("texts")), "repeated-shingles")
+    least = FEW
+    while held.where(F.col("texts") > least).limit(FREQUENT + 1).count() > FREQUENT:
+        least *= 2
+    got = held.where(F.col("texts") > least).toPandas()
+    return got.sort_values(["texts", "key"])["key"].to_numpy(np.int64)
+
+
+def parted(frequent: np.ndarray):
+    """Parts numbered shingles into those not ``frequent`` and the first ``frequent`` ones in need.
+
+    Rarer shingles come first, so that frequent ones fill only what these leave of as many as may
+    differ and one more.
+    """
+    order = np.argsort(frequent)
+    ranked = frequent[order]
+
+    def part(codes: pd.Series) -> pd.DataFrame:
+        rare, common = [], []
+        for c in codes:
+            at = np.searchsorted(ranked, c)
+            known = at < np.searchsorted(ranked, c, "right")
+            rare.append(c[~known])
+            room = max(may_differ(len(c)) + 1 - len(rare[-1]), 0)
+            common.append(frequent[np.sort(order[at[known]])[:room]])
+        return pd.DataFrame({"rare": rare, "frequent": common})
+
+    return F.pandas_udf(part, "rare array<bigint>, frequent array<bigint>")
+
+
 def rare_buckets(texts: DataFrame) -> DataFrame:
     """(key, v, n): the shingles of each (v, text) that a text alike to it has to share one of.
 
-    Numbered shingles are ordered by the number of texts that hold them, then by hash.  Two alike
-    texts lack at most ``may_differ`` of each other's shingles, hence share one of so many and one
-    more of their first ones.  Shingles of one text only come first and need no row.
+    Numbered shingles are ordered by the number of texts that hold them, then by hash, the frequent
+    ones last.  Two alike texts lack at most ``may_differ`` of each other's shingles, hence share one
+    of so many and one more of their first ones.  Shingles of one text only come first and need no row.
     """
     coded = F.pandas_udf(numbered, "array<bigint>")
     whole = materialize(texts.select("v", coded("text").alias("codes")), "rest-shingles")
-    held = whole.select("v", F.size("codes").cast("long").alias("n"), F.explode("codes").alias("key"))
-    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    part = parted(frequent_shingles(whole))
+    parts = materialize(
+        whole.select("v", F.size("codes").cast("long").alias("n"), part("codes").alias("part")).select("v", "n", "part.*"),
+        "rest-parts",
+    )
+    held = parts.select("v", "n", F.size("rare").alias("n_rare"), F.explode("rare").alias("key"))
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     of_text = Window.partitionBy("v")
-    needed = F.col("n") - F.floor((1 - SIMILARITY) * F.col("n") + 1e-9)
-    return materialize(
-        held.join(common, "key")
-        .withColumn("shared", F.count(F.lit(1)).over(of_text))
-        .where(F.col("shared") >= needed)
+    rare = (
+        held.join(shared, "key")
+        .withColumn("own", F.col("n_rare") - F.count(F.lit(1)).over(of_text))
         .withColumn("place", F.row_number().over(of_text.orderBy("texts", "key")))
-        .where(F.col("place") <= F.col("shared") - needed + 1)
-        .select("key", "v", "n"),
-        "rare-buckets",
+        .where(F.col("own") + F.col("place") <= F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1)
+        .select("key", "v", "n")
     )
+    filled = parts.select(F.explode("frequent").alias("key"), "v", "n")
+    return materialize(rare.unionByName(filled), "rare-buckets")
 
 
 def linked(nodes: DataFrame, texts_of) -> DataFrame | None:

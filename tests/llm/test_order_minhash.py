@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from sensorspark.llm import order_minhash as o
@@ -125,6 +127,66 @@ def test_rare_shingles_lose_no_link(spark, partitions):
         assert keys[i] & keys[j]
 
 
+def passage_texts(draw):
+    """Texts of a long common passage, some of little else, and some that share rarer parts too."""
+    passage, other = words(draw, 300), words(draw, 30)
+    texts = [passage[: draw.randint(250, 300)] + words(draw, draw.randint(3, 90)) for _ in range(60)]
+    texts += [other[: draw.randint(10, 30)] + passage + words(draw, draw.randint(3, 60)) for _ in range(30)]
+    texts += [passage[:40] * 2 + words(draw, draw.randint(0, 20)) for _ in range(20)]
+    return texts + [changed(draw, texts[3], 2), words(draw, 50), words(draw, 3)]
+
+
+@pytest.mark.parametrize("share", [0, 0.5, 1])
+def test_rare_buckets_are_the_first_shingles_of_one_order(spark, partitions, monkeypatch, share):
+    # Whichever shingles are taken for frequent ones, the rows are the first by one order of all.
+    draw = random.Random(14)
+    partitions(4)
+    texts = passage_texts(draw)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "v bigint, text string")
+    codes = [o.numbered_shingles([w.encode() for w in t]).view("int64").tolist() for t in texts]
+    held = Counter(c for of_text in codes for c in of_text)
+    frequent = [c for c in held if held[c] > 1 and draw.random() < share]
+    monkeypatch.setattr(o, "frequent_shingles", lambda whole: np.array(frequent, np.int64))
+    last = {c: i for i, c in enumerate(frequent)}
+    expected = set()
+    for v, of_text in enumerate(codes):
+        order = sorted(of_text, key=lambda c: (last.get(c, -1), held[c], c))
+        expected |= {(c, v, len(of_text)) for c in order[: o.may_differ(len(of_text)) + 1] if held[c] > 1}
+    got = [tuple(r) for r in o.rare_buckets(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_frequent_shingles_are_the_most_frequent_ones(spark, monkeypatch):
+    rows = [(v, [1, 2] + [3] * (v < 40) + [4] * (v % 20 == 0) + [100 + v]) for v in range(80)]
+    whole = spark.createDataFrame(rows, "v bigint, codes array<bigint>").repartition(2)
+    found = o.frequent_shingles(whole).tolist()
+    assert found == [3, 1, 2]
+    monkeypatch.setattr(o, "FREQUENT", 2)
+    assert o.frequent_shingles(whole).tolist() == [1, 2]
+    assert o.frequent_shingles(whole.limit(0)).tolist() == []
+
+
+def test_a_common_passage_is_not_joined_text_by_text(spark, partitions, monkeypatch):
+    draw = random.Random(15)
+    partitions(4)
+    passage, joined = words(draw, 300), []
+    table = spark.createDataFrame(
+        [(i, " ".join(passage + words(draw, 120))) for i in range(60)], "v bigint, text string"
+    )
+    plain = type(table).join
+
+    def counted(left, right, on=None, how=None):
+        out = plain(left, right, on, how)
+        if on == "key":
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(table), "join", counted)
+    o.rare_buckets(table)
+    # The passage alone has 296 shingles in each of 60 texts.
+    assert joined and sum(joined) < 60 * 10
+
+
 def test_long_texts_are_searched_in_blocks(monkeypatch):
     draw = random.Random(2)
     text = [w.encode() for w in words(draw, 3000)]
